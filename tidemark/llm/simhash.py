@@ -104,12 +104,15 @@ def screening_keys(fp: F.Column) -> F.Column:
     """The 4 x 49 variants of a fingerprint with one block deleted."""
     kept = 64 - BLOCK_BITS
     masks = _longs([0] + [1 << i for i in range(kept)])
+
+    def around(rest: F.Column) -> F.Column:
+        return F.transform(masks, lambda m: m.bitwiseXOR(rest))
+
     out = []
     for k in range(BLOCKS):
         low = fp.bitwiseAND(F.lit((1 << BLOCK_BITS * k) - 1))
         high = F.shiftleft(F.shiftrightunsigned(fp, BLOCK_BITS * (k + 1)), BLOCK_BITS * k) if k < BLOCKS - 1 else F.lit(0).cast("long")
-        rest = low.bitwiseOR(high).bitwiseOR(F.lit(k << kept))
-        out.append(F.transform(masks, lambda m, rest=rest: m.bitwiseXOR(rest)))
+        out.append(around(low.bitwiseOR(high).bitwiseOR(F.lit(k << kept))))
     return F.concat(*out)
 
 
