@@ -88,3 +88,19 @@ def test_links_at_every_distance(spark):
 def test_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 90)], "a long, b long")
     assert {(r.node, r.root) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(1, 41)} | {(100, 90)}
+
+
+def test_screening_leaves_out_what_has_no_link(spark):
+    rnd = random.Random(3)
+    alone = [rnd.getrandbits(63) for _ in range(200)]
+    pairs = [(f, f ^ 7 << 3 * k) for k, f in enumerate(rnd.getrandbits(50) for _ in range(10))]
+    frame = spark.createDataFrame([(f,) for f in alone] + [(f,) for p in pairs for f in p], "fp long")
+    assert {r.fp for r in simhash.with_company(frame).collect()} == {f for p in pairs for f in p}
+
+
+def test_first_of_classes(spark):
+    text = "one two three four five six seven eight"
+    rows = [(4, text, "a", 1), (2, text, "b", 2), (None, text, "c", 3), (9, "something else entirely here now", "d", 4), (9, "something else entirely here now", "d", 4), (None, "no id for this one at all", "e", 5)]
+    got = simhash.first_of_classes(spark.createDataFrame(rows, "doc_id long, text string, fp string, key int"))
+    assert got.columns == ["doc_id", "text", "fp", "key"]
+    assert sorted((str(r.doc_id), r.fp, r.key) for r in got.collect()) == [("2", "b", 2), ("9", "d", 4), ("None", "e", 5)]

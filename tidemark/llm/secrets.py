@@ -144,3 +144,12 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def redact(docs: DataFrame, rule: Ownership = Ownership(), id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
+    """The rows and columns of `docs`, every span of `scanned` replaced in the text."""
+    hits = scanned(docs, rule, id_col, text_col, repo_col, owner_col).filter(F.size("spans") > 0)
+    marked = hits.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_doc", "_key"])
+    same = F.col(id_col).eqNullSafe(F.col("_doc")) & (text_key(F.col(text_col)) == F.col("_key"))
+    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("_spans")))
+    return docs.join(marked, same, "left").withColumn(text_col, text).select(*docs.columns)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.shared import written
+from tidemark.llm.shared import text_key, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -88,8 +88,9 @@ def _fingerprint(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (long) of every row; null and blank texts have fp 0."""
-    return docs.select(F.col(id_col).alias("doc_id"), _fingerprint(F.col(text_col)).alias("fp"))
+    """doc_id, key (of the text) and fp (long) of every row; null and blank texts have fp 0."""
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("key"), _fingerprint(text).alias("fp"))
 
 
 def _signed(x: int) -> int:
@@ -169,6 +170,14 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         now = written(moved.union(small.select("a", "m")).distinct(), name)
 
 
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key, fp and root (the smallest fingerprint of the class) of every row."""
+    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    company = written(with_company(rows.select("fp").distinct()), "company")
+    roots = components(links(company)).withColumnRenamed("node", "fp")
+    return rows.join(roots, "fp", "left").select("doc_id", "key", "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row.
 
@@ -178,13 +187,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a class has no doc_id); repeated rows stay; other columns don't matter. An
     empty table gives an empty result.
     """
-    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    each = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    company = written(with_company(each.select("fp")), "company")
-    roots = components(links(company))
-    own = each.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    classes = own.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = own.join(classes, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    rows = classes(docs, id_col, text_col)
+    named = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(named, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of `docs` for every class, with all its columns: the one with the smallest doc_id.
+
+    Rows without doc_id come last; of equal doc_ids the smaller text hash
+    comes first, and of equal rows one stays.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("key").alias("_key"))
+    first = classes(docs, id_col, text_col).groupBy("root").agg(F.min(rank).alias("x")).select("x.*")
+    named = docs.select("*", F.col(id_col).isNull().alias("_none"), F.coalesce(id_col, F.lit(0)).alias("_id"), text_key(F.col(text_col)).alias("_key"))
+    ids = ["_none", "_id", "_key"]
+    again = F.row_number().over(Window.partitionBy(*ids).orderBy(F.lit(0)))
+    return named.join(first, ids).withColumn("_again", again).filter("_again = 1").select(*docs.columns)
