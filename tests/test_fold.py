@@ -1,0 +1,129 @@
+import pytest
+
+from tidemark.config import Config, Control, Detection, Gate
+from tidemark.operators import fold
+
+CONTENT = dict(
+    rms_dbfs=-20.0, crest_db=12.0, spectral_centroid_hz=2000.0, is_silence=False, silence_ratio=0.0, leading_silence_seconds=0.0, trailing_silence_seconds=0.0,
+    interior_silence_seconds=0.0, duration_seconds=1.0,
+)
+SILENT = CONTENT | dict(rms_dbfs=-90.0, crest_db=0.0, is_silence=True, silence_ratio=1.0, leading_silence_seconds=1.0, trailing_silence_seconds=1.0)
+AD = CONTENT | dict(rms_dbfs=-15.0, crest_db=7.0, spectral_centroid_hz=2600.0)
+AFTER_GAP = AD | dict(interior_silence_seconds=0.4, silence_ratio=0.4)
+
+
+def config(confirm=1, gate=None, max_mute=130.0, **detection):
+    d = dict(baseline_min_windows=5, min_ad_seconds=3.0, max_ad_seconds=60.0) | detection
+    return Config(detection=Detection(**d), controller=Control(confirm_windows=confirm, max_mute_seconds=max_mute), gate=gate or Gate())
+
+
+def run(windows, c=None, state=None, start=0):
+    state = state or fold.State()
+    return [fold.step(state, w | {"window_index": start + i}, float(start + i), c or config()) for i, w in enumerate(windows)], state
+
+
+WARM = [CONTENT] * 8
+
+
+def events(decisions):
+    return [(i, d.event) for i, d in enumerate(decisions) if d.event not in ("", fold.NONE)]
+
+
+def test_gap_and_profile_start_an_ad_and_content_ends_it():
+    d, s = run([*WARM, AFTER_GAP, AD, AD, AD, CONTENT, CONTENT, CONTENT])
+    assert events(d) == [(8, fold.STARTED), (13, fold.ENDED)] and s.state == fold.CONTENT and not s.believed_muted
+    assert d[8].baseline_count == 8 and d[8].ad_profile and d[9].ad_elapsed_seconds == 1.0
+
+
+def test_no_ad_without_cue_profile_or_baseline():
+    assert events(run([*WARM, AD, AD])[0]) == []
+    assert events(run([*WARM, CONTENT | dict(interior_silence_seconds=0.4)])[0]) == []
+    assert events(run([CONTENT, AFTER_GAP])[0]) == []
+    d, _ = run([*WARM, AD], config(require_transition_cue=False))
+    assert events(d) == [(8, fold.STARTED)]
+
+
+def test_gap_is_joined_over_windows():
+    tail = CONTENT | dict(trailing_silence_seconds=0.1, silence_ratio=0.1)
+    d, _ = run([*WARM, tail, SILENT, AD | dict(leading_silence_seconds=0.2, silence_ratio=0.2)])
+    assert d[-1].gap_seconds == pytest.approx(1.3) and d[-2].gap_seconds == 0 and events(d) == [(10, fold.STARTED)]
+    assert events(run([*WARM, tail, SILENT, SILENT, AD])[0]) == []  # 2.1 s is too long
+
+
+def test_cue_expires_and_needs_a_change():
+    shift = CONTENT | dict(rms_dbfs=-16.0, interior_silence_seconds=0.4)
+    assert events(run([*WARM, shift, *[CONTENT] * 3, AD])[0]) == []
+    assert events(run([*WARM, shift, *[CONTENT] * 2, AD])[0]) == [(11, fold.STARTED)]
+
+
+def test_hysteresis_minimum_and_failsafe():
+    middling = AD | dict(rms_dbfs=-18.5)
+    d, _ = run([*WARM, AFTER_GAP, middling, middling])
+    assert events(d) == [(8, fold.STARTED)] and d[-1].ad_profile
+    assert events(run([*WARM, AFTER_GAP, CONTENT, CONTENT, CONTENT])[0]) == [(8, fold.STARTED), (11, fold.ENDED)]
+    d, s = run([*WARM, AFTER_GAP, *[AD] * 70])
+    assert events(d) == [(8, fold.STARTED), (68, fold.ENDED)] and s.state == fold.CONTENT
+
+
+def test_baseline_is_frozen_in_an_ad():
+    d, s = run([*WARM, AFTER_GAP, AD, AD, AD])
+    assert s.baseline.count == 8 and s.baseline.rms == pytest.approx(-20)
+
+
+def test_absolute_mode_and_median():
+    c = config(ad_absolute_dbfs=-17.0, ad_crest_delta_db=-99.0, loudness_median_windows=3)
+    d, _ = run([AFTER_GAP, AFTER_GAP | dict(rms_dbfs=-30.0), AFTER_GAP], c)
+    assert events(d)[0] == (0, fold.STARTED) and d[1].smoothed_rms_dbfs == -22.5 and d[2].smoothed_rms_dbfs == -15.0
+    assert events(run([AFTER_GAP] * 3, config(ad_absolute_dbfs=-17.0, ad_crest_delta_db=1.0))[0]) == []  # a cold crest vetoes
+
+
+def test_confirmation():
+    d, s = run([*WARM, AFTER_GAP, AD], config(confirm=3))
+    assert s.state == fold.SUSPECTED and s.pending == 2
+    d, s = run([AD], config(confirm=3), s, 10)
+    assert s.state == fold.MUTED and s.muted_at == 10
+    d, s = run([*WARM, AFTER_GAP, CONTENT, AD, AD], config(confirm=3))
+    assert s.state == fold.CONTENT and not s.in_ad and s.baseline.count == 8 + 2
+
+
+def test_mute_failsafe_and_retries():
+    c = config(max_mute=61.0)
+    _, s = run([*WARM, AFTER_GAP | {"command_ok": False}])
+    assert s.state == fold.SUSPECTED and not s.believed_muted
+    _, s = run([AD], None, s, 9)
+    assert s.state == fold.MUTED and s.muted_at == 9
+    _, s = run([CONTENT, CONTENT | {"command_ok": False}], None, s, 10)
+    assert s.believed_muted and s.unmute_pending
+    _, s = run([CONTENT], None, s, 12)
+    assert s.state == fold.CONTENT and not s.believed_muted
+    _, s = run([*WARM, AFTER_GAP, *[AD] * 60], c)
+    assert s.state == fold.CONTENT
+
+
+def test_restart_and_gate():
+    _, s = run([*WARM, AFTER_GAP])
+    assert s.state == fold.MUTED
+    _, s = run([CONTENT | {"stream_restarted": True}], None, s, 9)
+    assert s.state == fold.CONTENT and s.baseline.count == 1
+    c = config(gate=Gate(armed_apps_only=True, armed_app_ids=("1",), armed_app_names=("Film ",)))
+    on, off = {"app_id": "1", "app_name": "x"}, {"app_id": "9", "app_name": "y"}
+    d, s = run([w | on for w in [*WARM, AFTER_GAP]], c)
+    assert s.state == fold.MUTED
+    d, s = run([AD | {"app_id": None}] * 2, c, s, 9)  # asked at 10, not known: stays armed
+    assert s.armed and s.state == fold.MUTED
+    d, s = run([AD | off] * 12, c, s, 11)
+    assert not s.armed and s.state == fold.CONTENT and s.baseline.count == 0 and d[-1].reason == "not armed"
+    d, s = run([AD | {"app_id": "2", "app_name": " FILM"}] * 12, c, s, 23)
+    assert s.armed and s.armed_app == "2"
+
+
+def test_state_survives_storage():
+    import json
+
+    windows = [*WARM, AFTER_GAP, AD, SILENT, AD, CONTENT, CONTENT, CONTENT, CONTENT]
+    whole, _ = run(windows)
+    state, parts = fold.State(), []
+    for i, w in enumerate(windows):
+        parts += run([w], None, state, i)[0]
+        state = fold.State.from_dict(json.loads(json.dumps(state.to_dict())))
+    assert parts == whole

@@ -78,7 +78,9 @@ def merge(spans: DataFrame, within: float = MERGE_SECONDS) -> DataFrame:
 
 
 def overlap(a: str, b: str) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.col(f"{a}.end"), F.col(f"{b}.end")) - F.greatest(F.col(f"{a}.start"), F.col(f"{b}.start")))
+    """Seconds that both spans share; null if `a` is missing (least and greatest would skip it)."""
+    shared = F.least(F.col(f"{a}.end"), F.col(f"{b}.end")) - F.greatest(F.col(f"{a}.start"), F.col(f"{b}.start"))
+    return F.when(F.col(f"{a}.start").isNotNull(), F.greatest(F.lit(0.0), shared))
 
 
 def _meet(mutes: DataFrame, breaks: DataFrame, keys: tuple[str, ...], pad: float, how: str) -> DataFrame:

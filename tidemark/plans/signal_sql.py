@@ -168,7 +168,7 @@ SCORES = f"""
 sessions as (select config_id, session_id, sum(duration) as duration from w, trials group by config_id, session_id),
 met as (
   select t.config_id, b.session_id, b.break_id, b.start, b."end", min(m.start) as first_mute, min(m.start) - b.start as latency,
-    coalesce(sum(least(m."end", b."end") - greatest(m.start, b.start)), 0) as covered_seconds
+    coalesce(sum(case when m.start is not null then least(m."end", b."end") - greatest(m.start, b.start) end), 0) as covered_seconds
   from breaks b cross join trials t left join mutes m on m.session_id = b.session_id and m.config_id = t.config_id and m.start < b."end" and m."end" > b.start
   group by t.config_id, b.session_id, b.break_id, b.start, b."end"),
 wrong as (
