@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.shared import small_batches
+
 UNKNOWN = "und"
 BIN_BITS = 16
-#: Code points that are scored at once.
-PIECE = 1 << 21
+#: Code points whose letters are scored at once; those whose words are labelled at once.
+LETTERS, PIECE = 1 << 18, 1 << 21
 
 #: Script numbers and the first and last code point of their main ranges.
 SCRIPTS = (
@@ -95,13 +97,13 @@ def _letters(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray
     return at, (hashed >> np.uint64(64 - bits)).astype(np.int64), script[points[at]], points, begins
 
 
-def _pieces(texts) -> Iterator[tuple[int, list[str | None]]]:
-    """Runs of texts of about PIECE code points, and where they start."""
+def _pieces(texts, most: int = PIECE) -> Iterator[tuple[int, list[str | None]]]:
+    """Runs of texts of about `most` code points, and where they start."""
     start, size, own = 0, 0, []
     for i, t in enumerate(texts):
         own.append(t)
         size += len(t) if t else 0
-        if size >= PIECE:
+        if size >= most:
             yield start, own
             start, size, own = i + 1, 0, []
     if own:
@@ -116,7 +118,7 @@ def _count(bits: int):
         for pdf in parts:
             for lang, group in pdf.groupby("lang"):
                 total = bins.setdefault(lang, np.zeros((1 << bits) + N_SCRIPTS, np.int64))
-                for _, texts in _pieces(group["text"]):
+                for _, texts in _pieces(group["text"], LETTERS):
                     _, where, script, _, _ = _letters(texts, bits)
                     total += np.bincount(np.concatenate([where, script.astype(np.int64) + (1 << bits)]), minlength=len(total))
         for lang, total in bins.items():
@@ -128,6 +130,7 @@ def _count(bits: int):
 
 def train(labelled: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the languages in `labelled`; rows without label or text teach nothing."""
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null")
     n = rows.count()
     if n > rules.sample_rows:
@@ -182,33 +185,41 @@ def _viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarra
     return label
 
 
+def _words(texts: list[str | None], model: Model) -> list[np.ndarray]:
+    """Of every word: its text, start and end there, letters, and score for each language."""
+    parts = []
+    for skipped, own in _pieces(texts, LETTERS):
+        at, where, script, _, begins = _letters(own, int(np.log2(len(model.scores))))
+        if not len(at):
+            continue
+        word = np.flatnonzero(np.r_[True, np.diff(at) > 1])
+        last = np.append(word[1:], len(at)) - 1
+        scores = np.add.reduceat(model.scores[where], word, axis=0).astype(np.float64)
+        allowed = model.uses[script[word]]
+        allowed[~allowed.any(1)] = True
+        scores[~allowed] = -1e9
+        text = np.searchsorted(begins, at[word], side="right") - 1
+        parts.append((text + skipped, at[word] - begins[text], at[last] + 1 - begins[text], last - word + 1, scores))
+    return [np.concatenate(x) for x in zip(*parts)]
+
+
 def _spans(texts: list[str | None], model: Model, penalty: float) -> list[tuple[str, float, list[dict]]]:
     """(language, share of letters, spans) of every text."""
     out: list[tuple[str, float, list[dict]]] = [(UNKNOWN, 0.0, [])] * len(texts)
-    at, where, script, points, begins = _letters(texts, int(np.log2(len(model.scores))))
-    if not len(at) or not model.languages:
+    words = _words(texts, model) if model.languages else []
+    if not words:
         return out
-    new = np.ones(len(at), bool)
-    new[1:] = np.diff(at) > 1
-    word = np.flatnonzero(new)
-    n_letters = np.diff(np.append(word, len(at)))
-    scores = np.add.reduceat(model.scores[where], word, axis=0, dtype=np.float64)
-    allowed = model.uses[script[word]]
-    allowed[~allowed.any(1)] = True
-    scores[~allowed] = -1e9
-    text = np.searchsorted(begins, at[word], side="right") - 1
-    first = np.flatnonzero(np.r_[True, np.diff(text) > 0])
-    label = _viterbi(scores, first, penalty)
+    text, start, end, n_letters, scores = words
+    new_text = np.r_[True, np.diff(text) > 0]
+    label = _viterbi(scores, np.flatnonzero(new_text), penalty)
     letters = np.zeros((len(texts), len(model.languages)))
     np.add.at(letters, (text, label), n_letters)
     top, total = letters.argmax(1), letters.sum(1)
-    cut = np.r_[True, (np.diff(text) > 0) | (np.diff(label) != 0)]
-    heads = np.flatnonzero(cut)
-    tails = np.append(heads[1:], len(word)) - 1
-    ends = at[np.append(word[1:], len(at)) - 1] + 1
+    heads = np.flatnonzero(new_text | np.r_[True, np.diff(label) != 0])
+    tails = np.append(heads[1:], len(text)) - 1
     spans: list[list[dict]] = [[] for _ in texts]
-    for h, e, t, own in zip(at[word[heads]], ends[tails], text[heads], label[heads]):
-        spans[t].append({"start": int(h - begins[t]), "end": int(e - begins[t]), "lang": model.languages[own]})
+    for t, a, e, own in zip(text[heads].tolist(), start[heads].tolist(), end[tails].tolist(), label[heads].tolist()):
+        spans[t].append({"start": a, "end": e, "lang": model.languages[own]})
     for i in np.flatnonzero(total):
         out[i] = (model.languages[top[i]], float(letters[i, top[i]] / total[i]), spans[i])
     return out
@@ -225,6 +236,7 @@ FOUND = T.StructType([
 
 def labeller(spark, model: Model, penalty: float):
     """A function of a text column: lang_pred, score and spans."""
+    small_batches(spark)
     handle = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(FOUND)

@@ -53,3 +53,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of doc_id as text, modulo `modulus`; 0 for a null doc_id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus), F.lit(0))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Bounds the Arrow batches of this session: texts are long, and each Python worker holds some batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.shared import text_key, written
+from tidemark.llm.shared import small_batches, text_key, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -89,6 +89,7 @@ def _fingerprint(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (of the text) and fp (long) of every row; null and blank texts have fp 0."""
+    small_batches(docs.sparkSession)
     text = F.col(text_col)
     return docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("key"), _fingerprint(text).alias("fp"))
 
