@@ -10,9 +10,9 @@ looked up among the sorted hashes of the pieces (and the characters compared),
 and vectorised maxima keep the best score and its backpointer. Of equal scores
 the longer last piece wins. Characters that no piece covers become bytes.
 
-The segmentation is that of the unigram model with the file's scores. For a
-file of merge ranks (BPE) the same pieces are used, but the segmentation is the
-one of best total score, not the one that merging in order gives.
+The segmentation is that of a unigram model: the one of best total score. A file
+of merge ranks (BPE) has no probabilities, so a piece of rank r gets -log(1 + r)
+(Zipf's law); mostly, but not always, this gives what merging in order gives.
 
 Decoding is exact: a `▁` in the text itself is encoded as bytes.
 """
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.shared import small_batches
+
 #: The public vocabulary's place; give another path for another model.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -96,13 +99,20 @@ def vocabulary(pieces: list[tuple[str, float, str]]) -> Vocabulary:
     )
 
 
+def zipf(pieces: list[tuple[str, float, str]]) -> list[tuple[str, float, str]]:
+    """Log probabilities in place of merge ranks, if all scores are whole numbers of 0 or less."""
+    if not all(s <= 0 and s == int(s) for _, s, kind in pieces if kind == "normal"):
+        return pieces
+    return [(p, -log(1 - s) if kind == "normal" else s, kind) for p, s, kind in pieces]
+
+
 def load(path: str = MODEL_FILE) -> Vocabulary:
     """The vocabulary of a SentencePiece model file; its bytes are read on the driver."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     kind = lambda i: "byte" if model.is_byte(i) else "other" if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) else "normal"
-    return vocabulary([(model.id_to_piece(i), model.get_score(i), kind(i)) for i in range(model.get_piece_size())])
+    return vocabulary(zipf([(model.id_to_piece(i), model.get_score(i), kind(i)) for i in range(model.get_piece_size())]))
 
 
 def _segment(points: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -226,6 +236,7 @@ def decoded(ids, v: Vocabulary) -> str | None:
 
 def encoder(spark, v: Vocabulary):
     """A function of a text column: its piece ids."""
+    small_batches(spark)
     handle = spark.sparkContext.broadcast(v)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -239,6 +250,7 @@ def encoder(spark, v: Vocabulary):
 
 def decoder(spark, v: Vocabulary):
     """A function of a column of piece ids: its text."""
+    small_batches(spark)
     handle = spark.sparkContext.broadcast(v)
 
     @F.pandas_udf(T.StringType())
