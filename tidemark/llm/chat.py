@@ -103,12 +103,13 @@ def windows(conversations: DataFrame, rule: Windows = Windows()) -> DataFrame:
     """
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     at = spans(turns, rule)
+    turn = F.struct("n", "system", "role", "text", "first", "last", "back")
     whole = at.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("n", "system", "role", "text", "first", "last", "back"))).alias("all"),
+        F.array_sort(F.collect_list(turn)).alias("all"), F.array_sort(F.collect_list(F.when(F.col("system"), turn))).alias("systems")
     )
     heads = F.filter("all", lambda x: ~x["system"] & (x["n"] == x["first"]))
     # A conversation of system turns alone is one window without own turns.
-    spoken = whole.select("conv_id", "all", F.when(F.size(heads) > 0, heads).otherwise(F.slice("all", 1, 1)).alias("heads"))
+    spoken = whole.select("conv_id", "all", "systems", F.when(F.size(heads) > 0, heads).otherwise(F.slice("all", 1, 1)).alias("heads"))
 
     def shown(x: Column, head: Column, first_window: Column) -> Column:
         mine = ~x["system"] & (x["first"] == head["first"])
@@ -118,9 +119,8 @@ def windows(conversations: DataFrame, rule: Windows = Windows()) -> DataFrame:
         )
 
     def laid_out(head: Column, i: Column) -> Column:
-        system = F.filter("all", lambda x: x["system"])
         reach = F.when(head["system"], F.slice("all", 1, 0)).otherwise(F.slice("all", head["back"] + 1, head["last"] - head["back"] + 1))
-        turns = F.concat(system, F.filter(reach, lambda x: ~x["system"]))
+        turns = F.concat("systems", F.filter(reach, lambda x: ~x["system"]))
         return F.transform(turns, lambda x: shown(x, head, i == 0))
 
     each = spoken.select("conv_id", F.posexplode(F.transform("heads", laid_out)).alias("window", "shown"))
