@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm.shared import small_batches, written
+
 #: Fixed values of the seekable format: magic numbers of a skippable frame and of the seek table's footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 SUFFIX = ".warc.zst"
@@ -51,20 +53,25 @@ def record_id(page_id: str | None, tie: int) -> str:
 def verdicts(pages: DataFrame, rules: Rules) -> DataFrame:
     """page_id (as text), url, payload, digest, tie and refers_to (null: a response).
 
-    Only the largest id of a digest is joined back. Of rows that share this id
-    and payload the first by url is the response.
+    Sizes and digests are gathered first, so that payloads move for the join
+    with the digests that several pages share, if at all. Of rows that share an
+    id and a payload the first by url comes first; only where there are such
+    rows are they numbered.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload")
     ).withColumn("digest", F.sha1("payload"))
-    rows = rows.withColumn("size", F.octet_length("payload"))
-    own = Window.partitionBy("digest", "page_id").orderBy("url")
-    counted = rows.withColumn("tie", F.row_number().over(own) - 1)
-    large = rows.filter(F.col("size") >= rules.least_bytes).groupBy("digest").agg(F.max("page_id").alias("largest"))
-    met = counted.join(large.withColumnRenamed("digest", "_digest"), (F.col("digest") == F.col("_digest")) & (F.col("size") >= rules.least_bytes), "left")
-    first = (F.col("page_id") == F.col("largest")) & (F.col("tie") == 0)
-    return met.withColumn("refers_to", F.when(~F.coalesce(first, F.lit(False)), F.col("largest"))).select(
-        F.col("page_id").cast("string"), "url", "payload", "digest", "tie", F.col("refers_to").cast("string")
+    rows = rows.withColumn("large", F.octet_length("payload") >= rules.least_bytes)
+    slim = written(rows.select("page_id", "digest", "large"), "digests")
+    shared = slim.filter("large").groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).filter("n > 1")
+    met = rows.join(shared.select(F.col("digest").alias("_digest"), "largest"), F.col("digest") == F.col("_digest"), "left")
+    if slim.groupBy("digest", "page_id").count().filter("count > 1").isEmpty():
+        counted = met.withColumn("tie", F.lit(0))
+    else:
+        counted = met.withColumn("tie", F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url")) - 1)
+    first = F.coalesce((F.col("page_id") == F.col("largest")) & (F.col("tie") == 0), F.lit(False))
+    return counted.select(
+        F.col("page_id").cast("string"), "url", "payload", "digest", "tie", F.when(~first, F.col("largest")).cast("string").alias("refers_to")
     )
 
 
@@ -159,7 +166,7 @@ def _write(folder: str, rules: Rules):
         store.move(draft, f"{root}/{name}{SUFFIX}")
         return pd.DataFrame(index, columns=["record_id", "frame", "offset", "length"]).assign(bundle=name + SUFFIX)
 
-    def written(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bundled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, attempt, n, own, size = TaskContext.get().partitionId(), uuid.uuid4().hex, 0, [], 0
         for pdf in parts:
             for row in pdf.itertuples(index=False):
@@ -171,7 +178,7 @@ def _write(folder: str, rules: Rules):
         if own:
             yield stored(f"part-{part:06d}-{n:04d}-{attempt}", own)
 
-    return written
+    return bundled
 
 
 INDEX = "record_id string, frame int, offset long, length long, bundle string"
@@ -187,6 +194,7 @@ def write(pages: DataFrame, folder: str, rules: Rules = Rules()) -> DataFrame:
     their own (revisits, if large enough). No rows: no bundles.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     store, root = _filesystem(folder)
     store.create_dir(f"{root}/bundles")
     rows = verdicts(pages, rules).mapInPandas(_write(f"{folder}/bundles", rules), INDEX)
@@ -214,7 +222,7 @@ def _read(folder: str):
                 for at, packed, size in _seek_table(f):
                     raw = unpack.decompress(f.read_at(packed, at), max_output_size=max(size, 1))
                     rows = [_told(fields, block) for _, fields, block in _records(raw)]
-                    yield pd.DataFrame(rows, columns=RECORD_COLUMNS).astype({"page_id": "Int64", "refers_to": "Int64"})
+                    yield pd.DataFrame(rows, columns=RECORD_COLUMNS, dtype=object)
 
     return read
 
