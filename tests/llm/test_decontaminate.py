@@ -13,15 +13,23 @@ def found(spark, docs, items):
 def test_copies_and_other_parameters(spark):
     pad = "some words before it and "
     other = ITEM.replace("Maria", "Anton").replace("5", "6,5").replace("12", "99").replace("7", "8").replace("km", "miles")
-    torn = ITEM.replace("Maria", "Anton", 1).replace("Maria", "Berta", 1)
     docs = [
-        (1, pad + ITEM + " and after"), (2, pad + other), (3, (pad + torn).replace("12", "3")), (4, pad + ITEM[:60]), (5, None), (6, ""), (None, ITEM), (1, pad + ITEM + " and after"),
+        (1, pad + ITEM + " and after"), (2, pad + other), (4, pad + ITEM[:60]), (5, None), (6, ""), (None, ITEM), (1, pad + ITEM + " and after"),
         (7, pad * 3000 + ITEM), (8, pad + ITEM.upper()), (9, ITEM.replace("far", "near").replace("much", "often")), (10, ITEM + ". " + other), (1, "clean text under an id that was used"),
     ]
     assert found(spark, docs, [(20, ITEM), (21, None), (22, "too short here"), (23, "")]) == sorted([("1", 20), ("2", 20), ("None", 20), ("7", 20), ("10", 20)])
     assert found(spark, [], [(20, ITEM)]) == [] and found(spark, docs, []) == []
 
 
+def test_slots_must_agree(spark):
+    item = "it is known that Maria told us how Maria went with old friends to see where Maria lived before, and what Maria did there"
+    torn = item
+    for name in ("Anton", "Berta", "Carla"):
+        torn = torn.replace("Maria", name, 1)
+    docs = [(1, "so " + item), (2, "so " + item.replace("Maria", "Anton")), (3, "so " + torn), (4, torn + ". so " + item.replace("Maria", "Anton"))]
+    assert found(spark, docs, [(20, item)]) == [("1", 20), ("2", 20), ("4", 20)]
+
+
 def test_clean_keeps_the_rest(spark):
     rows = [(1, ITEM, "c", 1), (1, "clean text", "c", 1), (None, None, "c", 1), (None, ITEM, "c", 1), (2, "clean text", "c", 1), (2, "clean text", "c", 1)]
     got = d.clean(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(20, ITEM, 1)], ITEMS))

@@ -17,7 +17,7 @@ def test_held_out_accuracy(spark, sf_dir):
 def test_edges_and_spans(spark):
     english, greek = "the quick brown fox is over the lazy dog and this is that ", "η γρήγορη αλεπού είναι πάνω από τον σκύλο "
     german = "der schnelle braune fuchs springt über den faulen hund und das ist gut "
-    train = [(i, t * 3, lang, "x", 0) for i, (t, lang) in enumerate([(english, "en"), (greek, "el"), (german, "de"), (english, None), (None, "fr")])]
+    train = [(i, t and t * 3, lang, "x", 0) for i, (t, lang) in enumerate([(english, "en"), (greek, "el"), (german, "de"), (english, None), (None, "fr")])]
     model = langid.train(spark.createDataFrame(train, SCHEMA))
     assert model.languages == ["de", "el", "en"]
     rows = [(1, None), (2, ""), (3, "123 !? ٣"), (4, english), (5, greek), (6, english * 4 + german * 5), (None, german), (7, english * 2000), (4, english), (8, "漢字 кот"), (9, "\0the\0")]
