@@ -47,3 +47,15 @@ def test_viterbi_is_the_best_path():
     for a, n in zip(first, sizes):
         value = lambda path: sum(scores[a + i, l] for i, l in enumerate(path)) - 2.0 * sum(x != y for x, y in zip(path, path[1:]))
         assert tuple(got[a : a + n]) == max(itertools.product(range(3), repeat=n), key=value)
+
+
+def test_shortcut_gives_the_same_labels():
+    import numpy as np
+
+    rnd = np.random.default_rng(6)
+    sizes = rnd.integers(1, 60, 300)
+    first = np.cumsum(sizes) - sizes
+    scores = rnd.normal(size=(sizes.sum(), 3)) * 2
+    scores[:, 1] += np.repeat(rnd.choice([0.0, 1.0, 6.0], len(sizes)), sizes)
+    assert (langid._labels(scores, first, 4.0) == langid._viterbi(scores, first, 4.0)).all()
+    assert (langid._labels(scores[:, :1], first, 4.0) == 0).all()

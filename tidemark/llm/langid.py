@@ -53,7 +53,7 @@ class Model:
 class Rules:
     #: Training rows are thinned to about so many.
     sample_rows: int = 20_000
-    switch_penalty: float = 12.0
+    switch_penalty: float = 16.0
     #: A script counts as a language's if so large a share of its letters has it.
     least_script_share: float = 0.01
     smoothing: float = 0.5
@@ -185,6 +185,33 @@ def _viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarra
     return label
 
 
+def _labels(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
+    """What `_viterbi` gives, which runs only for sequences that may switch.
+
+    A sequence stays in its best language g if no run of words gains more than
+    the penalty by another one (each such run costs a switch at least), and if
+    leaving g altogether gains no more than one penalty either.
+    """
+    label = np.empty(len(scores), np.int16)
+    mixed = []
+    for k, (a, b) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(scores)])):
+        own = scores[a:b]
+        g = int(own.sum(0).argmax())
+        gain = own - own[:, g : g + 1]
+        sums = np.cumsum(gain, axis=0)
+        lowest = np.minimum.accumulate(np.vstack([np.zeros((1, sums.shape[1])), sums[:-1]]), axis=0)
+        gain[:, g] = -np.inf
+        if (sums - lowest).max() < penalty and (sums.shape[1] == 1 or gain.max(1).sum() < penalty):
+            label[a:b] = g
+        else:
+            mixed.append(k)
+    if mixed:
+        sizes = np.diff(np.append(first, len(scores)))[mixed]
+        rows = np.repeat(first[mixed] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        label[rows] = _viterbi(scores[rows], np.cumsum(sizes) - sizes, penalty)
+    return label
+
+
 def _words(texts: list[str | None], model: Model) -> list[np.ndarray]:
     """Of every word: its text, start and end there, letters, and score for each language."""
     parts = []
@@ -211,7 +238,7 @@ def _spans(texts: list[str | None], model: Model, penalty: float) -> list[tuple[
         return out
     text, start, end, n_letters, scores = words
     new_text = np.r_[True, np.diff(text) > 0]
-    label = _viterbi(scores, np.flatnonzero(new_text), penalty)
+    label = _labels(scores, np.flatnonzero(new_text), penalty)
     letters = np.zeros((len(texts), len(model.languages)))
     np.add.at(letters, (text, label), n_letters)
     top, total = letters.argmax(1), letters.sum(1)
@@ -245,7 +272,8 @@ def labeller(spark, model: Model, penalty: float):
             found = [x for _, texts in _pieces(own) for x in _spans(texts, handle.value, penalty)]
             yield pd.DataFrame({name: pd.Series([x[k] for x in found], dtype=kind) for k, (name, kind) in enumerate((("lang_pred", object), ("score", float), ("spans", object)))})
 
-    return label
+    # Else a filter on the result would have it computed twice.
+    return label.asNondeterministic()
 
 
 def identify(docs: DataFrame, model: Model, rules: Rules = Rules(), text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

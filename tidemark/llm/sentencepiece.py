@@ -230,7 +230,7 @@ def decoded(ids, v: Vocabulary) -> str | None:
     if ids is None:
         return None
     texts = v.texts
-    whole = b"".join([texts[i] for i in ids])
+    whole = b"".join([texts[i] for i in np.asarray(ids).tolist()])
     return whole.removeprefix(b" ").decode("utf-8", "surrogatepass")
 
 
@@ -245,7 +245,8 @@ def encoder(spark, v: Vocabulary):
         for texts in parts:
             yield pd.Series(encoded(texts, handle.value, memory), dtype=object)
 
-    return encode
+    # Else each use of the ids would have them computed again.
+    return encode.asNondeterministic()
 
 
 def decoder(spark, v: Vocabulary):
@@ -258,7 +259,7 @@ def decoder(spark, v: Vocabulary):
         for ids in parts:
             yield pd.Series([decoded(x, handle.value) for x in ids], dtype=object)
 
-    return decode
+    return decode.asNondeterministic()
 
 
 def encode(docs: DataFrame, v: Vocabulary, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
