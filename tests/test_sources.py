@@ -80,3 +80,18 @@ def test_no_training_rows(spark, tmp_path):
         dataset.write_csv(spark.range(0), str(tmp_path / "x"))
     dataset.write_csv(spark.range(3), str(tmp_path / "x"))
     assert spark.read.csv(str(tmp_path / "x"), header=True).count() == 3 and Detection().min_gap_seconds == 0.2
+
+
+def test_feature_log(spark, sf_dir, tmp_path):
+    from tidemark.plans import signal_queries
+    from tidemark.sources import sinks
+
+    log = signal_queries.feature_log_rows(spark, sf_dir).filter("session_id < 2")
+    for kind in ("json", "csv"):
+        for _ in range(2):
+            sinks.write_log(log, str(tmp_path / kind), kind)
+        back = spark.read.schema(log.schema).option("header", True).format(kind).load(str(tmp_path / kind))
+        assert back.count() == 2 * log.count()
+        assert sorted(map(str, back.distinct().collect())) == sorted(map(str, log.collect()))
+    with pytest.raises(ValueError):
+        sinks.write_log(log, str(tmp_path / "x"), "xml")
