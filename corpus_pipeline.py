@@ -20,7 +20,11 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that have a language; names it where the label is missing."""
+    """Keeps documents that have a language; names it where the label is missing.
+
+    Null texts and texts without a letter go, and so do texts of which no
+    language has half the letters. Rows without doc_id and repeated rows stay.
+    """
     model = langid.train(docs)
     told = langid.identify(docs, model, keep=tuple(docs.columns))
     good = told.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SHARE))
@@ -28,22 +32,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of every class."""
+    """Keeps the first document of every class: the smallest doc_id, a missing one last, one of repeated rows."""
     return simhash.first_of_classes(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item; null texts hold none."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts; n_chars follows."""
+    """Replaces secrets in the texts; n_chars follows. Null texts stay null."""
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_ids and ids of every text; decoding them must give the text again."""
+    """doc_id, n_ids and ids of every row; decoding them must give the text again. A null text has null ids."""
     vocabulary = sentencepiece.load()
     coded = docs.select("doc_id", "text", sentencepiece.encoder(spark, vocabulary)(F.col("text")).alias("ids"))
     same = sentencepiece.decoder(spark, vocabulary)(F.col("ids")).eqNullSafe(F.col("text"))

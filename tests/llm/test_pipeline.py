@@ -18,7 +18,7 @@ def rows(df):
 def stages(spark, sf_dir, tmp_path_factory):
     folder = tmp_path_factory.mktemp("stages")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    extra = [(9001, None, "en", "s", 0), (9002, "123 456", "en", "s", 7), (9003, "password=abcdef1 is in this text of some words", None, "s", 0), (9004, "", "de", None, 0)]
+    extra = [(9001, None, "en", "s", 0), (9002, "123 456", "en", "s", 7), (9003, "password=abcdef1 is in this text of some words", None, "s", 0), (9004, "", "de", None, 0), (None, "these words have no id and no source", None, None, None)]
     more = spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long")
     docs = docs.unionByName(more.select(*(F.col(f.name).cast(f.dataType) for f in docs.schema)))
     out = [docs]
@@ -44,7 +44,7 @@ def test_near_duplicates(stages):
     fps = {i: brute_fingerprint(r.text) for i, r in before.items()}
     roots = brute_components(list(fps.values()))
     first = {}
-    for i in sorted(fps):
+    for i in sorted(fps, key=lambda i: (i is None, i)):
         first.setdefault(roots[fps[i]], i)
     assert set(after) == set(first.values()) and len(after) < len(before)
 
@@ -87,4 +87,10 @@ def test_tokens(stages):
 
 def test_run(spark, sf_dir, stages):
     got = corpus_pipeline.run(spark, sf_dir)
-    assert {r.doc_id for r in got.collect()} == {r.doc_id for r in stages[5].collect()} - {9003}
+    assert {r.doc_id for r in got.collect()} == {r.doc_id for r in stages[5].collect()} - {9003, None}
+
+
+def test_empty(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).count() == 0
