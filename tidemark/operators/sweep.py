@@ -27,10 +27,11 @@ def sweep(windows: DataFrame, tried: list[Config], breaks: DataFrame, sessions:
 
     Each window is repeated for each config as scalars and folded by (session,
     config); `breaks` and `sessions` (session_id, duration) are repeated too.
+    The spans are kept while they are scored, or each score would fold again.
     """
     each = F.explode(F.sequence(F.lit(0), F.lit(len(tried) - 1))).alias("config_id")
     keys = ("session_id", "config_id")
-    mutes = detect.mute_spans(detect.decisions(windows.select("*", each), tried, keys), keys=keys)
+    mutes = detect.mute_spans(detect.decisions(windows.select("*", each), tried, keys), keys=keys).persist()
     own = breaks.select("*", each)
     scores = intervals.score_sessions(sessions.select("*", each), mutes, own, keys)
     return intervals.score_totals(scores, intervals.break_latency(mutes, own, keys), ("config_id",))

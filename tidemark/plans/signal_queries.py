@@ -283,7 +283,7 @@ def replay_summary(spark, sf_dir):
 def _scored(spark, sf_dir):
     rows = adapters.windows(spark, sf_dir)
     sessions = rows.groupBy("session_id").agg(F.sum("duration_seconds").alias("duration"))
-    return sessions, detect.mute_spans(detect.decisions(rows, CONFIG)), _breaks(rows)
+    return sessions, detect.mute_spans(detect.decisions(rows, CONFIG)).persist(), _breaks(rows)
 
 
 @_query
