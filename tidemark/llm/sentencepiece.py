@@ -39,7 +39,7 @@ OWN_MARK = "\ud800"
 #: A character without piece costs this more than the worst piece.
 UNKNOWN_COST = 10.0
 #: Code points that are segmented at once; distinct words that are remembered.
-PIECE, REMEMBERED = 1 << 21, 1 << 18
+PIECE, REMEMBERED = 1 << 21, 3 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _FILTER_BITS = 20
 
@@ -151,35 +151,47 @@ def _segment(points: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]
     return row, back
 
 
+def _spelled(word: np.ndarray, row: np.ndarray, back: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Ids of one word some of whose characters have no piece and become bytes."""
+    ids: list[int] = []
+    end = len(word)
+    while end:
+        if row[end] >= 0:
+            ids.append(int(v.ids[row[end]]))
+        else:
+            own = chr(word[end - 1])
+            ids += v.byte_ids[list((SPACE if own == OWN_MARK else own).encode("utf-8", "surrogatepass"))][::-1].tolist()
+        end = back[end]
+    return np.array(ids[::-1], np.int32)
+
+
 def segmented(words: list[str], v: Vocabulary) -> list[np.ndarray]:
-    """Piece ids of every word."""
+    """Piece ids of every word; all backpointers of words of one length are followed together."""
     out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by_length.setdefault(len(w), []).append(i)
     for length, every in by_length.items():
         step = max(1, PIECE // (8 * max(1, length)))
-        for first in range(0, len(every), step):
+        for first in range(0, len(every) if length else 0, step):
             which = every[first : first + step]
-            points = np.frombuffer("".join(words[i] for i in which).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(which), length)
+            points = np.frombuffer("".join([words[i] for i in which]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(which), length)
             row, back = _segment(points, v)
-            end = np.full(len(which), length)
-            parts = []
-            while (end > 0).any():
-                live = np.flatnonzero(end > 0)
-                at = end[live]
-                parts.append((live, row[live, at], at - 1))
-                end[live] = back[live, at]
-            ids: list[list[int]] = [[] for _ in which]
-            for live, rows, last in parts:
-                for k, r, p in zip(live.tolist(), rows.tolist(), last.tolist()):
-                    if r >= 0:
-                        ids[k].append(int(v.ids[r]))
-                    else:
-                        own = chr(points[k, p])
-                        ids[k] += v.byte_ids[list((SPACE if own == OWN_MARK else own).encode("utf-8", "surrogatepass"))][::-1].tolist()
-            for k, i in enumerate(which):
-                out[i] = np.array(ids[k][::-1], np.int32)
+            live, end = np.arange(len(which)), np.full(len(which), length)
+            seen, rows = [], []
+            while len(live):
+                seen.append(live)
+                rows.append(row[live, end])
+                end = back[live, end]
+                live, end = live[end > 0], end[end > 0]
+            # From the last step to the first, so that a stable sort by word gives reading order.
+            word, found = np.concatenate(seen[::-1]), np.concatenate(rows[::-1])
+            ids = v.ids[np.maximum(found, 0)][np.argsort(word, kind="stable")].astype(np.int32)
+            ends = np.cumsum(np.bincount(word, minlength=len(which))).tolist()
+            for i, a, b in zip(which, [0, *ends], ends):
+                out[i] = ids[a:b]
+            for k in np.unique(word[found < 0]).tolist():
+                out[which[k]] = _spelled(points[k], row[k], back[k], v)
     return out
 
 
