@@ -17,7 +17,7 @@ from tidemark.sources import adapters
 CONFIG = Config(
     detection=Detection(
         min_gap_seconds=0.15, max_gap_seconds=2.55, cue_grace_seconds=6.5, loudness_jump_db=0.503, centroid_shift_ratio=0.1003, ad_loudness_delta_db=1.937,
-        ad_crest_delta_db=-99.0, loudness_median_windows=3, baseline_alpha=0.05, baseline_min_windows=8, ad_end_windows=2, min_ad_seconds=1.5, max_ad_seconds=30.5,
+        ad_crest_delta_db=-99.0, loudness_median_windows=3, baseline_alpha=0.0503, baseline_min_windows=8, ad_end_windows=2, min_ad_seconds=1.5, max_ad_seconds=30.5,
     ),
     controller=Control(confirm_windows=2, max_mute_seconds=40.5),
 )
