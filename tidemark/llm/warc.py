@@ -250,9 +250,12 @@ def read(index: DataFrame, folder: str) -> DataFrame:
     """The records of the bundles that `index` names.
 
     A revisit has no payload of its own; its size and digest are those of the
-    response that it refers to.
+    response that it refers to. Names are few bytes but much work, so they are
+    dealt to tasks by number and not by size.
     """
-    return index.select("bundle").distinct().mapInPandas(_read(folder), RECORDS)
+    names = index.select("bundle").distinct()
+    tasks = min(max(1, names.count()), 16 * index.sparkSession.sparkContext.defaultParallelism)
+    return names.repartition(tasks, "bundle").mapInPandas(_read(folder), RECORDS)
 
 
 def fetch(folder: str, entry) -> tuple[dict[str, str], bytes]:
