@@ -86,3 +86,36 @@ def test_probabilities_sum_to_one(spark, sf_dir):
     prob = 10.0 ** tree.score.reshape(-1, tree.width)
     others = 256 - (tree.width - 2)
     assert np.allclose(prob[:, :-2].sum(1) + others * prob[:, -2], 1, atol=1e-5)
+
+
+def test_small_sources_are_learned_in_large_corpora(spark):
+    import random
+
+    dice = random.Random(7)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    new = next(i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2)
+    small = "abcdefghijklmnopqrstuvwxyz"
+    filler = ["".join(dice.choices("0123456789 ", k=100_000)) for _ in range(60)]
+    docs = [(i, t, "clash", 1) for i, t in zip(ids, filler + [small] * 34)] + [(new, small, "clash", 1)]
+    got = {r.doc_id: r.score for r in lm.scores(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert len(got) == 95 and got[new] > -10  # of which the first letter costs 5; without contexts every letter does
+
+
+def test_tables_and_automaton_agree(spark, sf_dir):
+    import numpy as np
+    import pandas as pd
+
+    rules = lm.Rules(depth=3, least_count=4, least_gain=5.0)
+    texts = [(r.text or "")[:2000] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30).collect()]
+    docs = [lm.words_of(t) for t in texts]
+    keys, n = np.unique(lm._grams(docs, 3), return_counts=True)
+    levels = lm._levels(spark.createDataFrame(pd.DataFrame({"key": keys, "n": n})), 3)
+    kept = lm._kept(levels, rules.least_count, rules)
+    told = {r.key: r.p for r in lm._probabilities(levels, kept).collect()}
+    rows = []
+    for d in kept:
+        contexts = {r.ctx for r in kept[d].collect()}
+        rows += [(d, r.key, r.n) for r in levels[d].collect() if r.key >> 8 in contexts]
+    tree = lm.automaton(pd.DataFrame(rows, columns=["depth", "key", "n"]), 3)
+    want = [sum(math.log10(told[k]) for k in lm._grams([d], 3).tolist()) for d in docs]
+    assert lm.tree_scores(docs, tree) == pytest.approx(want, rel=1e-5, abs=1e-4)

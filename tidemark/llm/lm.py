@@ -1,19 +1,22 @@
 """Language-model scores: a unigram base and a probabilistic suffix tree.
 
 The tree is over the bytes of a text's lower-cased words, joined by spaces and
-closed by an end mark. Spark counts all byte windows of the training texts; a
-context of up to `depth` bytes is kept if it is frequent enough and its
+closed by an end mark. A context of up to `depth` bytes is kept if it occurs
+`least_count` times in the training texts, however many those are, and its
 next-byte counts diverge from its suffix's by more than `least_gain` nats, with
 all suffixes of kept contexts. Distributions are smoothed towards the suffix's,
 in proportion to the symbols seen (Witten-Bell), down to a uniform one, so every
-byte has a probability. Texts are scored by the longest kept suffix: the
-contexts become an automaton, and fixed-size chunks of text advance through it
-together, each warmed up by the bytes before it.
+byte has a probability. Texts are scored by the longest kept suffix.
+
+The tree grows with the corpus, so it stays in tables. Texts are dealt into
+chunks of bounded size, compressed; each gives its distinct byte windows, once. Their sums
+give the tree; then every window of the corpus gets its probability, from the
+empty context up, and goes back to the chunks that have it. A window has a row
+a chunk at most, so none is hot.
 
-The number of contexts of one length is bounded by `contexts`, for each must
-hold 1/contexts of the corpus; that is what the driver collects and broadcasts.
 Words of which each is 1/frequent of the corpus are at most `frequent` and are
-broadcast too; the others' counts are joined by a shuffle.
+broadcast; the others' counts are joined by a shuffle. `automaton` is the tree
+in memory, for small ones: the tests hold the tables against it.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,16 +36,18 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import fold_remainder, small_batches, written
 
 END = b"\n"
-#: Bytes of text that are handled at once; bytes of a chunk of the automaton.
-PIECE, CHUNK = 1 << 21, 256
+#: Characters of text that are handled at once; bytes of a chunk of the automaton.
+PIECE, CHUNK = 1 << 19, 256
+#: Bytes and rows of texts whose windows are looked up together: a chunk ends with the piece that reaches either.
+DEAL, DEAL_ROWS = 1 << 25, 1 << 20
 WORD, GRAM = 0, 1
 
 
 @dataclass(frozen=True)
 class Rules:
     depth: int = 5
-    #: Every context kept holds 1/contexts of the training bytes, and least_count at least.
-    contexts: int = 100_000
+    #: Every context kept occurs least_count times. `contexts` asks for 1/contexts of the training bytes as well; by default it asks for nothing.
+    contexts: int = 1 << 62
     least_count: int = 32
     least_gain: float = 30.0
     frequent: int = 1_000_000
@@ -94,60 +100,113 @@ def _grams(docs: list[list[bytes]], depth: int) -> np.ndarray:
     return np.delete(packed, cross)
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(where, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
+DEALT = "chunk long, start long, ids array<string>, held array<boolean>, sizes array<long>, raw long, data binary"
+
+
+def _deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For mapInPandas over (doc_id, held_out, text): a row a piece, of its texts' words together.
+
+    It names the piece's chunk and the place of its first text there.
+    """
+    chunk, start, size = TaskContext.get().partitionId() << 24, 0, 0
+    for pdf in parts:
+        done = 0
+        for docs in _pieces(pdf["text"]):
+            part = pdf.iloc[done : done + len(docs)]
+            done += len(docs)
+            texts = [b" ".join(words) for words in docs]
+            data = b"".join(texts)
+            packed = pa.compress(data, codec="zstd", asbytes=True)
+            row = (chunk, start, part["doc_id"].tolist(), part["held_out"].tolist(), [len(t) for t in texts], len(data), packed)
+            yield pd.DataFrame([row], columns=["chunk", "start", "ids", "held", "sizes", "raw", "data"])
+            start, size = start + len(docs), size + len(data)
+            if size >= DEAL or start >= DEAL_ROWS:
+                chunk, start, size = chunk + 1, 0, 0
+
+
+def _dealt(data: bytes, raw: int, sizes) -> list[list[bytes]]:
+    """The words of a piece's texts."""
+    data, ends = pa.decompress(data, decompressed_size=raw, codec="zstd", asbytes=True), np.cumsum(sizes)
+    return [data[end - n : end].split() for n, end in zip(sizes, ends)]
+
+
 def _count(depth: int):
-    """For mapInPandas over (text): kind, key and n of words and byte windows."""
+    """For mapInPandas over pieces: kind, chunk, key and n of words and byte windows.
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return keys, np.bincount(where, np.concatenate([n for _, n in parts])).astype(np.int64)
+    n is of the training texts; a window of held-out ones alone has 0. Words
+    are of training texts, and have no chunk.
+    """
 
-    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
+    def rows(kind: int, chunk: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
         for i in range(0, len(keys), 1 << 17):
-            yield pd.DataFrame({"kind": kind, "key": keys[i : i + (1 << 17)], "n": n[i : i + (1 << 17)]})
+            yield pd.DataFrame({"kind": kind, "chunk": chunk, "key": keys[i : i + (1 << 17)], "n": n[i : i + (1 << 17)]})
 
     def words(seen: Counter) -> Iterator[pd.DataFrame]:
         keys = np.fromiter(map(_hash, seen), np.uint64, len(seen)).view(np.int64)
-        return rows(WORD, keys, np.fromiter(seen.values(), np.int64, len(seen)))
+        return rows(WORD, -1, keys, np.fromiter(seen.values(), np.int64, len(seen)))
+
+    def windows(docs: list[list[bytes]], weight: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if not docs:
+            return []
+        keys, n = np.unique(_grams(docs, depth), return_counts=True)
+        return [(keys, n * weight)]
 
     def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         grams: list[tuple[np.ndarray, np.ndarray]] = []
+        now, most = None, 1 << 20
         for pdf in parts:
-            for docs in _pieces(pdf["text"]):
-                for own in docs:
+            for chunk, held, sizes, raw, data in zip(*(pdf[c] for c in ("chunk", "held", "sizes", "raw", "data"))):
+                if chunk != now and grams:
+                    yield from rows(GRAM, now, *_merged(grams))
+                    grams, most = [], 1 << 20
+                now = chunk
+                docs = _dealt(data, raw, sizes)
+                train = [words for words, out in zip(docs, held) if not out]
+                for own in train:
                     seen.update(own)
-                seen[END] += len(docs)
-                grams.append(np.unique(_grams(docs, depth), return_counts=True))
-                if sum(len(k) for k, _ in grams) > 1 << 21:
-                    grams = [merged(grams)]
-                    if len(grams[0][0]) > 1 << 20:
-                        yield from rows(GRAM, *grams.pop())
+                if train:
+                    seen[END] += len(train)
+                grams += windows(train, 1) + windows([words for words, out in zip(docs, held) if out], 0)
+                if sum(len(k) for k, _ in grams) > most:
+                    grams = [_merged(grams)]
+                    most = max(1 << 20, 2 * len(grams[0][0]))
                 if len(seen) > 1 << 19:
                     yield from words(seen)
                     seen = Counter()
         yield from words(seen)
         if grams:
-            yield from rows(GRAM, *merged(grams))
+            yield from rows(GRAM, now, *_merged(grams))
 
     return counted
 
 
-def _kept(grams: DataFrame, total: int, rules: Rules) -> pd.DataFrame:
-    """depth, key (context, next byte) and n of the contexts kept and their suffixes.
+def _levels(grams: DataFrame, depth: int) -> dict[int, DataFrame]:
+    """key (context, next byte) and n of all windows of every length.
 
     Every level is a table of its own, so that no plan is large: the windows
     of one length are the sums of those that are longer by a byte in front.
     """
-    least = max(rules.least_count, -(-total // rules.contexts))
-    level, common = grams.select("key", "n"), {}
+    levels = {depth: written(grams.groupBy("key").agg(F.sum("n").alias("n")), "grams")}
+    for d in range(depth - 1, -1, -1):
+        shorter = F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("key")
+        levels[d] = written(levels[d + 1].groupBy(shorter).agg(F.sum("n").alias("n")), "grams")
+    return levels
+
+
+def _kept(levels: dict[int, DataFrame], least: int, rules: Rules) -> dict[int, DataFrame]:
+    """ctx, total and kinds of the contexts kept and their suffixes, by length."""
+    common, sums = {}, {}
     for d in range(rules.depth, -1, -1):
-        if d < rules.depth:
-            shorter = F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("key")
-            level = written(level.groupBy(shorter).agg(F.sum("n").alias("n")), "grams")
-        own = level.withColumn("ctx", F.shiftright("key", 8))
-        sums = own.groupBy("ctx").agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
-        common[d] = written(own.join(sums, "ctx"), "common")
-    out, longer = [], None
+        own = levels[d].filter("n > 0").withColumn("ctx", F.shiftright("key", 8))
+        sums[d] = own.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter(F.col("total") >= (least if d else 1))
+        common[d] = written(own.join(sums[d], "ctx"), "common")
+    out, longer = {}, None
     for d in range(rules.depth, 0, -1):
         up = common[d - 1].select(F.col("key").alias("up_key"), F.col("n").alias("up_n"), F.col("total").alias("up_total"))
         pairs = common[d].join(up, F.col("key").bitwiseAND(F.lit((1 << 8 * d) - 1)) == F.col("up_key"))
@@ -156,10 +215,29 @@ def _kept(grams: DataFrame, total: int, rules: Rules) -> pd.DataFrame:
         if longer is not None:
             kept = kept.union(longer).distinct()
         kept = written(kept, "contexts")
-        out.append(common[d].join(kept, "ctx", "left_semi").select("key", "n").toPandas().assign(depth=d))
+        out[d] = common[d].join(kept, "ctx", "left_semi").select("ctx", "total", "kinds").distinct()
         longer = kept.select(F.col("ctx").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1)).alias("ctx")).distinct()
-    out.append(common[0].select("key", "n").toPandas().assign(depth=0))
-    return pd.concat(out, ignore_index=True)
+    out[0] = common[0].select("ctx", "total", "kinds").distinct()
+    return out
+
+
+def _probabilities(levels: dict[int, DataFrame], kept: dict[int, DataFrame]) -> DataFrame:
+    """key and p of every window of full length, by its longest kept suffix.
+
+    From the empty context up: where a context is kept, its counts are smoothed
+    by the probability of the window that is shorter by a byte in front.
+    """
+    told = None
+    for d in sorted(levels):
+        own = levels[d].withColumn("ctx", F.shiftright("key", 8))
+        if told is None:
+            own = own.withColumn("up", F.lit(1 / 256))
+        else:
+            up = told.select(F.col("key").alias("up_key"), F.col("p").alias("up"))
+            own = own.join(up, F.col("key").bitwiseAND(F.lit((1 << 8 * d) - 1)) == F.col("up_key"))
+        mixed = (F.col("n") + F.col("kinds") * F.col("up")) / (F.col("total") + F.col("kinds"))
+        told = written(own.join(kept[d], "ctx", "left").select("key", F.coalesce(mixed, "up").alias("p")), "probabilities")
+    return told
 
 
 def automaton(rows: pd.DataFrame, depth: int) -> Tree:
@@ -221,41 +299,50 @@ def tree_scores(docs: list[list[bytes]], tree: Tree) -> np.ndarray:
     return np.bincount(doc, total, minlength=len(docs))
 
 
+SCHEMA = pa.schema([
+    ("rid", pa.int64()), ("doc_id", pa.string()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("hash", pa.int64()),
+    ("cnt", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()),
+])
 ROWS = "rid long, doc_id string, held_out boolean, n_tokens long, hash long, cnt long, n_known long, logs double, score double"
 
 
-def _score(handle):
-    """For mapInPandas over (doc_id, held_out, text): a row a text, and one for each of its rarer words."""
-
-    def scored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, hashes, counts = handle.value
-        rid = TaskContext.get().partitionId() << 36
-        for pdf in parts:
-            done = 0
-            for docs in _pieces(pdf["text"]):
-                part = pdf.iloc[done : done + len(docs)]
-                done += len(docs)
-                sizes = np.array([len(w) + 1 for w in docs])
-                every = [w for own in docs for w in (*own, END)]
-                place = {w: i for i, w in enumerate(dict.fromkeys(every))}
-                which = np.fromiter(map(place.__getitem__, every), np.int64, len(every))
-                own = np.fromiter(map(_hash, place), np.uint64, len(place)).view(np.int64)
-                at = np.minimum(np.searchsorted(hashes, own), max(0, len(hashes) - 1))
-                n = np.where(hashes[at] == own, counts[at], 0) if len(hashes) else np.zeros(len(own), np.int64)
-                doc = np.repeat(np.arange(len(docs)), sizes)
-                rids = rid + np.arange(len(docs))
-                rid += len(docs)
-                known = n[which] > 0
-                yield pd.DataFrame({
-                    "rid": rids, "doc_id": part["doc_id"].to_numpy(), "held_out": part["held_out"].to_numpy(), "n_tokens": sizes,
-                    "hash": own[0] ^ rids, "cnt": 0, "n_known": np.bincount(doc, known, len(docs)).astype(np.int64),
-                    "logs": np.bincount(doc, np.log10(n + 1.0)[which], len(docs)), "score": tree_scores(docs, tree),
-                })
-                pairs, times = np.unique(doc[~known] * len(own) + which[~known], return_counts=True)
-                yield pd.DataFrame({
-                    "rid": rids[pairs // len(own)], "doc_id": None, "held_out": False, "n_tokens": 0,
-                    "hash": own[pairs % len(own)], "cnt": times, "n_known": 0, "logs": 0.0, "score": 0.0,
-                })
+def _score(handle, depth: int):
+    """For cogrouped chunks of pieces and windows: a row a text, and one for each of its rarer words."""
+
+    def looked_up(docs: list[list[bytes]], place: pd.Index, score: np.ndarray) -> np.ndarray:
+        """log10 probability of each text's bytes and end."""
+        sizes = np.array([sum(map(len, words)) + max(1, len(words)) for words in docs])
+        at = place.get_indexer(_grams(docs, depth))
+        if at.min() < 0:
+            raise ValueError("a chunk has windows that were not counted")
+        return np.bincount(np.repeat(np.arange(len(docs)), sizes), score[at], len(docs))
+
+    def scored(texts: pa.Table, windows: pa.Table) -> pa.Table:
+        hashes, counts = handle.value
+        keys, first = np.unique(windows["key"].to_numpy(), return_index=True)
+        place, score = pd.Index(keys), windows["score"].to_numpy()[first]
+        del windows, keys, first
+        out = []
+        for piece in texts.to_pylist():
+            docs, ids, held = _dealt(piece["data"], piece["raw"], piece["sizes"]), piece["ids"], piece["held"]
+            rids = (piece["chunk"] << 21) + piece["start"] + np.arange(len(docs))
+            sizes = np.array([len(w) + 1 for w in docs])
+            every = [w for own in docs for w in (*own, END)]
+            known_at = {w: i for i, w in enumerate(dict.fromkeys(every))}
+            which = np.fromiter(map(known_at.__getitem__, every), np.int64, len(every))
+            own = np.fromiter(map(_hash, known_at), np.uint64, len(known_at)).view(np.int64)
+            at = np.minimum(np.searchsorted(hashes, own), max(0, len(hashes) - 1))
+            n = np.where(hashes[at] == own, counts[at], 0) if len(hashes) else np.zeros(len(own), np.int64)
+            doc = np.repeat(np.arange(len(docs)), sizes)
+            known = n[which] > 0
+            pairs, times = np.unique(doc[~known] * len(own) + which[~known], return_counts=True)
+            for cols in (
+                (rids, ids, held, sizes, own[0] ^ rids, 0, np.bincount(doc, known, len(docs)), np.bincount(doc, np.log10(n + 1.0)[which], len(docs)), looked_up(docs, place, score)),
+                (rids[pairs // len(own)], None, False, 0, own[pairs % len(own)], times, 0, 0.0, 0.0),
+            ):
+                full = [c if np.ndim(c) else np.full(len(cols[0]), c) for c in cols]
+                out.append(pa.table([pa.array(c, f.type) for c, f in zip(full, SCHEMA)], SCHEMA))
+        return pa.concat_tables(out) if out else SCHEMA.empty_table()
 
     return scored
 
@@ -270,22 +357,26 @@ def scores(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text
     """
     small_batches(docs.sparkSession)
     out = fold_remainder(F.col(id_col), rules.folds) == rules.held_out
+    if not 1 <= rules.depth <= 6:
+        raise ValueError("a context and its next byte must fit in 56 bits")
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), out.alias("held_out"), F.col(text_col).alias("text"))
-    counts = written(
-        rows.filter("not held_out").select("text").mapInPandas(_count(rules.depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts"
-    )
-    sums = {r.kind: r for r in counts.groupBy("kind").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()}
-    n, v = (sums[WORD].n, sums[WORD].v) if WORD in sums else (0, 0)
+    rows = written(rows.mapInPandas(_deal, DEALT), "chunks")
+    counts = written(rows.mapInPandas(_count(rules.depth), "kind int, chunk long, key long, n long"), "counts")
+    vocabulary = written(counts.filter(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")), "vocabulary")
+    v, n = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     common = F.col("n") >= F.lit(n / rules.frequent)
-    vocabulary = counts.filter(F.col("kind") == WORD)
     top = vocabulary.filter(common).select("key", "n").orderBy("key").toPandas()
-    kept = _kept(counts.filter(F.col("kind") == GRAM), sums[GRAM].n, rules) if GRAM in sums else pd.DataFrame({"depth": [], "key": [], "n": []}, dtype=np.int64)
-    if not 1 <= rules.depth <= 6:
-        raise ValueError("a context and its next byte must fit in 56 bits")
-    model = (automaton(kept, rules.depth), top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64))
-    handle = docs.sparkSession.sparkContext.broadcast(model)
+    grams = counts.filter(F.col("kind") == GRAM).select("chunk", "key", "n")
+    levels = _levels(grams, rules.depth)
+    total = levels[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    told = _probabilities(levels, _kept(levels, max(rules.least_count, -(-total // rules.contexts)), rules))
+    windows = grams.select("chunk", "key").join(told, "key").select("chunk", "key", F.log10("p").cast("float").alias("score"))
+    handle = docs.sparkSession.sparkContext.broadcast((top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))
     rarer = vocabulary.filter(~common).select(F.col("key").alias("hash"), F.col("n").alias("c"))
-    joined = rows.mapInPandas(_score(handle), ROWS).join(rarer, "hash", "left")
+    # Windows are short rows: only the bytes of a batch bound it.
+    small_batches(docs.sparkSession, rows=1 << 17)
+    scored = rows.groupBy("chunk").cogroup(windows.groupBy("chunk")).applyInArrow(_score(handle, rules.depth), ROWS)
+    joined = scored.join(rarer, "hash", "left")
     c = F.coalesce("c", F.lit(0))
     return (
         joined.groupBy("rid")
