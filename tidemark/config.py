@@ -23,12 +23,19 @@ def _require(good: bool, what: str) -> None:
 
 @dataclass(frozen=True)
 class Audio:
+    """The device and the waits between attempts to open it are for a capture source; jobs on recordings don't read them."""
+
     sample_rate: int = 48_000
     channels: int = 2
     window_seconds: float = 1.0
     frame_seconds: float = 0.05
+    device: str = "plughw:CARD=Receiver,DEV=0"
+    retry_initial_seconds: float = 1.0
+    retry_max_seconds: float = 30.0
 
     def __post_init__(self) -> None:
+        _require(bool(self.device), "audio: device must not be empty")
+        _require(0 < self.retry_initial_seconds <= self.retry_max_seconds, "audio: 0 < retry_initial_seconds <= retry_max_seconds")
         _require(self.sample_rate > 0 and self.channels >= 1, "audio: sample_rate and channels must be positive")
         _require(0 < self.frame_seconds <= self.window_seconds, "audio: 0 < frame_seconds <= window_seconds")
 
@@ -98,25 +105,55 @@ class Control:
 
 @dataclass(frozen=True)
 class Gate:
-    """Which apps detection runs for; off: always."""
+    """Which apps detection runs for (off: always), and the device that is asked and muted."""
 
     armed_apps_only: bool = False
     armed_app_ids: tuple[str, ...] = ()
     armed_app_names: tuple[str, ...] = ()
+    host: str = "127.0.0.1"
+    port: int = 8060
+    timeout_seconds: float = 2.0
+    assume_muted_at_start: bool = False
 
     def __post_init__(self) -> None:
+        _require(bool(self.host) and 0 < self.port < 1 << 16 and self.timeout_seconds > 0, "gate: needs a host, a TCP port and a positive timeout_seconds")
         _require(not self.armed_apps_only or bool(self.armed_app_ids or self.armed_app_names), "gate: needs an app id or name")
 
     def matches(self, app_id: str, name: str) -> bool:
         return app_id in self.armed_app_ids or name.strip().lower() in {x.strip().lower() for x in self.armed_app_names}
 
 
+@dataclass(frozen=True)
+class Log:
+    """Where and how decisions are logged."""
+
+    LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
+    FORMATS = ("jsonl", "csv")
+
+    level: str = "INFO"
+    feature_log_enabled: bool = False
+    feature_log_path: str = "logs/features.jsonl"
+    feature_log_format: str = "jsonl"
+    verbose_decisions: bool = False
+    decision_heartbeat_windows: int = 60
+
+    def __post_init__(self) -> None:
+        _require(self.level.upper() in self.LEVELS and self.feature_log_format in self.FORMATS, f"logging: level is one of {self.LEVELS}, feature_log_format of {self.FORMATS}")
+        _require(bool(self.feature_log_path) or not self.feature_log_enabled, "logging: a feature log needs a path")
+        _require(self.decision_heartbeat_windows >= 0, "logging: decision_heartbeat_windows must not be negative")
+
+
+#: Other names of sections in files and overrides.
+SECTION_NAMES = {"roku": "gate"}
+
+
 @dataclass(frozen=True)
 class Config:
     audio: Audio = field(default_factory=Audio)
     detection: Detection = field(default_factory=Detection)
     controller: Control = field(default_factory=Control)
     gate: Gate = field(default_factory=Gate)
+    logging: Log = field(default_factory=Log)
 
     def __post_init__(self) -> None:
         _require(self.controller.max_mute_seconds >= self.detection.max_ad_seconds, "controller: max_mute_seconds must not be under detection's max_ad_seconds")
@@ -124,7 +161,8 @@ class Config:
     @classmethod
     def from_dict(cls, given: Mapping[str, Any] | None) -> Config:
         """Sections and settings by name; what is not given has its default."""
-        given = given or {}
+        _require(given is None or isinstance(given, Mapping), "settings must be sections by name")
+        given = {SECTION_NAMES.get(name, name): own for name, own in (given or {}).items()}
         kinds = {f.name: f.default_factory for f in fields(cls)}
         _require(set(given) <= set(kinds), f"unknown sections: {sorted(set(given) - set(kinds))}")
         return cls(**{name: _section(kinds[name], own or {}, name) for name, own in given.items()})
@@ -150,6 +188,7 @@ class Config:
         out["detection"] |= {"ad_stay_loudness_delta_db": self.detection.stay_delta, "ad_stay_absolute_dbfs": self.detection.stay_absolute}
         for name, text in settings.items():
             section, _, key = name.partition(".")
+            section = SECTION_NAMES.get(section, section)
             _require(section in out and key in out[section], f"unknown setting {name}")
             out[section][key] = _from_text(text, out[section][key], name)
         return Config.from_dict(out)
