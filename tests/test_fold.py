@@ -127,3 +127,34 @@ def test_state_survives_storage():
         parts += run([w], None, state, i)[0]
         state = fold.State.from_dict(json.loads(json.dumps(state.to_dict())))
     assert parts == whole
+
+
+def test_sessions_longer_than_a_batch(spark):
+    """Rows of a session in many batches, in any order, and several configs at once."""
+    import random
+
+    from tidemark.operators import detect, sequence
+
+    rnd = random.Random(4)
+    kinds = [CONTENT, SILENT, AD, AFTER_GAP]
+    windows = [(s, i, float(i), 0, rnd.choice(kinds) | {"rms_dbfs": -20.0 + rnd.random() * 6}) for s in ("a", "b", None) for i in range(700 if s == "a" else 90)]
+    rows = [(s, i, t, e, *(w[c] for c in detect.READ)) for s, i, t, e, w in windows]
+    rnd.shuffle(rows)
+    frame = spark.createDataFrame(rows, "session_id string, window_index long, timestamp double, epoch int, " + ", ".join(f"{c} {'boolean' if c == 'is_silence' else 'double'}" for c in detect.READ))
+    tried = [config(confirm=2), config(confirm=1, min_gap_seconds=0.3)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        got = {(r.session_id, r.config_id, r.window_index): (r.event, r.state) for r in detect.decisions(frame, tried, columns=("event", "state")).collect()}
+        based = {(r.session_id, r.window_index): r.baseline_count for r in sequence.ema_baseline(frame, 0.05).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 2 * len(rows)
+    for s in ("a", "b", None):
+        own = [w for x, _, _, _, w in windows if x == s]
+        for k, c in enumerate(tried):
+            state = fold.State()
+            for i, w in enumerate(own):
+                d = fold.step(state, w, float(i), c)
+                assert got[s, k, i] == (d.event, state.state)
+        assert [based[s, i] for i in range(len(own))] == [sum(not w["is_silence"] for w in own[:i]) for i in range(len(own))]

@@ -35,3 +35,27 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     names = ["session_id", "window_index", "event", "ad_profile", "state", "muted", "baseline_count"]
     assert sorted(map(tuple, out.filter("not late").select(*names).collect())) == sorted(map(tuple, batch.select(*names).collect()))
     assert out.filter("late").select(F.count_distinct("session_id")).first()[0] == late.session_id.nunique()
+
+
+def test_idle_sessions_end(spark, sf_dir, tmp_path):
+    """Without a flush row: the tail is stepped after the idle time, mutes are taken back, commands are the batch's."""
+    import time
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    config = CONFIG.with_detection(baseline_min_windows=3)
+    rows = adapters.windows(spark, sf_dir).filter("session_id < 3 and window_index < 30").select("session_id", "window_index", "timestamp", *detect.READ)
+    batch = detect.decisions(rows, config)
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in/b0")
+    source = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in/*")
+    query = stream.write_commands(stream.decisions(source, config, 10.0, 3.0), f"{tmp_path}/commands", f"{tmp_path}/cp")
+    names = ["session_id", "window_index", "want_muted", "at_end"]
+    want = sorted(map(tuple, detect.commands(batch).select(*names).collect()))
+    try:
+        until, got = time.time() + 90, []
+        while got != want and time.time() < until:
+            time.sleep(1)
+            parts = list(tmp_path.glob("commands/batch=*/*.parquet"))
+            got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/commands").select(*names).collect())) if parts else []
+    finally:
+        query.stop()
+    assert want and got == want

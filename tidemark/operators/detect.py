@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import fields
+from operator import attrgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.config import Config
-from tidemark.operators import fold
+from tidemark.operators import fold, sequence
 
 FEATURES = (
     "rms_dbfs", "peak", "peak_dbfs", "crest_factor", "crest_db", "spectral_centroid_hz", "zero_crossing_rate", "is_silence", "silence_ratio",
@@ -29,38 +31,70 @@ DECISION = (
 )
 STATES = "state string, muted boolean, pending int"
 _NAMES = [f.name for f in fields(fold.Decision)]
+_TYPES = dict(x.split() for x in f"{DECISION}, {STATES}".split(", "))
+#: Columns that a window may leave without a value, and what pandas needs to know them.
+_PANDAS = {"int": "Int32", "boolean": "boolean"}
 
 
-def decided(rows: pd.DataFrame, state: fold.State, config: Config) -> list[tuple]:
+def records(rows: pd.DataFrame) -> Iterator[dict]:
+    """Each row as a mapping; missing values of optional columns are None."""
+    columns = [rows[c].astype(object).where(rows[c].notna(), None).tolist() if c in OPTIONAL else rows[c].tolist() for c in rows.columns]
+    names = list(rows.columns)
+    return (dict(zip(names, values)) for values in zip(*columns))
+
+
+_of_decision = attrgetter(*_NAMES)
+
+
+def decided(rows: Iterable[dict], state: fold.State, config: Config, detector: fold.Detector = fold.RULES) -> list[tuple]:
     """Decision and state of each row, in their order; changes `state`."""
     out = []
-    for w in rows.to_dict("records"):
-        w = {k: None if k in OPTIONAL and pd.isna(v) else v for k, v in w.items()}
-        if w.get("command_ok") is None:
-            w["command_ok"] = True
-        d = fold.step(state, w, w["timestamp"], config)
-        out.append((*(getattr(d, n) for n in _NAMES), state.state, state.believed_muted, state.pending))
+    for w in rows:
+        d = fold.step(state, w, w["timestamp"], config, detector)
+        out.append((*_of_decision(d), state.state, state.believed_muted, state.pending))
     return out
 
 
-def decisions(windows: DataFrame, config: Config | list[Config], keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
-    """keys, window_index, timestamp, decision and state of every window.
+def decisions(
+    windows: DataFrame, config: Config | list[Config], keys: tuple[str, ...] = ("session_id",), detector: fold.Detector = fold.RULES,
+    columns: tuple[str, ...] = tuple(_TYPES),
+) -> DataFrame:
+    """keys, window_index, timestamp and `columns` (of decision and state) of every window.
 
-    Sessions are folded in parallel, each in the order of window_index. Only
-    the scalars that the fold reads are shuffled. Of several configs, a row's
-    config_id (one of the keys) says which is used.
+    Sessions are folded in parallel, each in the order of window_index. Rows
+    stream through a task in order and only the fold's state is kept from one
+    batch to the next, so a session may have any length. Of several configs,
+    each window is folded once for each, and config_id says which. Only the
+    scalars that the fold reads are shuffled, once.
     """
     more = [c for c in OPTIONAL if c in windows.columns]
     read = windows.select(*keys, "window_index", "timestamp", *READ, *more)
-
-    def session(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("window_index", kind="stable")
-        own = config if isinstance(config, Config) else config[rows["config_id"].iloc[0]]
-        found = pd.DataFrame(decided(rows, fold.State(), own), columns=[*_NAMES, "state", "muted", "pending"])
-        return pd.concat([rows[[*keys, "window_index", "timestamp"]].reset_index(drop=True), found.astype({"baseline_count": "Int32"})], axis=1)
-
-    ids = ", ".join(f"{c} {read.schema[c].dataType.simpleString()}" for c in (*keys, "window_index", "timestamp"))
-    return read.groupBy(*keys).applyInPandas(session, f"{ids}, {DECISION}, {STATES}")
+    several, ids = not isinstance(config, Config), [*keys, "window_index", "timestamp"]
+    tried = list(config) if several else [config]
+    shown = attrgetter(*(c for c in columns if c in _NAMES)) if any(c in _NAMES for c in columns) else None
+    held = attrgetter(*({"muted": "believed_muted"}.get(c, c) for c in columns if c not in _NAMES)) if any(c not in _NAMES for c in columns) else None
+    order = [c for c in columns if c in _NAMES] + [c for c in columns if c not in _NAMES]
+    both = lambda got: got if isinstance(got, tuple) else (got,)
+
+    def folded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, states = None, []
+        for rows in parts:
+            found: list[list[tuple]] = [[] for _ in tried]
+            known = rows[list(keys)].astype(object).where(rows[list(keys)].notna(), None)
+            for key, w in zip(known.itertuples(index=False, name=None), records(rows)):
+                if now is None or key != now:
+                    now, states = key, [fold.State() for _ in tried]
+                for own, state, out in zip(tried, states, found):
+                    d = fold.step(state, w, w["timestamp"], own, detector)
+                    out.append((*(both(shown(d)) if shown else ()), *(both(held(state)) if held else ())))
+            for k, out in enumerate(found):
+                got = pd.DataFrame(out, columns=order)
+                got = got.astype({c: _PANDAS[_TYPES[c]] for c in order if _TYPES[c] in _PANDAS})
+                own = rows[ids].reset_index(drop=True)
+                yield pd.concat([own.assign(config_id=k) if several else own, got], axis=1)
+
+    types = {c: read.schema[c].dataType.simpleString() for c in ids} | ({"config_id": "int"} if several else {}) | {c: _TYPES[c] for c in order}
+    return sequence.in_order(read, keys).mapInPandas(folded, ", ".join(f"`{c}` {t}" for c, t in types.items()))
 
 
 def edges(decided: DataFrame, keys: tuple[str, ...] = ("session_id",)) -> DataFrame:

@@ -1,18 +1,18 @@
 """The detector and its controller as one step over a session's windows.
 
-A step takes the state, a window's features and its time and gives the new
-state's decision. It reads no clock and knows nothing of Spark, so a batch fold
-and a stream share it. Detector and controller are one fold because the
-controller clears the detector: when a confirmation fails and when the mute
-failsafe trips.
+A step takes the state, a window's features and its time and gives the window's
+decision. It reads no clock and knows nothing of Spark, so a batch fold and a
+stream share it. Detector and controller are one fold because the controller
+clears the detector: when a confirmation fails and when the mute failsafe trips.
+Any `Detector` can take the place of the rules.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field
 from statistics import median
+from typing import Any, Protocol
 
 from tidemark.config import Config
 
@@ -23,7 +23,7 @@ FULLY_SILENT = 0.999
 ABSOLUTE_SPAN_DB = 12.0
 
 
-@dataclass
+@dataclass(slots=True)
 class Baseline:
     rms: float | None = None
     crest: float | None = None
@@ -31,16 +31,20 @@ class Baseline:
     count: int = 0
 
     def take(self, w: Mapping, alpha: float) -> None:
-        new = (w["rms_dbfs"], w["crest_db"], w["spectral_centroid_hz"])
+        rms, crest, centroid = w["rms_dbfs"], w["crest_db"], w["spectral_centroid_hz"]
         if self.count:
-            new = tuple((1 - alpha) * old + alpha * x for old, x in zip((self.rms, self.crest, self.centroid), new))
-        self.rms, self.crest, self.centroid = new
+            keep = 1 - alpha
+            rms, crest, centroid = keep * self.rms + alpha * rms, keep * self.crest + alpha * crest, keep * self.centroid + alpha * centroid
+        self.rms, self.crest, self.centroid = rms, crest, centroid
         self.count += 1
 
 
-@dataclass
+@dataclass(slots=True)
 class State:
-    """All that is carried from one window to the next; plain values, so it can be stored."""
+    """All that is carried from one window to the next; plain values, so it can be stored.
+
+    Detectors other than the rules keep what they remember in `own`.
+    """
 
     baseline: Baseline = field(default_factory=Baseline)
     in_ad: bool = False
@@ -52,6 +56,7 @@ class State:
     voiced_centroid: float | None = None
     streak: int = 0
     recent: list[float] = field(default_factory=list)
+    own: dict[str, Any] = field(default_factory=dict)
     state: str = CONTENT
     pending: int = 0
     muted_at: float | None = None
@@ -76,7 +81,7 @@ class State:
         self.baseline, self.carry, self.voiced_rms, self.voiced_centroid, self.recent = Baseline(), 0.0, None, None, []
 
 
-@dataclass
+@dataclass(slots=True)
 class Decision:
     """What the detector says of a window. Baselines are those before the window."""
 
@@ -98,6 +103,19 @@ class Decision:
     ad_elapsed_seconds: float | None = None
 
 
+class Detector(Protocol):
+    """What the fold needs of a detector; all it remembers is in the state."""
+
+    def update(self, s: State, w: Mapping, t: float, config: Config) -> Decision:
+        """The decision on one window; event says what begins or ends, ad_profile what the window is like."""
+
+    def reset(self, s: State) -> None:
+        """Forgets everything: nothing learned so far holds any more."""
+
+    def reject(self, s: State) -> None:
+        """Forgets the ad that it has reported."""
+
+
 def _unit(x: float) -> float:
     return min(1.0, max(0.0, x))
 
@@ -124,128 +142,133 @@ def _cue(s: State, w: Mapping, t: float, gap: float, cfg) -> float:
     return gap
 
 
-def detect(s: State, w: Mapping, t: float, config: Config) -> Decision:
-    """One window through the detector; changes `s`."""
-    cfg = config.detection
-    d = Decision(event=NONE, gap_seconds=_stitched_gap(s, w))
-    d.cue_gap_seconds = _cue(s, w, t, d.gap_seconds, cfg)
-    s.recent = list(deque([*s.recent, w["rms_dbfs"]], cfg.loudness_median_windows))
-    d.smoothed_rms_dbfs = median(s.recent)
-
-    absolute = cfg.ad_absolute_dbfs is not None
-    bars = (cfg.ad_absolute_dbfs, cfg.stay_absolute) if absolute else (cfg.ad_loudness_delta_db, cfg.stay_delta)
-    bar = d.loudness_threshold_db = bars[s.in_ad]
-    base, silent = s.baseline, bool(w["is_silence"])
-    ready = base.count >= cfg.baseline_min_windows
-    judged = not silent and (absolute or ready)
-    d.loudness_delta_db = w["rms_dbfs"] - base.rms if judged and ready else 0.0
-    d.crest_delta_db = base.crest - w["crest_db"] if judged and ready else 0.0
-    # With a cold baseline the crest's difference is 0, so a positive bar is not met even in absolute mode.
-    level = d.smoothed_rms_dbfs if absolute else d.loudness_delta_db
-    d.ad_profile = judged and level >= bar and d.crest_delta_db >= cfg.ad_crest_delta_db
-
-    if s.cue_at is not None and t - s.cue_at > cfg.cue_grace_seconds:
-        s.cue_at = None
-    d.cue_active = s.cue_at is not None
-    d.baseline_rms_dbfs, d.baseline_crest_db, d.baseline_centroid_hz, d.baseline_count = base.rms, base.crest, base.centroid, base.count
-    loud = (level - bar) / ABSOLUTE_SPAN_DB if absolute else d.loudness_delta_db / max(bar, 1e-6)
-    crest = d.crest_delta_db / max(cfg.ad_crest_delta_db, 1e-6)
-    d.confidence = round(_unit(0.5 * _unit(loud) + 0.5 * _unit(crest)), 3)
-    if not silent:
-        s.voiced_rms, s.voiced_centroid = w["rms_dbfs"], w["spectral_centroid_hz"]
-    (_in_ad if s.in_ad else _in_content)(s, w, t, d, cfg, absolute)
-    return d
+class Rules:
+    """The rule-based detector: a transition cue, then windows louder or flatter than the baseline."""
 
+    def reset(self, s: State) -> None:
+        s.forget_all()
 
-def _in_content(s: State, w: Mapping, t: float, d: Decision, cfg, absolute: bool) -> None:
-    if d.ad_profile and d.cue_active:
-        s.in_ad, s.ad_started_at, s.cue_at, s.streak = True, t, None, 0
-        heard = f"level {d.smoothed_rms_dbfs:.1f} dBFS" if absolute else f"level +{d.loudness_delta_db:.1f} dB"
-        d.event, d.reason = STARTED, f"gap of {d.cue_gap_seconds:.2f} s, then {heard}, crest -{d.crest_delta_db:.1f} dB"
-        return
-    if not w["is_silence"]:
-        s.baseline.take(w, cfg.baseline_alpha)
-    if s.baseline.count < cfg.baseline_min_windows:
-        d.reason = f"baseline has {s.baseline.count} of {cfg.baseline_min_windows} windows"
-    elif d.ad_profile:
-        d.reason = "like an ad, but no transition before it"
-    else:
-        d.reason = "transition heard, no ad yet" if d.cue_active else "content"
+    def reject(self, s: State) -> None:
+        s.forget_ad()
 
+    def update(self, s: State, w: Mapping, t: float, config: Config) -> Decision:
+        cfg = config.detection
+        d = Decision(event=NONE, gap_seconds=_stitched_gap(s, w))
+        d.cue_gap_seconds = _cue(s, w, t, d.gap_seconds, cfg)
+        s.recent.append(w["rms_dbfs"])
+        del s.recent[: -cfg.loudness_median_windows]
+        d.smoothed_rms_dbfs = median(s.recent)
+
+        absolute = cfg.ad_absolute_dbfs is not None
+        if absolute:
+            bar = cfg.stay_absolute if s.in_ad else cfg.ad_absolute_dbfs
+        else:
+            bar = cfg.stay_delta if s.in_ad else cfg.ad_loudness_delta_db
+        d.loudness_threshold_db = bar
+        base, silent = s.baseline, bool(w["is_silence"])
+        ready = base.count >= cfg.baseline_min_windows
+        judged = not silent and (absolute or ready)
+        d.loudness_delta_db = w["rms_dbfs"] - base.rms if judged and ready else 0.0
+        d.crest_delta_db = base.crest - w["crest_db"] if judged and ready else 0.0
+        # With a cold baseline the crest's difference is 0, so a positive bar is not met even in absolute mode.
+        level = d.smoothed_rms_dbfs if absolute else d.loudness_delta_db
+        d.ad_profile = judged and level >= bar and d.crest_delta_db >= cfg.ad_crest_delta_db
+
+        if s.cue_at is not None and t - s.cue_at > cfg.cue_grace_seconds:
+            s.cue_at = None
+        d.cue_active = s.cue_at is not None
+        d.baseline_rms_dbfs, d.baseline_crest_db, d.baseline_centroid_hz, d.baseline_count = base.rms, base.crest, base.centroid, base.count
+        loud = (level - bar) / ABSOLUTE_SPAN_DB if absolute else d.loudness_delta_db / max(bar, 1e-6)
+        crest = d.crest_delta_db / max(cfg.ad_crest_delta_db, 1e-6)
+        d.confidence = round(0.5 * _unit(loud) + 0.5 * _unit(crest), 3)
+        if not silent:
+            s.voiced_rms, s.voiced_centroid = w["rms_dbfs"], w["spectral_centroid_hz"]
+        (self._inside if s.in_ad else self._outside)(s, w, t, d, cfg, absolute)
+        return d
+
+    def _outside(self, s: State, w: Mapping, t: float, d: Decision, cfg, absolute: bool) -> None:
+        if d.ad_profile and d.cue_active:
+            s.in_ad, s.ad_started_at, s.cue_at, s.streak = True, t, None, 0
+            heard = f"level {d.smoothed_rms_dbfs:.1f} dBFS" if absolute else f"level +{d.loudness_delta_db:.1f} dB"
+            d.event, d.reason = STARTED, f"gap of {d.cue_gap_seconds:.2f} s, then {heard}, crest -{d.crest_delta_db:.1f} dB"
+            return
+        if not w["is_silence"]:
+            s.baseline.take(w, cfg.baseline_alpha)
+        if s.baseline.count < cfg.baseline_min_windows:
+            d.reason = f"baseline has {s.baseline.count} of {cfg.baseline_min_windows} windows"
+        elif d.ad_profile:
+            d.reason = "like an ad, but no transition before it"
+        else:
+            d.reason = "transition heard, no ad yet" if d.cue_active else "content"
 
-def _in_ad(s: State, w: Mapping, t: float, d: Decision, cfg, absolute: bool) -> None:
-    elapsed = d.ad_elapsed_seconds = t - (t if s.ad_started_at is None else s.ad_started_at)
-    if elapsed >= cfg.max_ad_seconds:
-        s.forget_ad()
-        d.event, d.ad_profile, d.confidence, d.reason = ENDED, False, 0.0, f"failsafe after {elapsed:.0f} s"
-    elif d.ad_profile:
-        s.streak = 0
-        d.reason = f"ad goes on ({elapsed:.0f} s)"
-    else:
-        s.streak += 1
-        if s.streak >= cfg.ad_end_windows and elapsed >= cfg.min_ad_seconds:
-            d.event, d.confidence, d.reason = ENDED, 0.0, f"{s.streak} windows unlike an ad after {elapsed:.0f} s"
+    def _inside(self, s: State, w: Mapping, t: float, d: Decision, cfg, absolute: bool) -> None:
+        elapsed = d.ad_elapsed_seconds = t - (t if s.ad_started_at is None else s.ad_started_at)
+        if elapsed >= cfg.max_ad_seconds:
             s.forget_ad()
-            if not w["is_silence"]:
-                s.baseline.take(w, cfg.baseline_alpha)
+            d.event, d.ad_profile, d.confidence, d.reason = ENDED, False, 0.0, f"failsafe after {elapsed:.0f} s"
+        elif d.ad_profile:
+            s.streak = 0
+            d.reason = f"ad goes on ({elapsed:.0f} s)"
         else:
-            d.reason = f"unlike an ad {s.streak} of {cfg.ad_end_windows} times ({elapsed:.0f} s)"
+            s.streak += 1
+            if s.streak >= cfg.ad_end_windows and elapsed >= cfg.min_ad_seconds:
+                d.event, d.confidence, d.reason = ENDED, 0.0, f"{s.streak} windows unlike an ad after {elapsed:.0f} s"
+                s.forget_ad()
+                if not w["is_silence"]:
+                    s.baseline.take(w, cfg.baseline_alpha)
+            else:
+                d.reason = f"unlike an ad {s.streak} of {cfg.ad_end_windows} times ({elapsed:.0f} s)"
 
 
-def _to_content(s: State) -> None:
-    s.state, s.pending, s.muted_at = CONTENT, 0, None
+RULES = Rules()
 
+#: Where the controller wants to be after an event, by where it is. Staying put is left out.
+_WISHES = {(CONTENT, STARTED): SUSPECTED, (SUSPECTED, ENDED): CONTENT, (MUTED, ENDED): CONTENT}
 
-def _mute(s: State, t: float, ok: bool) -> None:
-    if s.believed_muted or ok:
-        s.state, s.muted_at, s.believed_muted, s.unmute_pending = MUTED, t, True, False
 
+def _control(s: State, d: Decision, t: float, ok: bool, cfg, detector: Detector) -> None:
+    """One transition: what is wanted now, then as much of it as the actuator does (`ok`).
 
-def _unmute(s: State, ok: bool) -> None:
-    if not s.believed_muted or ok:
-        s.believed_muted, s.unmute_pending = False, False
-        _to_content(s)
-    else:
+    An unmute that failed is wanted until it works. The detector is told when
+    its ad comes to nothing: not confirmed, or muted for too long.
+    """
+    wish, reject = _WISHES.get((s.state, d.event), s.state), False
+    if s.state == MUTED and wish == MUTED:
+        overdue = s.muted_at is not None and t - s.muted_at >= cfg.max_mute_seconds
+        reject = overdue and not (s.unmute_pending and ok)
+        wish = CONTENT if overdue or s.unmute_pending else MUTED
+    elif s.state == SUSPECTED and wish == SUSPECTED and not d.ad_profile:
+        wish, reject = CONTENT, True
+    elif wish == SUSPECTED:
+        s.pending = s.pending + 1 if s.state == SUSPECTED else 1
+        s.state = SUSPECTED
+        wish = MUTED if s.pending >= cfg.confirm_windows else SUSPECTED
+    if reject:
+        detector.reject(s)
+    _move(s, wish, t, ok)
+
+
+def _move(s: State, wish: str, t: float, ok: bool) -> None:
+    if wish == s.state:
+        return
+    if wish == MUTED:
+        if ok or s.believed_muted:
+            s.state, s.muted_at, s.believed_muted, s.unmute_pending = MUTED, t, True, False
+    elif s.state == MUTED and s.believed_muted and not ok:
         s.unmute_pending = True
+    else:
+        if s.state == MUTED:
+            s.believed_muted = s.unmute_pending = False
+        s.state, s.pending, s.muted_at = CONTENT, 0, None
 
 
-def _break_off(s: State, ok: bool) -> None:
+def _break_off(s: State, t: float, ok: bool, detector: Detector) -> None:
     """Nothing learned so far holds any more."""
-    s.forget_all()
-    if s.state == MUTED or s.believed_muted:
-        _unmute(s, ok)
-    else:
-        _to_content(s)
-
-
-def _control(s: State, d: Decision, t: float, ok: bool, cfg) -> None:
-    if s.state == MUTED:
-        if s.unmute_pending:
-            _unmute(s, ok)
-            if s.state == CONTENT:
-                return
-        if d.event == ENDED:
-            _unmute(s, ok)
-        elif t - (t if s.muted_at is None else s.muted_at) >= cfg.max_mute_seconds:
-            s.forget_ad()
-            _unmute(s, ok)
-    elif s.state == SUSPECTED:
-        if d.event == ENDED:
-            _to_content(s)
-        elif not d.ad_profile:
-            _to_content(s)
-            s.forget_ad()
-        else:
-            s.pending += 1
-            if s.pending >= cfg.confirm_windows:
-                _mute(s, t, ok)
-    elif d.event == STARTED:
-        s.state, s.pending = SUSPECTED, 1
-        if s.pending >= cfg.confirm_windows:
-            _mute(s, t, ok)
+    detector.reset(s)
+    _move(s, CONTENT, t, ok)
 
 
-def _check_app(s: State, w: Mapping, t: float, config: Config) -> bool:
+def _check_app(s: State, w: Mapping, t: float, config: Config, detector: Detector) -> bool:
     """Is detection armed? An unknown app (null) keeps what was known."""
     if not config.gate.armed_apps_only:
         return True
@@ -255,24 +278,32 @@ def _check_app(s: State, w: Mapping, t: float, config: Config) -> bool:
             app_id, name = w["app_id"], w.get("app_name") or ""
             armed, own = config.gate.matches(app_id, name), app_id or name
             if armed and own != s.armed_app:
-                s.forget_all()
+                detector.reset(s)
             s.armed, s.armed_app = armed, own if armed else ""
     return s.armed
 
 
-def step(s: State, w: Mapping, t: float, config: Config) -> Decision:
+def step(s: State, w: Mapping, t: float, config: Config, detector: Detector = RULES) -> Decision:
     """One window through gate, detector and controller; changes `s`.
 
     `w` has the features, and may have stream_restarted, app_id and app_name
     (null id: not known) and command_ok (did the actuator obey; default yes).
     """
-    ok = bool(w.get("command_ok", True))
+    ok = w.get("command_ok")
+    ok = True if ok is None else bool(ok)
     if w.get("stream_restarted") and w.get("window_index", 0) > 0:
-        _break_off(s, ok)
-    if not _check_app(s, w, t, config):
-        if s.state != CONTENT or s.believed_muted:
-            _break_off(s, ok)
+        _break_off(s, t, ok, detector)
+    if not _check_app(s, w, t, config, detector):
+        if s.state != CONTENT:
+            _break_off(s, t, ok, detector)
         return Decision()
-    d = detect(s, w, t, config)
-    _control(s, d, t, ok, config.controller)
+    d = detector.update(s, w, t, config)
+    _control(s, d, t, ok, config.controller, detector)
     return d
+
+
+def shut_down(s: State) -> bool:
+    """The end of a session: leaves it unmuted. Was it muted?"""
+    muted = s.believed_muted
+    s.state, s.pending, s.muted_at, s.believed_muted, s.unmute_pending = CONTENT, 0, None, False, False
+    return muted

@@ -7,6 +7,8 @@ is one ordered sequence, so sessions are the unit of parallel work.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,29 +94,43 @@ def trailing_median(windows: DataFrame, n: int) -> DataFrame:
     return windows.withColumn("smoothed_rms_dbfs", F.percentile("rms_dbfs", F.lit(0.5)).over(frame))
 
 
+def in_order(windows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each session's windows together and in order, sessions dealt over an explicit number of tasks.
+
+    A fold is much work for few bytes, so tasks must not be merged by size.
+    """
+    spark = windows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    order = [c for c in ("window_index", "timestamp") if c in windows.columns]
+    return windows.repartition(tasks, *keys).sortWithinPartitions(*keys, *order)
+
+
 def ema_baseline(windows: DataFrame, alpha: float) -> DataFrame:
     """Adds the baseline before each window: an exponential mean over windows that were not silent.
 
     The recursion has no stable closed form over long sessions, so each session
-    is folded in order; rows carry scalars only.
+    is folded in order. Rows stream through a task and three means are kept
+    from one batch to the next, so a session may have any length.
     """
     names = ["rms_dbfs", "crest_db", "spectral_centroid_hz"]
     out = ["baseline_rms_dbfs", "baseline_crest_db", "baseline_centroid_hz"]
 
-    def fold(session: pd.DataFrame) -> pd.DataFrame:
-        session = session.sort_values("window_index", kind="stable")
-        base: list[float] | None = None
-        count, rows = 0, []
-        for silent, *values in session[["is_silence", *names]].itertuples(index=False):
-            rows.append((*(base or (None,) * 3), count))
-            if not silent:
-                base = values if base is None else [(1 - alpha) * b + alpha * x for b, x in zip(base, values)]
-                count += 1
-        found = pd.DataFrame(rows, columns=[*out, "baseline_count"], index=session.index)
-        return pd.concat([session, found.astype({c: "float64" for c in out} | {"baseline_count": "int32"})], axis=1)
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, base, count = None, None, 0
+        for rows in parts:
+            found = []
+            for session, epoch, silent, *values in zip(*(rows[c].tolist() for c in ("session_id", "epoch", "is_silence", *names))):
+                if (session, epoch) != now:
+                    now, base, count = (session, epoch), None, 0
+                found.append((*(base or (None,) * 3), count))
+                if not silent:
+                    base = values if base is None else [(1 - alpha) * b + alpha * x for b, x in zip(base, values)]
+                    count += 1
+            more = pd.DataFrame(found, columns=[*out, "baseline_count"], index=rows.index)
+            yield pd.concat([rows, more.astype({c: "float64" for c in out} | {"baseline_count": "int32"})], axis=1)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema), *(f"{c} double" for c in out), "baseline_count int"])
-    return windows.groupBy("session_id", "epoch").applyInPandas(fold, schema).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in out})
+    return in_order(windows, ("session_id", "epoch")).mapInPandas(fold, schema).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in out})
 
 
 def feature_deltas(baselined: DataFrame) -> DataFrame:

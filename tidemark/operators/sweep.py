@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Config, ConfigError
 from tidemark.operators import detect, intervals
+from tidemark.sources import tables
 
 
 def configs(base: Config, key: str, values: Iterable[str]) -> tuple[list[Config], list[str]]:
@@ -25,13 +26,19 @@ def configs(base: Config, key: str, values: Iterable[str]) -> tuple[list[Config]
 def sweep(windows: DataFrame, tried: list[Config], breaks: DataFrame, sessions: DataFrame) -> DataFrame:
     """config_id and pooled scores of each config.
 
-    Each window is repeated for each config as scalars and folded by (session,
-    config); `breaks` and `sessions` (session_id, duration) are repeated too.
-    The spans are kept while they are scored, or each score would fold again.
+    Each window is shuffled once and folded for all configs; `breaks` and
+    `sessions` (session_id, duration) are repeated for each. The spans are a
+    table while they are scored, or each score would fold again.
     """
     each = F.explode(F.sequence(F.lit(0), F.lit(len(tried) - 1))).alias("config_id")
     keys = ("session_id", "config_id")
-    mutes = detect.mute_spans(detect.decisions(windows.select("*", each), tried, keys), keys=keys).persist()
+    mutes = tables.written(detect.mute_spans(detect.decisions(windows, tried, columns=("muted",)), keys=keys), "mutes")
     own = breaks.select("*", each)
     scores = intervals.score_sessions(sessions.select("*", each), mutes, own, keys)
     return intervals.score_totals(scores, intervals.break_latency(mutes, own, keys), ("config_id",))
+
+
+def skipped(tried: Iterable[str], bad: list[str]) -> str:
+    """What a sweep reports of the values that are not valid; empty if all are."""
+    n = len(list(tried))
+    return f"{len(bad)} of {n} values skipped as invalid: {', '.join(bad)}" if bad else ""

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import Config, Control, Detection
+from tidemark.config import Config, Control, Detection, Gate
 from tidemark.functions import kernels, signal
 from tidemark.operators import dataset, detect, intervals, sequence
 from tidemark.operators import sweep as sweeps
 from tidemark.plans import signal_sql
-from tidemark.sources import adapters
+from tidemark.sources import adapters, tables
 
 CONFIG = Config(
     detection=Detection(
@@ -26,8 +27,14 @@ SWEEP_VALUES = tuple(f"{0.137 + 0.31 * k:.3f}" for k in range(12))
 #: Fixed values of the app gate query.
 APP_IDS, APP_NAMES = ("12", "7"), ("click",)
 
+#: The gate is on, and asked often; several apps are armed.
+GATED = replace(
+    CONFIG.with_detection(baseline_min_windows=2, ad_loudness_delta_db=0.137, ad_stay_loudness_delta_db=-6.063, max_ad_seconds=12.5),
+    controller=Control(confirm_windows=2, max_mute_seconds=12.5, app_check_seconds=3.5), gate=Gate(armed_apps_only=True, armed_app_ids=("0", "2"), armed_app_names=APP_NAMES),
+)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = signal_sql.statements(CONFIG, SWEEP_VALUES, APP_IDS, APP_NAMES)
+ORACLE_SQL: dict[str, str] = signal_sql.statements(CONFIG, SWEEP_VALUES, APP_IDS, APP_NAMES, GATED)
 
 
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -233,33 +240,46 @@ def dataset_stats(spark, sf_dir):
     return _rounded(dataset.stats(dataset.training_rows(rows, adapters.chunk_spans(rows), CONFIG.detection), CONFIG.detection))
 
 
-def _decided(spark, sf_dir):
-    return detect.decisions(adapters.windows(spark, sf_dir), CONFIG)
+def _decided(spark, sf_dir, *columns: str):
+    return detect.decisions(adapters.windows(spark, sf_dir), CONFIG, columns=columns)
 
 
 @_query
 def detector_decisions(spark, sf_dir):
-    return _at(_decided(spark, sf_dir), "event", "ad_profile", "confidence", "gap_seconds", "cue_active", "smoothed_rms_dbfs", *BASELINE)
+    columns = ("event", "ad_profile", "confidence", "gap_seconds", "cue_active", "smoothed_rms_dbfs", *BASELINE)
+    return _at(_decided(spark, sf_dir, *columns), *columns)
 
 
 @_query
 def detector_events(spark, sf_dir):
-    return _rounded(_decided(spark, sf_dir).filter("event <> 'NO_CHANGE'").select("session_id", "window_index", "timestamp", "event"))
+    return _rounded(_decided(spark, sf_dir, "event").filter("event <> 'NO_CHANGE'").select("session_id", "window_index", "timestamp", "event"))
 
 
 @_query
 def controller_states(spark, sf_dir):
-    return _at(_decided(spark, sf_dir), "state", "muted", "pending")
+    return _at(_decided(spark, sf_dir, "state", "muted", "pending"), "state", "muted", "pending")
+
+
+@_query
+def gated_states(spark, sf_dir):
+    """The app is asked for, the stream starts anew at times, and the actuator does not always obey."""
+    rows = adapters.windows(spark, sf_dir)
+    polled = rows.withColumns({
+        "stream_restarted": F.col("window_index") % 23 == 0, "command_ok": F.col("event_id") % 7 != 3,
+        "app_id": F.when(F.col("event_type") != "view", F.floor((F.col("window_index") + F.col("session_id")) / 17 % 4).cast("string")), "app_name": F.upper("event_type"),
+    })
+    columns = ("event", "state", "muted", "pending")
+    return _at(detect.decisions(polled, GATED, columns=columns), *columns)
 
 
 @_query
 def mute_spans(spark, sf_dir):
-    return _rounded(detect.mute_spans(_decided(spark, sf_dir)))
+    return _rounded(detect.mute_spans(_decided(spark, sf_dir, "muted")))
 
 
 @_query
 def mute_commands(spark, sf_dir):
-    return _rounded(detect.commands(_decided(spark, sf_dir)))
+    return _rounded(detect.commands(_decided(spark, sf_dir, "muted")))
 
 
 @_query
@@ -271,19 +291,20 @@ def feature_log_rows(spark, sf_dir):
 
 @_query
 def replay_changes(spark, sf_dir):
-    return _rounded(detect.replay_changes(_decided(spark, sf_dir)))
+    return _rounded(detect.replay_changes(_decided(spark, sf_dir, "event", "state", "confidence")))
 
 
 @_query
 def replay_summary(spark, sf_dir):
-    decided = _decided(spark, sf_dir)
+    decided = tables.written(_decided(spark, sf_dir, "muted"), "decided")
     return _rounded(detect.replay_summary(detect.mute_spans(decided), decided))
 
 
 def _scored(spark, sf_dir):
     rows = adapters.windows(spark, sf_dir)
     sessions = rows.groupBy("session_id").agg(F.sum("duration_seconds").alias("duration"))
-    return sessions, detect.mute_spans(detect.decisions(rows, CONFIG)).persist(), _breaks(rows)
+    mutes = tables.written(detect.mute_spans(detect.decisions(rows, CONFIG, columns=("muted",))), "mutes")
+    return sessions, mutes, _breaks(rows)
 
 
 @_query

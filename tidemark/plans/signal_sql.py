@@ -164,6 +164,74 @@ mutes as (
   from stretches where muted)"""
 
 
+def _gated(config: Config) -> str:
+    """`gated`: one config's fold with the app gate, restarts of the stream and an actuator that may fail. Relative mode.
+
+    A row is stepped in stages: what breaks off first, then the detector on what is left, then the controller.
+    """
+    d, c, g = config.detection, config.controller, config.gate
+    names = _listed([x.strip().lower() for x in g.armed_app_names])
+    left = lambda column, none="null::double": f"case when reset then {none} else {column} end"
+    ema = lambda b, x: f"case when not takes then {b} when {b} is null then {x} else {1 - d.baseline_alpha}::double * {b} + {d.baseline_alpha}::double * {x} end"
+    return f"""
+polls as (
+  select *, window_index % 23 = 0 and window_index > 0 as restarted, event_id % 7 <> 3 as ok,
+    case when event_type <> 'view' then ((window_index + session_id) // 17 % 4)::bigint::varchar end as app_id, upper(event_type) as app_name from w),
+steps as (
+  select session_id, -1::bigint as i, null::double as br, null::double as bc, null::double as bz, 0 as bn, false as in_ad, null::double as ad_at, 0.0::double as carry,
+    null::double as cue_at, null::double as vr, null::double as vz, 0 as streak, 'CONTENT' as state, 0 as pending, null::double as muted_at, false as unmute,
+    null::double as checked, false as armed, '' as app, '' as event
+  from (select distinct session_id from w)
+  union all
+  select session_id, i, case when on2 then {ema("br", "rms_dbfs")} else br end, case when on2 then {ema("bc", "crest_db")} else bc end,
+    case when on2 then {ema("bz", "centroid")} else bz end, bn + case when on2 and takes then 1 else 0 end,
+    case when on2 then (started or in_ad and not ended) and not reject else in_ad end,
+    case when not on2 then ad_at when (started or in_ad and not ended) and not reject then case when started then t else ad_at end end,
+    case when on2 then carry2 else carry end, case when not on2 then cue_at when not (started or ended or reject) then cue2 end,
+    case when on2 and not silent then rms_dbfs else vr end, case when on2 and not silent then centroid else vz end,
+    case when not on2 then streak when started or ended or reject or not in_ad or profile then 0 else streak + 1 end,
+    case when not on2 then state when wish = 'CONTENT' and state = 'MUTED' and not ok then 'MUTED' when wish = 'MUTED' and state <> 'MUTED' and not ok then 'AD_SUSPECTED' else wish end,
+    case when not on2 then pending when wish = 'CONTENT' and not (state = 'MUTED' and not ok) then 0 when state = 'AD_SUSPECTED' then pending + 1 when started and state = 'CONTENT' then 1 else pending end,
+    case when not on2 then muted_at when wish = 'MUTED' then case when state = 'MUTED' then muted_at when ok then t end when state = 'MUTED' and not ok then muted_at end,
+    case when not on2 or wish = state then unmute when wish = 'CONTENT' then state = 'MUTED' and not ok when wish = 'MUTED' and ok then false else unmute end,
+    checked, on2, app, case when not on2 then '' when started then 'AD_STARTED' when ended then 'AD_ENDED' else 'NO_CHANGE' end
+  from (
+    select *, case state
+        when 'MUTED' then case when ended or overdue or unmute then 'CONTENT' else 'MUTED' end
+        when 'AD_SUSPECTED' then case when ended or not profile then 'CONTENT' when pending + 1 >= {c.confirm_windows} then 'MUTED' else 'AD_SUSPECTED' end
+        else case when not started then 'CONTENT' when 1 >= {c.confirm_windows} then 'MUTED' else 'AD_SUSPECTED' end end as wish,
+      not ended and (state = 'MUTED' and overdue and not (unmute and ok) or state = 'AD_SUSPECTED' and not profile) as reject,
+      not silent and (not in_ad and not started or ended and not failsafe) as takes
+    from (
+      select *, not in_ad and loud and active as started, in_ad and elapsed >= {d.max_ad_seconds} as failsafe, loud and not (in_ad and elapsed >= {d.max_ad_seconds}) as profile,
+        in_ad and (elapsed >= {d.max_ad_seconds} or not loud and streak + 1 >= {d.ad_end_windows} and elapsed >= {d.min_ad_seconds}) as ended,
+        coalesce(t - muted_at >= {c.max_mute_seconds}, false) as overdue
+      from (
+        select *, case when t - cue1 <= {d.cue_grace_seconds} then cue1 end as cue2, coalesce(t - cue1 <= {d.cue_grace_seconds}, false) as active,
+          judged and rms_dbfs - br >= case when in_ad then {d.stay_delta} else {d.ad_loudness_delta_db} end and bc - crest_db >= {d.ad_crest_delta_db} as loud
+        from (
+          select *, t - ad_at as elapsed, not silent and bn >= {d.baseline_min_windows} as judged, case when silence_ratio >= 0.999 then carry + duration else trail_s end as carry2,
+            case when gap between {d.min_gap_seconds} and {d.max_gap_seconds}
+              and (vr is null or abs(rms_dbfs - vr) >= {d.loudness_jump_db} or vz > 1 and abs(centroid - vz) / vz >= {d.centroid_shift_ratio}) then t else cue_at end as cue1
+          from (
+            select *, case when silence_ratio >= 0.999 then 0 else greatest(carry + lead_s, interior) end as gap
+            from (
+              select * exclude (br, bc, bz, bn, in_ad, ad_at, carry, cue_at, vr, vz, streak, state, pending, muted_at, unmute), {left("br")} as br, {left("bc")} as bc, {left("bz")} as bz,
+                {left("bn", "0")} as bn, {left("in_ad", "false")} as in_ad, {left("ad_at")} as ad_at, {left("carry", "0.0")} as carry, {left("cue_at")} as cue_at, {left("vr")} as vr,
+                {left("vz")} as vz, {left("streak", "0")} as streak, case when breaks and stays then 'MUTED' when breaks then 'CONTENT' else state end as state,
+                case when breaks and not stays and state <> 'CONTENT' then 0 else pending end as pending, case when breaks and not stays and state <> 'CONTENT' then null else muted_at end as muted_at,
+                case when breaks and state = 'MUTED' then not ok else unmute end as unmute
+              from (
+                select *, restarted or not on2 as breaks, state = 'MUTED' and not ok as stays, restarted or switched or not on2 and state <> 'CONTENT' as reset
+                from (
+                  select * exclude (checked, app), case when due then t else checked end as checked, due and app_id is not null and fits and app_id <> app as switched,
+                    case when due and app_id is not null then fits else armed end as on2, case when due and app_id is not null then case when fits then app_id else '' end else app end as app
+                  from (
+                    select s.* exclude (i), p.window_index as i, p.t, p.rms_dbfs, p.crest_db, p.centroid, p.silent, p.silence_ratio, p.lead_s, p.trail_s, p.interior, p.duration, p.restarted,
+                      p.ok, p.app_id, coalesce(checked is null or p.t - checked >= {c.app_check_seconds}, true) as due, p.app_id in ({_listed(g.armed_app_ids)}) or lower(trim(p.app_name)) in ({names}) as fits
+                    from steps s join polls p on p.session_id = s.session_id and p.window_index = s.i + 1))))))))))"""
+
+
 SCORES = f"""
 sessions as (select config_id, session_id, sum(duration) as duration from w, trials group by config_id, session_id),
 met as (
@@ -193,7 +261,7 @@ totals as (
 late as (select config_id, round(median(latency), 6) as median_latency, round(max(latency), 6) as max_latency from met group by config_id)"""
 
 
-def statements(config: Config, swept: Sequence[str], app_ids: Sequence[str], app_names: Sequence[str]) -> dict[str, str]:
+def statements(config: Config, swept: Sequence[str], app_ids: Sequence[str], app_names: Sequence[str], gated: Config) -> dict[str, str]:
     d = config.detection
     island = "row_number() over (partition by session_id order by window_index)"
     sofar = "over (partition by session_id order by window_index rows unbounded preceding)"
@@ -305,6 +373,7 @@ select session_id, i as window_index, event, profile as ad_profile, confidence,
   round(pr, 6) as baseline_rms_dbfs, round(pc, 6) as baseline_crest_db, round(pz, 6) as baseline_centroid_hz, pn as baseline_count from decided""",
         "detector_events": f"{folded} select session_id, i as window_index, t as timestamp, event from decided where event <> 'NO_CHANGE'",
         "controller_states": f"{folded} select session_id, i as window_index, state, muted, pending from decided",
+        "gated_states": f"{windows}, {_gated(gated)} select session_id, i as window_index, event, state, state = 'MUTED' as muted, pending from steps where i >= 0",
         "mute_spans": f'{folded} select session_id, span::int as span, start, "end" from mutes',
         "mute_commands": f"""{folded}
 select session_id, i as window_index, t as timestamp, muted as want_muted, false as at_end from changes where changed

@@ -1,9 +1,11 @@
 """The fold over a stream: one state a session, windows released in order.
 
 Rows of a micro-batch come in any order and may come late. A session's rows are
-held until the watermark has passed them, then stepped by time; a row whose
-window is before one that was stepped is late and is counted, not stepped.
-Output is appended as decisions, the same as the batch fold's.
+held until a row of it is newer by the delay, then stepped by time; a row whose
+window is before one that was stepped is late and is marked, not stepped. A
+session that stays silent for the idle time ends: what still waits is stepped,
+a mute is taken back, and its state is dropped. Output is appended as
+decisions, the same as the batch fold's.
 """
 
 from __future__ import annotations
@@ -13,69 +15,102 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.config import Config
 from tidemark.operators import detect, fold
 
-OUTPUT = f"session_id long, window_index long, timestamp double, {detect.DECISION}, {detect.STATES}, late boolean"
+OUTPUT = f"session_id long, window_index long, timestamp double, {detect.DECISION}, {detect.STATES}, late boolean, changed boolean, at_end boolean"
 _COLUMNS = [x.split()[0] for x in OUTPUT.split(", ")]
+_KINDS = {"baseline_count": "Int32", "pending": "Int32"} | {c: "boolean" for c in ("ad_profile", "cue_active", "muted")}
+_MUTED = -2  # the place of muted in a row of detect.decided
 
 
 class Fold(StatefulProcessor):
-    """State: the fold's, the last window stepped, and the rows that wait for the watermark."""
+    """State: the fold's, the last window stepped, and the rows that wait."""
 
-    def __init__(self, config: Config, delay: float) -> None:
-        self.config, self.delay = config, delay
+    def __init__(self, config: Config, delay: float, idle: float | None, detector: fold.Detector) -> None:
+        self.config, self.delay, self.idle, self.detector = config, delay, idle, detector
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.fold = handle.getValueState("fold", "state string, last long, newest double")
         self.waiting = handle.getMapState("waiting", "window_index long", "row string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def _stored(self) -> tuple[fold.State, int, float]:
         stored = self.fold.get() if self.fold.exists() else None
-        state = fold.State.from_dict(json.loads(stored[0])) if stored else fold.State()
-        last, newest = (stored[1], stored[2]) if stored else (-1, float("-inf"))
+        return (fold.State.from_dict(json.loads(stored[0])), stored[1], stored[2]) if stored else (fold.State(), -1, float("-inf"))
+
+    def _held(self) -> list[tuple[int, dict]]:
+        return sorted((int(k[0]), json.loads(v[0])) for k, v in self.waiting.iterator())
+
+    def _stepped(self, rows: list[tuple[int, dict]], state: fold.State) -> list[tuple]:
+        """Output rows of the windows, stepped in order; they no longer wait."""
+        before, out = state.believed_muted, []
+        for (i, w), d in zip(rows, detect.decided([w for _, w in rows], state, self.config, self.detector)):
+            self.waiting.removeKey((i,))
+            out.append((i, w["timestamp"], *d, False, d[_MUTED] != before, False))
+            before = d[_MUTED]
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state, last, newest = self._stored()
         late = []
         for part in rows:
-            for w in part.to_dict("records"):
+            for w in detect.records(part):
                 if w["window_index"] <= last:
                     late.append(w)
                 else:
-                    self.waiting.updateValue((int(w["window_index"]),), (json.dumps({k: v for k, v in w.items() if k != "event_time"}, default=float),))
+                    self.waiting.updateValue((int(w["window_index"]),), (json.dumps(w, default=str),))
                     newest = max(newest, w["timestamp"])
-        held = sorted((int(k[0]), json.loads(v[0])) for k, v in self.waiting.iterator())
-        ready = [(i, w) for i, w in held if w["timestamp"] <= newest - self.delay]
+        ready = [(i, w) for i, w in self._held() if w["timestamp"] <= newest - self.delay]
         if ready:
-            found = detect.decided(pd.DataFrame([w for _, w in ready]), state, self.config)
-            for i, _ in ready:
-                self.waiting.removeKey((i,))
             last = ready[-1][0]
-            yield self._rows(key, [(i, w["timestamp"], *d, False) for (i, w), d in zip(ready, found)])
+            yield self._rows(key, self._stepped(ready, state))
         if late:
-            none = (None,) * (len(_COLUMNS) - 4)
-            yield self._rows(key, [(w["window_index"], w["timestamp"], *none, True) for w in late])
+            none = (None,) * (len(_COLUMNS) - 6)
+            yield self._rows(key, [(w["window_index"], w["timestamp"], *none, True, False, False) for w in late])
         self.fold.update((json.dumps(state.to_dict()), last, float(newest)))
+        if self.idle is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * self.idle))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, last, newest = self._stored()
+        held = self._held()
+        out = self._stepped(held, state)
+        last, newest = (held[-1][0], held[-1][1]["timestamp"]) if held else (last, newest)
+        if fold.shut_down(state):
+            none = (None,) * (len(_COLUMNS) - 9)
+            out.append((last, newest, *none, state.state, False, 0, False, True, True))
+        if out:
+            yield self._rows(key, out)
+        self.fold.clear()
+        self.waiting.clear()
 
     @staticmethod
     def _rows(key, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame([(key[0], *r) for r in rows], columns=_COLUMNS)
-        return out.astype({"baseline_count": "Int32", "pending": "Int32", "ad_profile": "boolean", "cue_active": "boolean", "muted": "boolean"})
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=_COLUMNS).astype(_KINDS)
 
     def close(self) -> None:
         pass
 
 
-def decisions(windows: DataFrame, config: Config, delay_seconds: float = 10.0) -> DataFrame:
+def decisions(
+    windows: DataFrame, config: Config, delay_seconds: float = 10.0, idle_seconds: float | None = None, detector: fold.Detector = fold.RULES
+) -> DataFrame:
     """The stream of decisions of a stream of windows (session_id long, window_index, timestamp, features).
 
-    Rows wait until a window of their session is `delay_seconds` newer.
+    Rows wait until a window of their session is `delay_seconds` newer, or
+    until none has come for `idle_seconds` of processing time (null: for ever,
+    and state is kept). `changed` says where the wanted state changes; a row
+    with `at_end` takes back the mute of a session that ended.
     """
     more = [c for c in detect.OPTIONAL if c in windows.columns]
     read = windows.select("session_id", "window_index", "timestamp", *detect.READ, *more)
-    return read.groupBy("session_id").transformWithStateInPandas(Fold(config, delay_seconds), OUTPUT, "Append", "None")
+    timers = "None" if idle_seconds is None else "ProcessingTime"
+    return read.groupBy("session_id").transformWithStateInPandas(Fold(config, delay_seconds, idle_seconds, detector), OUTPUT, "Append", timers)
 
 
 def write_commands(decided: DataFrame, path: str, checkpoint: str):
@@ -86,7 +121,7 @@ def write_commands(decided: DataFrame, path: str, checkpoint: str):
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        wanted = batch.filter(~F.col("late")).select("session_id", "window_index", "timestamp", F.col("muted").alias("want_muted"), "event", "state")
+        wanted = batch.filter("changed and not late").selectExpr("session_id", "window_index", "timestamp", "muted as want_muted", "at_end", "event", "state")
         wanted.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return decided.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("append").start()
