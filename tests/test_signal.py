@@ -68,3 +68,14 @@ def test_small_columns(spark):
     ).first()
     assert (row.a, row.b, row.c, row.d, row.e, row.f) == ("62:05.9", "01:00.0", "USB", None, -120.0, None)
     assert [tuple(x) for x in row.g] == [(0, 2), (3, 4)]
+
+
+def test_levels_of_no_number_and_signed_zero(spark):
+    rows = spark.createDataFrame([(float("nan"), [0.0, -0.0, 0.0, 1.0]), (0.0, [-1.0, -0.0]), (-1.0, [1.0]), (None, None)], "a double, s array<double>")
+    got = rows.select(signal.decibels(F.col("a")).alias("db"), signal.zero_crossing_rate(F.col("s")).alias("z")).collect()
+    assert [r.db for r in got] == [-120.0, -120.0, -120.0, None] and [r.z for r in got] == [2 / 3, 0.0, 0.0, None]
+
+
+def test_device_candidates(spark):
+    rows = spark.createDataFrame([(" 3 ",), ("plughw:CARD=Receiver,DEV=0",), ("USB",)], "d string")
+    assert [r.c for r in rows.select(signal.device_candidates(F.col("d")).alias("c")).collect()] == [["3"], ["plughw:CARD=Receiver,DEV=0", "Receiver"], ["USB"]]

@@ -22,11 +22,13 @@ def test_wav_windows(spark, tmp_path):
     save(tmp_path / "b.wav", data)
     save(tmp_path / "a.wav", data[:1000])
     spark.dataSource.register(WavSource)
-    rows = spark.read.format("wav_windows").option("path", str(tmp_path)).option("windowsPerTask", "2").load().collect()
+    rows = spark.read.format("wav_windows").option("path", str(tmp_path)).option("bytesPerTask", "6000").load().collect()
     own = sorted((r for r in rows if r.path.endswith("b.wav")), key=lambda r: r.window_index)
     assert [(r.window_index, r.timestamp, len(r.samples), r.stream_restarted) for r in own] == [(0, 0.0, 1000, True), (1, 1.0, 1000, False), (2, 2.0, 1000, False), (3, 3.0, 500, False)]
     assert np.concatenate([r.samples for r in own]) == pytest.approx(data.mean(axis=1) / 32768, abs=1e-6)
-    assert len(rows) == 5
+    assert len(rows) == 5 and {(r.chunk, r.session_id) for r in rows} == {("a", tmp_path.name), ("b", tmp_path.name)}
+    by_uri = spark.read.format("wav_windows").option("path", f"file://{tmp_path}").option("sessionId", "s").load().collect()
+    assert len(by_uri) == 5 and {r.session_id for r in by_uri} == {"s"}
     save(tmp_path / "c.wav", data, width=4)
     with pytest.raises(Exception, match="16-bit"):
         spark.read.format("wav_windows").option("path", str(tmp_path / "c.wav")).load().collect()
@@ -41,9 +43,26 @@ def test_labels(spark, tmp_path):
         (tmp_path / "01.txt").write_text(text)
         with pytest.raises(files.LabelError, match=what):
             files.labels(files.label_lines(spark, str(tmp_path), "s"))
-    wavs = spark.createDataFrame([("/x/01.wav",), ("/x/03.wav",)], "path string")
-    with pytest.raises(files.LabelError, match="03"):
-        files.paired(wavs, good)
+    for name in ("01.wav", "03.wav", "b c.wav"):
+        (tmp_path / name).write_bytes(b"")
+    (tmp_path / "b c.ads.txt").write_text("")
+    wavs, texts = files.listed(spark, str(tmp_path), "*.wav"), files.listed(spark, str(tmp_path), "*.txt")
+    with pytest.raises(files.LabelError, match="no labels for 03$"):
+        files.paired(wavs, texts)
+    (tmp_path / "03.ads.txt").write_text("")
+    assert sorted(r.chunk for r in files.paired(wavs, files.listed(spark, str(tmp_path), "*.txt")).collect()) == ["01", "03", "b c"]
+    with pytest.raises(files.LabelError, match="no WAV"):
+        files.paired(wavs.limit(0), texts)
+
+
+def test_sidecars(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{\n"label": "ad", "note": "", "recorded_at": "2026-08-16T15:20:23.5+02:00", "device": "hw:1", "sample_rate": 48000, "channels": 2, "seconds": 30, "wav": "a.wav"}')
+    (tmp_path / "session.json").write_text('{"session_id": "s1"}')
+    rows = files.sidecars(spark, str(tmp_path))
+    assert [(r.label, r.seconds, r.wav) for r in rows.collect()] == [("ad", 30.0, "a.wav")]
+    assert rows.selectExpr("date_format(recorded_at, 'HH:mm:ss.S') as t").first().t == "13:20:23.5"
+    files.write_sidecars(rows, str(tmp_path / "out"))
+    assert files.sidecars(spark, str(tmp_path / "out")).collect() == rows.collect()
 
 
 def test_session_metadata(spark, tmp_path):

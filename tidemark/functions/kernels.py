@@ -86,18 +86,28 @@ def features(x: np.ndarray, rate: float, silence_dbfs: float = -60.0, frame_seco
     return pd.DataFrame(dict(zip(NAMES, columns)))
 
 
-def window_features(buffers: DataFrame, rate: float, silence_dbfs: float = -60.0, frame_seconds: float = 0.05, keep: tuple[str, ...] = ("vec_id",)) -> DataFrame:
-    """The columns `keep` and the 14 features of every row's `samples`; samples go no further."""
+def window_features(
+    buffers: DataFrame, rate: float | str, silence_dbfs: float = -60.0, frame_seconds: float = 0.05, keep: tuple[str, ...] = ("vec_id",)
+) -> DataFrame:
+    """The columns `keep` and the 14 features of every row's `samples`; samples go no further.
+
+    `rate` is that of all rows, or the column that has each row's. Buffers of
+    equal length and rate are measured together.
+    """
+    by_row = isinstance(rate, str)
 
     def measured(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             lengths = pdf["samples"].map(len).to_numpy()
-            out = pd.DataFrame(index=pdf.index, columns=NAMES, dtype=object)
-            for n in np.unique(lengths):
-                own = np.flatnonzero(lengths == n)
+            rates = pdf["_rate"].to_numpy() if by_row else np.full(len(pdf), rate)
+            out: list[pd.DataFrame] = []
+            for n, own_rate in sorted(set(zip(lengths.tolist(), rates.tolist()))):
+                own = np.flatnonzero((lengths == n) & (rates == own_rate))
                 x = np.stack(pdf["samples"].iloc[own].to_numpy()) if n else np.zeros((len(own), 0))
-                out.iloc[own] = features(x, rate, silence_dbfs, frame_seconds).to_numpy(dtype=object)
-            yield pd.concat([pdf[list(keep)], out], axis=1)
+                out.append(features(x, own_rate, silence_dbfs, frame_seconds).set_index(pdf.index[own]))
+            if out:
+                yield pd.concat([pdf[list(keep)], pd.concat(out)], axis=1)
 
     ids = ", ".join(f"`{c}` {buffers.schema[c].dataType.simpleString()}" for c in keep)
-    return buffers.select(*keep, "samples").filter(F.col("samples").isNotNull()).mapInPandas(measured, f"{ids}, {FEATURES}")
+    read = buffers.select(*keep, "samples", *([F.col(rate).cast("double").alias("_rate")] if by_row else []))
+    return read.filter(F.col("samples").isNotNull()).mapInPandas(measured, f"{ids}, {FEATURES}")

@@ -13,8 +13,8 @@ FLOOR_DB = -120.0
 
 
 def decibels(amplitude: Column) -> Column:
-    """20 log10, at least the floor; null only for null."""
-    level = F.greatest(20 * F.log10(F.when(amplitude > 0, amplitude)), F.lit(FLOOR_DB))
+    """20 log10, at least the floor, which NaN has as well; null only for null."""
+    level = F.greatest(20 * F.log10(F.when((amplitude > 0) & ~F.isnan(amplitude), amplitude)), F.lit(FLOOR_DB))
     return F.when(amplitude.isNotNull(), level)
 
 
@@ -47,9 +47,11 @@ def crest_factor(peak: Column, level: Column) -> Column:
 
 
 def zero_crossing_rate(samples: Column) -> Column:
-    """Changes of sign between neighbours, by their number; 0 for fewer than two samples."""
+    """Changes of the sign bit between neighbours (-0 has it), by their number; 0 for fewer than two samples."""
     n = F.size(samples)
-    pairs = F.zip_with(F.slice(samples, 1, F.greatest(n - 1, F.lit(0))), F.slice(samples, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: (a < 0) != (b < 0))
+    # Zeros compare as equal, so only their text tells their signs.
+    signs = F.transform(samples, lambda x: (x < 0) | ((x == 0) & x.cast("string").startswith("-")))
+    pairs = F.zip_with(F.slice(signs, 1, F.greatest(n - 1, F.lit(0))), F.slice(signs, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: a != b)
     changes = F.size(F.filter(pairs, lambda x: x)).cast("double")
     return F.when(n >= 2, changes / (n - 1)).otherwise(F.when(samples.isNotNull(), F.lit(0.0)))
 
@@ -94,3 +96,9 @@ def card_name(device: Column) -> Column:
     """The card that a device specification names, else null."""
     found = F.regexp_extract(device, "CARD=([^,]+)", 1)
     return F.when(found != "", found)
+
+
+def device_candidates(device: Column) -> Column:
+    """What to look a device up by, in order: an index alone, else the specification and then the card that it names."""
+    spec = F.trim(device)
+    return F.when(spec.rlike("^[0-9]+$"), F.array(spec)).otherwise(F.array_compact(F.array(spec, card_name(spec))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import intervals
@@ -12,13 +12,21 @@ class LabelError(ValueError):
     """Label files are missing or have faulty lines."""
 
 
-def _stem(path):
-    return F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1)
+def _stem(path: Column) -> Column:
+    """A file's name without its ending; label files end in .ads.txt or .txt."""
+    return F.regexp_extract(path, r"([^/]+?)(?:\.ads)?\.[^./]+$", 1)
+
+
+def listed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """path and chunk of the files of a folder, empty ones included, by the listing that Spark's readers hold."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).inputFiles()
+    rows = spark.createDataFrame([(x,) for x in sorted(found)], "path string")
+    return rows.select("path", F.url_decode(_stem(F.col("path"))).alias("chunk"))
 
 
 def label_lines(spark: SparkSession, folder: str, session_id: str) -> DataFrame:
-    """session_id, chunk, line and text of the label files (*.txt) of a session's folder."""
-    rows = spark.read.option("pathGlobFilter", "*.txt").text(folder).withColumn("chunk", _stem(F.input_file_name()))
+    """session_id, chunk, line and text of the label files (*.ads.txt or *.txt) of a session's folder."""
+    rows = spark.read.option("pathGlobFilter", "*.txt").text(folder).withColumn("chunk", F.url_decode(_stem(F.input_file_name())))
     return rows.select(F.lit(session_id).alias("session_id"), "chunk", F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"))
 
 
@@ -33,12 +41,17 @@ def labels(lines: DataFrame, shown: int = 20) -> DataFrame:
     return good
 
 
-def paired(wavs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """WAV files (path) in name order with their chunk; one without a label file is an error."""
-    chunks = wavs.select("path", _stem(F.col("path")).alias("chunk"))
-    if missing := [r.chunk for r in intervals.unlabelled(chunks, labelled.select("chunk").distinct(), "chunk").orderBy("chunk").collect()]:
-        raise LabelError(f"no labels for {', '.join(missing)}")
-    return chunks
+def paired(wavs: DataFrame, label_files: DataFrame, shown: int = 20) -> DataFrame:
+    """WAV files (path, chunk) that all have a label file, which may be empty (no ads).
+
+    No WAV files, or some without a label file, are an error that names some.
+    """
+    if wavs.isEmpty():
+        raise LabelError("no WAV files")
+    missing = intervals.unlabelled(wavs.select("chunk"), label_files.select("chunk").distinct(), "chunk").orderBy("chunk").limit(shown).collect()
+    if missing:
+        raise LabelError(f"no labels for {', '.join(r.chunk for r in missing)}")
+    return wavs
 
 
 def session_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -65,3 +78,18 @@ def device_info(payloads: DataFrame, column: str = "payload") -> DataFrame:
         F.regexp_extract_all(column, F.lit(r"<([A-Za-z][\w.-]*)>([^<]*)</\1>"), F.lit(2)).alias("v"),
     )
     return payloads.withColumn("info", F.map_from_entries(F.array_distinct(pairs)))
+
+
+#: What a recorder writes beside each recording.
+SIDECAR = "label string, note string, recorded_at timestamp, device string, sample_rate int, channels int, seconds double, wav string"
+
+
+def sidecars(spark: SparkSession, folder: str) -> DataFrame:
+    """The sidecar files (*.json but session.json) of a folder; recorded_at is ISO 8601 with an offset. A faulty file is an error."""
+    files = spark.read.option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*.json").schema(SIDECAR)
+    return files.json(folder).filter(~F.col("_metadata.file_name").isin("session.json"))
+
+
+def write_sidecars(rows: DataFrame, path: str) -> None:
+    """Appends rows of that schema as JSON; time stamps keep their offset."""
+    rows.select(*(x.split()[0] for x in SIDECAR.split(", "))).write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
