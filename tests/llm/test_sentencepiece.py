@@ -25,6 +25,19 @@ def test_round_trip(spark, sf_dir, v):
     assert ids[0] is None and ids[1] == [] and ids[4] == ids[12]
 
 
+def test_runs_and_memory_change_nothing(v, monkeypatch):
+    rnd = random.Random(8)
+    texts = [t for t in TEXTS if t] + [" ".join("x" * rnd.randrange(0, 3) + str(rnd.randrange(5000)) + " " * rnd.randrange(3) for _ in range(2000)) for _ in range(3)]
+    whole, places = sp.encoded([None, *texts, ""], v, sp.Memory())
+    assert places[1] == 0 and places[-1] == places[-2] == len(whole)
+    monkeypatch.setattr(sp, "PIECE", 64)
+    monkeypatch.setattr(sp, "REMEMBERED", 100)
+    memory = sp.Memory()
+    for t, a, b in zip(texts, places[1:].tolist(), places[2:].tolist()):
+        assert sp.encoded([t], v, memory)[0].tolist() == whole[a:b].tolist()
+        assert sp.decoded(whole[a:b], v) == t and len(memory.number) <= 200
+
+
 def brute(word, pieces, unknown):
     """Best total score; of equal ones the longer last piece."""
     best = [(0.0, [])] + [None] * len(word)
@@ -96,7 +109,7 @@ def test_against_the_library(tmp_path):
     texts = ["".join(rnd.choice("thaeniorsdlu") for _ in range(rnd.randrange(1, 14))) for _ in range(300)]
     texts += ["the quick brown fox", "over there  and \n here", "ñandú über straße", "漢 😀", "jumps over the lazy dog and runs away " * 5]
     for t in texts:
-        assert sp.encoded([t], own, {})[0].tolist() == library.encode(t), t
+        assert sp.encoded([t], own, sp.Memory())[0].tolist() == library.encode(t), t
 
 
 def test_ranks_become_probabilities(v):
@@ -104,4 +117,4 @@ def test_ranks_become_probabilities(v):
 
     merged = sentencepiece.SentencePieceProcessor(model_file=sp.MODEL_FILE)
     text = "the quick brown fox"  # other words may differ: merging in order isn't the best total
-    assert sp.encoded([text], v, {})[0].tolist() == merged.encode(text)
+    assert sp.encoded([text], v, sp.Memory())[0].tolist() == merged.encode(text)

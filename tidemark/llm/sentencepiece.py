@@ -19,13 +19,16 @@ Decoding is exact: a `▁` in the text itself is encoded as bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +41,9 @@ SPACE = "▁"
 OWN_MARK = "\ud800"
 #: A character without piece costs this more than the worst piece.
 UNKNOWN_COST = 10.0
-#: Code points that are segmented at once; distinct words that are remembered.
-PIECE, REMEMBERED = 1 << 21, 3 << 17
+#: Code points that are segmented at once; distinct words, and code points of them, that are remembered.
+PIECE, REMEMBERED, REMEMBERED_POINTS = 1 << 20, 1 << 18, 1 << 22
+BEFORE_SPACES = re.compile("(?<! ) ")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _FILTER_BITS = 20
 
@@ -151,7 +155,7 @@ def _segment(points: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]
     return row, back
 
 
-def _spelled(word: np.ndarray, row: np.ndarray, back: np.ndarray, v: Vocabulary) -> np.ndarray:
+def _spelled(word: list[int], row: list[int], back: list[int], v: Vocabulary) -> list[int]:
     """Ids of one word some of whose characters have no piece and become bytes."""
     ids: list[int] = []
     end = len(word)
@@ -162,16 +166,18 @@ def _spelled(word: np.ndarray, row: np.ndarray, back: np.ndarray, v: Vocabulary)
             own = chr(word[end - 1])
             ids += v.byte_ids[list((SPACE if own == OWN_MARK else own).encode("utf-8", "surrogatepass"))][::-1].tolist()
         end = back[end]
-    return np.array(ids[::-1], np.int32)
+    return ids[::-1]
 
 
-def segmented(words: list[str], v: Vocabulary) -> list[np.ndarray]:
-    """Piece ids of every word; all backpointers of words of one length are followed together."""
-    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
-    by_length: dict[int, list[int]] = {}
+def _by_length(words: list[str], v: Vocabulary) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Numbers of some words of one length, their sizes in ids, and their ids one after the other.
+
+    All backpointers of words of one length are followed together.
+    """
+    numbers: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(i)
-    for length, every in by_length.items():
+        numbers.setdefault(len(w), []).append(i)
+    for length, every in numbers.items():
         step = max(1, PIECE // (8 * max(1, length)))
         for first in range(0, len(every) if length else 0, step):
             which = every[first : first + step]
@@ -186,55 +192,113 @@ def segmented(words: list[str], v: Vocabulary) -> list[np.ndarray]:
                 live, end = live[end > 0], end[end > 0]
             # From the last step to the first, so that a stable sort by word gives reading order.
             word, found = np.concatenate(seen[::-1]), np.concatenate(rows[::-1])
-            ids = v.ids[np.maximum(found, 0)][np.argsort(word, kind="stable")].astype(np.int32)
-            ends = np.cumsum(np.bincount(word, minlength=len(which))).tolist()
-            for i, a, b in zip(which, [0, *ends], ends):
-                out[i] = ids[a:b]
-            for k in np.unique(word[found < 0]).tolist():
-                out[which[k]] = _spelled(points[k], row[k], back[k], v)
-    return out
+            odd = np.zeros(len(which), bool)
+            odd[word[found < 0]] = True
+            plain = ~odd[word]
+            order = np.argsort(word[plain], kind="stable")
+            yield [which[k] for k in np.flatnonzero(~odd).tolist()], np.bincount(word, minlength=len(which))[~odd], v.ids[found[plain][order]].astype(np.int32)
+            if odd.any():
+                own = [_spelled(points[k].tolist(), row[k].tolist(), back[k].tolist(), v) for k in np.flatnonzero(odd).tolist()]
+                yield [which[k] for k in np.flatnonzero(odd).tolist()], np.array([len(x) for x in own]), np.array([i for x in own for i in x], np.int32)
+
+
+class Memory:
+    """Piece ids of words, one after the other in a buffer; a word's number tells where. Its size is bounded."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
+        self.points = 0
+
+    def learn(self, words: Iterable[str], v: Vocabulary) -> None:
+        """Segments the words that are new; if the memory would be too large, it forgets all others."""
+        words = dict.fromkeys(words)
+        new = [w for w in words if w not in self.number]
+        points = sum(map(len, new))
+        if self.number and (len(self.number) + len(new) > REMEMBERED or self.points + points > REMEMBERED_POINTS):
+            self.clear()
+            new = list(words)
+        order, sizes, parts = [], [np.zeros(0, np.int64)], [self.ids]
+        for which, own, ids in _by_length(new, v):
+            order += which
+            sizes.append(own)
+            parts.append(ids)
+        self.number |= {new[i]: n for n, i in enumerate(order, len(self.number))}
+        self.sizes = np.concatenate([self.sizes, *sizes]).astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = np.concatenate(parts)
+        self.points += points
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of learned words, one after the other, and how many each word has."""
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        sizes = self.sizes[at]
+        places = np.repeat(self.starts[at] - (np.cumsum(sizes) - sizes), sizes)
+        return self.ids[places + np.arange(len(places))], sizes
+
+
+def segmented(words: list[str], v: Vocabulary) -> list[np.ndarray]:
+    """Piece ids of every word."""
+    memory = Memory()
+    memory.learn(words, v)
+    ids, sizes = memory.of(words)
+    return np.split(ids, np.cumsum(sizes)[:-1]) if len(words) else []
 
 
-def words_of(text: str, v: Vocabulary) -> list[str]:
-    """The text's words, marks included; none for an empty text."""
-    if not text:
-        return []
-    whole = SPACE + text.replace(SPACE, OWN_MARK).replace(" ", SPACE)
+def words_of(text: str, v: Vocabulary) -> Iterator[list[str]]:
+    """The text's words, marks included, in runs of about PIECE code points; none for an empty text."""
     if not v.cuts:
-        return [whole]
-    parts = whole.split(SPACE)
-    out, lead = [], ""
-    for part in parts[1:]:  # each stands after one mark
-        lead += SPACE
-        if part:
-            out.append(lead + part)
-            lead = ""
-    return out + [lead] if lead else out
-
-
-def encoded(texts, v: Vocabulary, memory: dict[str, np.ndarray]) -> list[np.ndarray | None]:
-    """Piece ids of every text; null for null. `memory` keeps words' ids between calls."""
-    out: list[np.ndarray | None] = []
-    own: list[list[str] | None] = []
-    size = 0
+        if text:
+            yield [SPACE + text.replace(SPACE, OWN_MARK).replace(" ", SPACE)]
+        return
+    start = 0
+    while start < len(text):
+        # A run ends before the first of some spaces, so that marks stay with the word that they precede.
+        cut = BEFORE_SPACES.search(text, start + PIECE) if len(text) - start > PIECE else None
+        end = cut.start() if cut else len(text)
+        whole = ("" if start else SPACE) + text[start:end].replace(SPACE, OWN_MARK).replace(" ", SPACE)
+        out, lead = [], ""
+        for part in whole.split(SPACE)[1:]:  # each stands after one mark
+            lead += SPACE
+            if part:
+                out.append(lead + part)
+                lead = ""
+        yield out + [lead] if lead else out
+        start = end
+
+
+def encoded(texts: Iterable[str | None], v: Vocabulary, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all texts, one after the other, and where each begins and the last ends; null texts have none.
+
+    `memory` keeps words' ids between calls.
+    """
+    parts, counts, words, runs, size = [np.zeros(0, np.int32)], [], [], [], 0
 
     def flush() -> None:
-        nonlocal own, size
-        new = list(dict.fromkeys(w for words in own if words for w in words if w not in memory))
-        memory.update(zip(new, segmented(new, v)))
-        for words in own:
-            out.append(None if words is None else np.concatenate([memory[w] for w in words]) if words else np.zeros(0, np.int32))
-        if len(memory) > REMEMBERED:
-            memory.clear()
-        own, size = [], 0
-
-    for text in texts:
-        own.append(None if text is None else words_of(text, v))
-        size += len(text or "")
-        if size >= PIECE:
-            flush()
+        nonlocal words, runs, size
+        if runs:
+            memory.learn(words, v)
+            ids, sizes = memory.of(words)
+            parts.append(ids)
+            first = np.cumsum([0, *(n for _, n in runs[:-1])])
+            for (i, _), own in zip(runs, np.add.reduceat(sizes, first).tolist()):
+                counts[i] += own
+        words, runs, size = [], [], 0
+
+    for i, text in enumerate(texts):
+        counts.append(0)
+        for own in words_of(text or "", v):
+            words += own
+            runs.append((i, len(own)))
+            size += sum(map(len, own))
+            if size >= PIECE:
+                flush()
     flush()
-    return out
+    return np.concatenate(parts), np.cumsum([0, *counts])
 
 
 def decoded(ids, v: Vocabulary) -> str | None:
@@ -246,18 +310,49 @@ def decoded(ids, v: Vocabulary) -> str | None:
     return whole.removeprefix(b" ").decode("utf-8", "surrogatepass")
 
 
+def _listed(ids: np.ndarray, places: np.ndarray, none: list[bool]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array(none, pa.bool_()))
+
+
+def coder(spark, v: Vocabulary):
+    """A function of a text column: ids (null for a null text), the SHA-256 of the decoded text, and whether that is the text.
+
+    One function encodes, decodes and compares every text, so that a task has
+    one Python worker and ids don't go to it and back.
+    """
+    small_batches(spark)
+    handle = spark.sparkContext.broadcast(v)
+
+    @F.arrow_udf("ids array<int>, decoded_sha256 string, exact boolean")
+    def code(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memory = Memory()
+        for own in parts:
+            texts = own.to_pylist()
+            ids, places = encoded(texts, handle.value, memory)
+            hashes, exact = [], []
+            for text, a, b in zip(texts, places[:-1].tolist(), places[1:].tolist()):
+                back = None if text is None else decoded(ids[a:b], handle.value)
+                hashes.append(None if back is None else hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
+                exact.append(back == text)
+            columns = [_listed(ids, places, [t is None for t in texts]), pa.array(hashes, pa.string()), pa.array(exact, pa.bool_())]
+            yield pa.StructArray.from_arrays(columns, ["ids", "decoded_sha256", "exact"])
+
+    # Else each use of the result would have it computed again.
+    return code.asNondeterministic()
+
+
 def encoder(spark, v: Vocabulary):
     """A function of a text column: its piece ids."""
     small_batches(spark)
     handle = spark.sparkContext.broadcast(v)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memory: dict[str, np.ndarray] = {}
-        for texts in parts:
-            yield pd.Series(encoded(texts, handle.value, memory), dtype=object)
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memory = Memory()
+        for own in parts:
+            texts = own.to_pylist()
+            yield _listed(*encoded(texts, handle.value, memory), [t is None for t in texts])
 
-    # Else each use of the ids would have them computed again.
     return encode.asNondeterministic()
 
 
@@ -277,20 +372,27 @@ def decoder(spark, v: Vocabulary):
 def encode(docs: DataFrame, v: Vocabulary, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` and ids (array of int) of every row.
 
-    A null text has null ids, an empty one none. Rows without doc_id, repeated
-    rows and further columns are nothing special; an empty table gives an empty
-    result.
+    A null text has null ids, an empty one none. Very long texts are cut into
+    words by runs. Rows without doc_id, repeated rows and further columns are
+    nothing special; an empty table gives an empty result.
     """
     return docs.select(*keep, encoder(docs.sparkSession, v)(F.col(text_col)).alias("ids"))
 
 
+def coded(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, decoded_sha256 (of the decoded text) and exact (is that the text?) of every row.
+
+    A null text has null ids and a null hash, and is exact; the rest is as in
+    `encode`. Every text is decoded again, whole.
+    """
+    return docs.select(F.col(id_col).alias("doc_id"), coder(docs.sparkSession, v)(F.col(text_col)).alias("_coded")).select("doc_id", "_coded.*")
+
+
 def round_trip(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_ids, ids_sha256, text_sha256 of the decoded text and whether it is the text."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), encoder(spark, v)(F.col(text_col)).alias("ids"))
-    back = rows.withColumn("decoded", decoder(spark, v)(F.col("ids")))
-    joined: Column = F.array_join("ids", ",")
-    return back.select(
-        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), F.sha2(joined, 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("exact"),
-    )
+    """doc_id, n_ids, ids_sha256, decoded_sha256 and exact of every row: the digest of `coded`.
+
+    n_ids is 0 and the hashes are null for a null text.
+    """
+    return coded(docs, v, id_col, text_col).select(
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "decoded_sha256", "exact"
+    )
