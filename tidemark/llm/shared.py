@@ -2,43 +2,44 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import Scratch, new_path, written
+
+__all__ = ["SPACE", "Scratch", "bitmap_place", "fold_remainder", "fresh_names", "hash_bitmap", "new_path", "small_batches", "small_or_shuffled", "table", "text_key", "written"]
+
 #: A word is a run of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like `names` that no column of `df` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
 
-    Where no session setting names one (tests on one machine), a temporary
-    folder of this machine is taken.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
 
+def small_or_shuffled(table: DataFrame, most: int) -> DataFrame:
+    """A written table, to be broadcast in a join if it has at most so many rows."""
+    return F.broadcast(table) if table.count() <= most else table
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
+def bitmap_place(hashed: Column, most: int) -> tuple[Column, Column]:
+    """The word of a bitmap of at most `most` 64-bit words that stands for a hash, and the hash's bit in it."""
+    words = 1 << (most.bit_length() - 1)
+    bit = F.pmod(hashed, F.lit(64)).cast("int")
+    return F.shiftrightunsigned(hashed, 6).bitwiseAND(F.lit(words - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), bit)
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder, read again.
 
-    Cuts the lineage: what follows doesn't depend on executors' local files,
-    and `df` is computed once. (A reliable RDD checkpoint computes it twice.)
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def hash_bitmap(hashes: DataFrame, most: int) -> DataFrame:
+    """word and bits of a bitmap of the column `hash`: bounded whatever the number of hashes, so it can be broadcast."""
+    word, bit = bitmap_place(F.col("hash"), most)
+    return hashes.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
 def text_key(text: Column) -> Column:
