@@ -7,8 +7,8 @@ use such a script in the training texts; then a Viterbi pass over the words of
 a text, with a penalty for each switch, labels spans. The language with most
 letters is the text's.
 
-Training texts are a bounded sample of the labelled rows (`Model.sample_rows`),
-drawn by a hash of their content; counts are summed by Spark into one row for
+Training texts are a bounded sample of the labelled rows (`Rules.sample_rows`),
+drawn for each language by a hash of their content, copies once; counts are summed by Spark into one row for
 each (language, bin), so what the driver reads is bounded by the bins and the
 languages. Numpy inside tasks; batches are cut into pieces of bounded size.
 """
@@ -24,13 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import small_batches
+from tidemark.llm.shared import fresh_names, small_batches, small_or_shuffled, written
 
 UNKNOWN = "und"
 BIN_BITS = 16
 #: Code points whose letters are scored at once; those whose words are labelled at once.
 LETTERS, PIECE = 1 << 18, 1 << 21
 
+#: Languages are broadcast with their sizes up to so many.
+MOST_BROADCAST = 10_000
+
 #: Script numbers and the first and last code point of their main ranges.
 SCRIPTS = (
     (1, 0x0041, 0x024F), (1, 0x1E00, 0x1EFF), (2, 0x0370, 0x03FF), (2, 0x1F00, 0x1FFF), (3, 0x0400, 0x052F), (4, 0x0530, 0x058F),
@@ -51,8 +54,8 @@ class Model:
 
 @dataclass(frozen=True)
 class Rules:
-    #: Training rows are thinned to about so many.
-    sample_rows: int = 20_000
+    #: Of each language about so many texts are learned, at most; of a smaller one, all.
+    sample_rows: int = 5_000
     switch_penalty: float = 16.0
     #: A script counts as a language's if so large a share of its letters has it.
     least_script_share: float = 0.01
@@ -132,11 +135,13 @@ def train(labelled: DataFrame, rules: Rules = Rules(), text_col: str = "text", l
     """A model of the languages in `labelled`; rows without label or text teach nothing."""
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null")
-    n = rows.count()
-    if n > rules.sample_rows:
-        million = 1_000_000
-        rows = rows.filter(F.pmod(F.xxhash64("text", "lang"), F.lit(million)) < million * rules.sample_rows // n)
-    counts = rows.filter("text is not null").mapInPandas(_count(rules.bits), "lang string, bin long, n long")
+    million = 1_000_000
+    # One number for each language: what share of its texts is learned.
+    bar = (F.lit(million * rules.sample_rows) / F.count("*")).alias("_bar")
+    sizes = small_or_shuffled(written(rows.filter("text is not null").groupBy(F.col("lang").alias("_lang")).agg(bar), "languages"), MOST_BROADCAST)
+    drawn = rows.join(sizes, F.col("lang") == F.col("_lang")).filter(F.pmod(F.xxhash64("text", "lang"), F.lit(million)) < F.col("_bar"))
+    once = drawn.groupBy("lang", F.xxhash64("text").alias("_hash")).agg(F.first("text").alias("text")).select("lang", "text")
+    counts = once.mapInPandas(_count(rules.bits), "lang string, bin long, n long")
     found = counts.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(found["lang"]))
     size = 1 << rules.bits
@@ -223,6 +228,9 @@ def _words(texts: list[str | None], model: Model) -> list[np.ndarray]:
         last = np.append(word[1:], len(at)) - 1
         scores = np.add.reduceat(model.scores[where], word, axis=0).astype(np.float64)
         allowed = model.uses[script[word]]
+        # All scripts of a word count; most words have one.
+        for k in np.flatnonzero(np.minimum.reduceat(script, word) != np.maximum.reduceat(script, word)).tolist():
+            allowed[k] = model.uses[script[word[k] : last[k] + 1]].all(0)
         allowed[~allowed.any(1)] = True
         scores[~allowed] = -1e9
         text = np.searchsorted(begins, at[word], side="right") - 1
@@ -286,5 +294,13 @@ def identify(docs: DataFrame, model: Model, rules: Rules = Rules(), text_col: st
     first in alphabetical order wins. Repeated rows stay, further columns don't
     matter, an empty table gives an empty result.
     """
+    (found,) = fresh_names(docs, "found")
+    label = labeller(docs.sparkSession, model, rules.switch_penalty)
+    return docs.select(*keep, label(F.col(text_col)).alias(found)).select(*keep, f"{found}.*")
+
+
+def judged(docs: DataFrame, model: Model, rules: Rules = Rules(), text_col: str = "text") -> tuple[DataFrame, str]:
+    """All columns of `docs` and a struct (lang_pred, score, spans) under a name that no column has; that name."""
+    (found,) = fresh_names(docs, "found")
     label = labeller(docs.sparkSession, model, rules.switch_penalty)
-    return docs.select(*keep, label(F.col(text_col)).alias("_found")).select(*keep, "_found.*")
+    return docs.select("*", label(F.col(text_col)).alias(found)), found
