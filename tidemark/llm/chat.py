@@ -99,31 +99,25 @@ def windows(conversations: DataFrame, rule: Windows = Windows()) -> DataFrame:
     of system turns alone has one window. Turns are ordered by (turn, role,
     text), nulls first; null roles and texts are empty; a null conv_id names a
     conversation; repeated rows are turns like others; other columns don't
-    matter. An empty table gives an empty result.
+    matter. An empty table gives an empty result. Each window is gathered by
+    itself, so a conversation may have any number of turns.
     """
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    at = spans(turns, rule)
-    turn = F.struct("n", "system", "role", "text", "first", "last", "back")
-    whole = at.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(turn)).alias("all"), F.array_sort(F.collect_list(F.when(F.col("system"), turn))).alias("systems")
-    )
-    heads = F.filter("all", lambda x: ~x["system"] & (x["n"] == x["first"]))
-    # A conversation of system turns alone is one window without own turns.
-    spoken = whole.select("conv_id", "all", "systems", F.when(F.size(heads) > 0, heads).otherwise(F.slice("all", 1, 1)).alias("heads"))
-
-    def shown(x: Column, head: Column, first_window: Column) -> Column:
-        mine = ~x["system"] & (x["first"] == head["first"])
-        return F.struct(
-            x["n"].alias("n"), escaped(x["role"]).alias("role"), escaped(x["text"]).alias("text"),
-            (mine | x["system"] & first_window).alias("own"), (mine & (x["role"] == rule.target_role)).alias("target"),
-        )
-
-    def laid_out(head: Column, i: Column) -> Column:
-        reach = F.when(head["system"], F.slice("all", 1, 0)).otherwise(F.slice("all", head["back"] + 1, head["last"] - head["back"] + 1))
-        turns = F.concat("systems", F.filter(reach, lambda x: ~x["system"]))
-        return F.transform(turns, lambda x: shown(x, head, i == 0))
-
-    each = spoken.select("conv_id", F.posexplode(F.transform("heads", laid_out)).alias("window", "shown"))
+    by = Window.partitionBy("conv_id")
+    head = ~F.col("system") & (F.col("n") == F.col("first"))
+    at = spans(turns, rule).withColumn("mine", F.sum(head.cast("int")).over(by.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    # A turn stands in its own window and, as history, in those whose heads are within reach; a system turn in all.
+    reach = F.greatest("mine", F.max(F.when(head, F.col("mine"))).over(by.orderBy("before").rangeBetween(0, rule.history)))
+    last = F.greatest(F.lit(0), F.max("mine").over(by))
+    places = F.when(F.col("system"), F.sequence(F.lit(0).cast("long"), last.cast("long"))).otherwise(F.sequence("mine", reach))
+    placed = at.withColumn("places", places)
+    each = placed.select("conv_id", "n", "system", "role", "text", "mine", F.explode("places").alias("window"))
+    mine = F.when(F.col("system"), F.col("window") == 0).otherwise(F.col("window") == F.col("mine"))
+    turn = F.struct(
+        (~F.col("system")).alias("spoken"), "n", escaped(F.col("role")).alias("role"), escaped(F.col("text")).alias("text"), mine.alias("own"),
+        (~F.col("system") & mine & (F.col("role") == rule.target_role)).alias("target"),
+    )
+    laid_out = each.groupBy("conv_id", F.col("window").cast("int").alias("window")).agg(F.array_sort(F.collect_list(turn)).alias("shown"))
     zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<n:int,start:int,end:int,target:boolean,own:boolean>>)").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -132,7 +126,7 @@ def windows(conversations: DataFrame, rule: Windows = Windows()) -> DataFrame:
         place = F.struct(x["n"].alias("n"), start.alias("start"), end.alias("end"), x["target"].alias("target"), x["own"].alias("own"))
         return F.struct((end + len(CLOSE)).alias("at"), F.concat(acc["out"], F.array(place)).alias("out"))
 
-    return each.select(
+    return laid_out.select(
         "conv_id", "window",
         F.array_join(F.transform("shown", lambda x: F.concat(F.lit(OPEN), x["role"], F.lit(MIDDLE), x["text"], F.lit(CLOSE))), "").alias("formatted"),
         F.aggregate("shown", zero, step, lambda acc: acc["out"]).alias("turns"),
