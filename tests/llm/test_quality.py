@@ -36,3 +36,21 @@ def test_hosts(spark):
     assert not got[100].kept and not got[100].base_failed and got[100].host_rate > 0.6
     assert got[1001].kept and got[5000].kept and not got[1000].kept
     assert got[5001].host_rate < 0.5 and got[5002].kept  # two rows don't condemn a host
+
+
+def test_hosts_are_judged_against_the_corpus(spark):
+    """A host that fails a few times as often as the others goes, whatever the level; hosts that are alike stay."""
+    good = " ".join(f"w{k}" for k in range(60))
+    text = lambda i, every: "short" if i % every == 0 else good
+    alike = [(1000 * h + i, text(i, 10), f"h{h}", "", 0) for h in range(8) for i in range(300)]
+    got = quality.judged(spark.createDataFrame(alike, SCHEMA)).collect()
+    assert all(r.kept != r.base_failed for r in got)
+    worse = alike + [(90_000 + i, text(i, 2), "worse", "", 0) for i in range(300)] + [(95_000 + i, text(i, 2), "few", "", 0) for i in range(4)]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(worse, SCHEMA)).collect()}
+    assert not got[90_001].kept and 0.4 < got[90_001].host_rate < 0.5 and got[1001].kept and got[95_001].kept
+    assert got[90_001].host_low < got[90_001].host_rate
+    clean = [(1000 * h + i, text(i, 100), f"h{h}", "", 0) for h in range(8) for i in range(400)] + [(90_000 + i, text(i, 8), "worse", "", 0) for i in range(400)]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(clean, SCHEMA)).collect()}
+    assert not got[90_001].kept and got[1001].kept
+    same = quality.judged(spark.createDataFrame([(i, "short", f"h{i % 3}", "", 0) for i in range(30)] , SCHEMA)).collect()
+    assert {r.kept for r in same} == {False} and {round(r.host_rate, 6) for r in same} == {1.0}

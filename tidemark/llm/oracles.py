@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, quality, secrets, urlfilter, warc
+from tidemark.llm import chat, decontaminate, quality, secrets, urlfilter, warc
 from tidemark.llm.shared import SPACE
 
 _WORDS = "list_filter(regexp_split_to_array({}, '" + SPACE + "'), lambda x: x <> '')"
@@ -54,6 +54,58 @@ select s.conv_id, count(*) as n_turns,
 from spans s join windows w on s.conv_id is not distinct from w.conv_id group by s.conv_id"""
 
 
+def _decontaminate(rule: decontaminate.Templates = decontaminate.Templates()) -> str:
+    """Templates, windows, shares and slots by lists and joins of texts; lookbehind by a mark before the capital letter.
+
+    Items that are found by their values are searched by plain containment.
+    """
+    d, k = decontaminate, rule.window
+    spaced = lambda t: f"regexp_replace({t}, {_quoted(d.UNSPACED)}, ' \\1 ', 'g')"
+    marked = "regexp_replace(t, '([\\p{Ll},;]) (\\p{Lu})', '\\1 ' || chr(4) || '\\2', 'g')"
+    named = "replace(regexp_replace(m, chr(4) || '\\p{Lu}\\p{Ll}+', ' ' || chr(3) || ' ', 'g'), chr(4), '')"
+    measured = f"regexp_replace({named}, {_quoted(d.UNIT_PATTERN)}, ' ' || chr(1) || ' ' || chr(2) || ' ', 'g')"
+    counted = f"regexp_replace({measured}, {_quoted(d.NUMBER_PATTERN)}, ' ' || chr(1) || ' ', 'g')"
+    split = lambda t, between: f"list_filter(regexp_split_to_array(lower({t}), {_quoted(between)}), lambda x: x <> '')"
+    marks = "(chr(1), chr(2), chr(3))"
+    windows = lambda table, ids: f"""
+  select {ids}, i - 1 as pos, array_to_string(h[i:i + {k - 1}], ' ') as w from {table}, unnest(range(1, greatest(len(h) - {k - 2}, 1))) as u(i)
+  where len(list_filter(h[i:i + {k - 1}], lambda x: x not in {marks})) >= {rule.least_words}"""
+    filled = lambda table, ids: " union all ".join(
+        f"select {ids}, list_filter(range(1, len(h) + 1), lambda i: h[i] = chr({c}))[j] - 1 as pos, {c} as kind, {values}[j] as value "
+        f"from {table}, unnest(range(1, len(list_filter(h, lambda x: x = chr({c}))) + 1)) as u(j)"
+        for c, values in ((3, "names"), (1, "numbers"), (2, "units"))
+    )
+    read = lambda ids, source: f"""
+  select {ids}, t, {split(counted, d.BETWEEN)} as h, {split("t", d.BETWEEN_PLAIN)} as p, regexp_extract_all(m, chr(4) || '(\\p{{Lu}}\\p{{Ll}}+)', 1) as names,
+    regexp_extract_all(t, {_quoted(d.NUMBER_PATTERN)}) as numbers, regexp_extract_all(t, {_quoted(d.UNIT_PATTERN)}, 2) as units
+  from (select *, {marked} as m from (select {ids}, {spaced("text")} as t from {source}))"""
+    shared = lambda met: f"""
+  select did, item_id, n_windows, count(distinct w) as n_matched from {met} join sizes using (item_id) group by all
+  having count(distinct w) >= {rule.least_share} * n_windows"""
+    return f"""
+with docs as (select row_number() over () as did, * from (select distinct doc_id, text from documents where text is not null)),
+d as ({read("did, doc_id", "docs")}),
+b as ({read("item_id", "(select distinct item_id, text from benchmark where text is not null)")}),
+wanted as (select item_id, w, min(pos) as item_at from ({windows("b", "item_id")}) group by item_id, w),
+sizes as (select item_id, count(*) as n_windows from wanted group by item_id),
+met as (select did, pos, w, item_id, item_at, pos - item_at as shift from ({windows("d", "did")}) join wanted using (w)),
+held as ({shared("met")}),
+aligned as (select met.* from met semi join held using (did, item_id)),
+of_docs as (select * from ({filled("(select d.* from d semi join held using (did))", "did")}) where pos is not null),
+of_items as (select * from ({filled("b", "item_id")}) where pos is not null),
+votes as (
+  select a.did, a.item_id, a.shift, i.kind, i.value, count(distinct o.value) as n
+  from (select distinct did, item_id, shift from aligned) a join of_items i using (item_id) join of_docs o on o.did = a.did and o.pos = i.pos + a.shift and o.kind = i.kind group by all),
+bad as (select did, item_id, shift from votes group by all having avg((n = 1)::int) < {rule.least_consistent}),
+sure as ({shared("(select * from aligned anti join bad using (did, item_id, shift))")}),
+bare as (
+  select *, len(list_distinct(list_transform(range(1, len(p) - least({k}, len(p)) + 2), lambda i: array_to_string(p[i:i + least({k}, len(p)) - 1], ' ')))) as n
+  from b where len(p) > 0 and item_id not in (select item_id from wanted)),
+spelled as (
+  select did, item_id, n as n_windows, n as n_matched from d join bare on contains(' ' || array_to_string(d.p, ' ') || ' ', ' ' || array_to_string(bare.p, ' ') || ' '))
+select distinct doc_id, item_id, n_windows::bigint as n_windows, n_matched::bigint as n_matched from (select * from sure union all select * from spelled) join docs using (did)"""
+
+
 def _quality(rules: quality.QualityRules = quality.QualityRules()) -> str:
     return f"""
 with texts as (select row_number() over () as rid, doc_id, source, coalesce(text, '') as t from documents),
@@ -77,8 +129,10 @@ spread as (select *, mean * (1 - mean) as s, (ff / n - mean * mean) - mean * (1
 prior as (
   select mean, least(greatest(case when between_hosts > 0 then s / between_hosts - 1 else {rules.most_weight} end, {rules.least_weight}), {rules.most_weight}) as weight
   from spread),
-verdicts as (select source, (f + mean * weight) / (n + weight) <= {rules.max_host_rate} as good from hosts, prior)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and good as kept
+rates as (select source, mean, n + weight as w, (f + mean * weight) / (n + weight) as rate from hosts, prior),
+lows as (select *, greatest(rate - {rules.deviations} * sqrt(rate * (1 - rate) / (w + 1)), 0) as low from rates),
+verdicts as (select source, rate, low * (1 - mean) <= {rules.max_odds_ratio} * mean * (1 - low) as good from lows)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and good as kept, round(rate, 6) as host_rate
 from judged j join verdicts v on j.source is not distinct from v.source"""
 
 
@@ -106,8 +160,7 @@ spans as (
   select * from good g where kind < {secrets.OPAQUE_AT}
     or not exists (select 1 from good b where b.rid = g.rid and b.kind < {secrets.OPAQUE_AT} and b.st < g.en and g.st < b.en)),
 owned as (
-  select v, count(distinct coalesce(source, '')) <= {rule.max_owners} and count(distinct (source, doc_id)) <= {rule.max_repositories} as live
-  from spans join texts using (rid) group by v),
+  select v, count(distinct source) + (count(*) filter (source is null) > 0)::int <= {rule.max_owners} as live from spans join texts using (rid) group by v),
 kept as (select s.* from spans s join owned using (v) where kind < {secrets.OPAQUE_AT} or live),
 base as (select rid, {count}, {spans} as list from kept where kind < {secrets.OPAQUE_AT} group by rid),
 every as (select rid, {spans} as list from kept group by rid)
@@ -153,4 +206,4 @@ select page_id, payload_bytes, payload_digest,
 from ranked"""
 
 
-SQL: dict[str, str] = {"op2_chat": _chat(), "op5_quality": _quality(), "op7_warc": _warc(), "op8_urls": _urls(), "op10_secrets": _secrets()}
+SQL: dict[str, str] = {"op2_chat": _chat(), "op4_decontaminate": _decontaminate(), "op5_quality": _quality(), "op7_warc": _warc(), "op8_urls": _urls(), "op10_secrets": _secrets()}

@@ -3,8 +3,10 @@
 Text rules count words, symbols, repeated lines and repeated word windows. A
 host's rule failures are then summed, its failure rate is shrunk towards the
 rate of all hosts by a beta prior fitted to the hosts themselves (method of
-moments), and a host whose shrunk rate is over the bound loses all its
-documents. DataFrame functions only.
+moments), and a host loses all its documents if even the lower end of what its
+rate may be is far from the rate of all hosts: nothing absolute is asked, so a
+clean corpus rejects a host at a few per cent of failures, a bad one only far
+above. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ WHITE = " \t\n\x0b\x0c\r"
 class QualityRules:
     min_words: int = 50
     max_repeat_percent: int = 50
-    #: A host is rejected if its shrunk failure rate is over this.
-    max_host_rate: float = 0.6
+    #: A host is rejected if the odds of its failure rate, at its lower end, are over so many times the corpus' odds.
+    max_odds_ratio: float = 3.0
+    #: The lower end is so many standard deviations of the posterior under its mean.
+    deviations: float = 2.0
     #: Bounds of the prior's weight, in documents.
     least_weight: float = 2.0
     most_weight: float = 1000.0
@@ -96,7 +100,7 @@ def beta_prior(hosts: DataFrame, rules: QualityRules) -> tuple[float, float]:
 def judged(
     docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source"
 ) -> DataFrame:
-    """doc_id, counts, base_failed, kept and host_rate of every row.
+    """doc_id, counts, base_failed, kept, host_rate and host_low (the lower end) of every row.
 
     Null texts count as empty and fail; rows without host form a host of their
     own; rows without doc_id, repeated rows and further columns are nothing
@@ -107,9 +111,10 @@ def judged(
     rows = written(counts.withColumn("base_failed", failed), "quality")
     hosts = written(rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")), "hosts")
     more_failed, more = beta_prior(hosts, rules)
-    verdicts = hosts.select(F.col("host").alias("_host"), ((F.col("failed") + more_failed) / (F.col("n") + more)).alias("host_rate"))
-    return (
-        rows.join(verdicts, F.col("host").eqNullSafe(F.col("_host")))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= rules.max_host_rate))
-        .drop("_host")
-    )
+    rate, weight = (F.col("failed") + more_failed) / (F.col("n") + more), F.col("n") + more
+    low = F.greatest(rate - rules.deviations * F.sqrt(rate * (1 - rate) / (weight + 1)), F.lit(0.0))
+    verdicts = hosts.select(F.col("host").alias("_host"), rate.alias("host_rate"), low.alias("host_low"))
+    mean = more_failed / more
+    # Odds without a division: low / (1 - low) against mean / (1 - mean).
+    far = F.col("host_low") * (1 - mean) > rules.max_odds_ratio * mean * (1 - F.col("host_low"))
+    return rows.join(verdicts, F.col("host").eqNullSafe(F.col("_host"))).withColumn("kept", ~F.col("base_failed") & ~far).drop("_host")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import text_key, written
+from tidemark.llm.shared import fresh_names, text_key, written
 
 #: Kinds in the order that breaks ties, their patterns, the group that holds the value, its least length.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -32,8 +32,8 @@ SPAN = "array<struct<start:int,kind:int,end:int,hash:bigint>>"
 class Ownership:
     #: An opaque value of at most so many owners looks live, in however many repositories.
     max_owners: int = 2
-    #: Read by the SQL counterpart alone, which so differs where few owners publish a value in more repositories.
-    max_repositories: int = 1000
+    #: Spans of up to so many texts and places in all are broadcast to be taken out; more are joined by a shuffle.
+    most_broadcast: int = 500_000
 
 
 def found(text: Column, kind: int) -> Column:
@@ -92,28 +92,34 @@ def ownership(rows: DataFrame, rule: Ownership) -> DataFrame:
     return owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repositories")).withColumn("live", F.col("owners") <= rule.max_owners)
 
 
+def told(rows: DataFrame, rule: Ownership) -> DataFrame:
+    """doc_id, key and spans (base and added ones, sorted) of the rows of `spans_of` that have any candidate."""
+    some = rows.filter((F.size("base") > 0) | (F.size("opaque") > 0))
+    verdicts = ownership(some, rule)
+    each = some.select("doc_id", "key", F.explode(F.concat("base", "opaque")).alias("x")).distinct().select("doc_id", "key", "x", F.col("x.hash").alias("hash"))
+    good = each.join(verdicts, "hash").filter((F.col("x.kind") < OPAQUE_AT) | F.col("live"))
+    span = F.struct(F.col("x.start").alias("start"), F.col("x.kind").alias("kind"), F.col("x.end").alias("end"), "live", "owners", "repositories")
+    return good.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+
+
+NO_SPANS = "cast(array() as array<struct<start:int,kind:int,end:int,live:boolean,owners:bigint,repositories:bigint>>)"
+
+
 def scanned(
     docs: DataFrame, rule: Ownership = Ownership(), id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source"
 ) -> DataFrame:
     """doc_id, key, base and spans (base and added ones, sorted) of every row.
 
-    A span has start and end in code points, its kind's number and whether its
-    value looks live. Null texts are empty; null repositories and owners count
-    as one each; rows without doc_id and repeated rows keep their own results;
-    other columns don't matter. An empty table gives an empty result.
+    A span has start and end in code points, its kind's number, the owners and
+    repositories of its value in the corpus and whether that looks live. Null
+    texts are empty; null repositories and owners count as one each; rows
+    without doc_id and repeated rows keep their own results; other columns
+    don't matter. An empty table gives an empty result.
     """
     rows = written(spans_of(docs, id_col, text_col, F.col(repo_col), F.col(owner_col)), "secrets")
-    some = rows.filter((F.size("base") > 0) | (F.size("opaque") > 0))
-    verdicts = ownership(some, rule).select("hash", "live")
-    each = some.select("doc_id", "key", F.explode(F.concat("base", "opaque")).alias("x")).distinct().select("doc_id", "key", "x", F.col("x.hash").alias("hash"))
-    told = each.join(verdicts, "hash").filter((F.col("x.kind") < OPAQUE_AT) | F.col("live"))
-    spans = told.groupBy("doc_id", "key").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("x.start").alias("start"), F.col("x.kind").alias("kind"), F.col("x.end").alias("end"), "live"))).alias("spans")
-    )
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,live:boolean>>)")
-    left, right = rows.alias("l"), spans.alias("r")
+    left, right = rows.alias("l"), told(rows, rule).alias("r")
     same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("l.key").eqNullSafe(F.col("r.key"))
-    return left.join(right, same, "left").select("l.doc_id", "l.key", "base", F.coalesce("spans", none).alias("spans"))
+    return left.join(right, same, "left").select("l.doc_id", "l.key", "base", F.coalesce("spans", F.expr(NO_SPANS)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -147,9 +153,16 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def redact(docs: DataFrame, rule: Ownership = Ownership(), id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
-    """The rows and columns of `docs`, every span of `scanned` replaced in the text."""
-    hits = scanned(docs, rule, id_col, text_col, repo_col, owner_col).filter(F.size("spans") > 0)
-    marked = hits.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_doc", "_key"])
-    same = F.col(id_col).eqNullSafe(F.col("_doc")) & (text_key(F.col(text_col)) == F.col("_key"))
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("_spans")))
-    return docs.join(marked, same, "left").withColumn(text_col, text).select(*docs.columns)
+    """The rows and columns of `docs`, every span of `scanned` replaced in the text.
+
+    Null texts stay null; columns may have any names; the rest is as in
+    `scanned`. Texts don't move: the spans go to them, unless they are many.
+    """
+    rows = written(spans_of(docs, id_col, text_col, F.col(repo_col), F.col(owner_col)).filter((F.size("base") > 0) | (F.size("opaque") > 0)), "secrets")
+    doc, key, spans = fresh_names(docs, "doc", "key", "spans")
+    marked = written(told(rows, rule).select(F.col("doc_id").alias(doc), F.col("key").alias(key), F.col("spans").alias(spans)), "marked")
+    size = marked.agg(F.coalesce(F.sum(F.size(spans) + 1), F.lit(0))).first()[0]
+    same = F.col(id_col).eqNullSafe(F.col(doc)) & (text_key(F.col(text_col)) == F.col(key))
+    text = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col(spans)))
+    joined = docs.join(F.broadcast(marked) if size <= rule.most_broadcast else marked, same, "left")
+    return joined.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
