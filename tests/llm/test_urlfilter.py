@@ -7,6 +7,7 @@ from tidemark.llm import urlfilter as u
 SCHEMA = "page_id long, url string, host string, key int"
 URLS = [
     None, "", "no scheme", "http://", "HTTP://Example.NET/en/x?y", "https://a.example.net/de/", "http://net/", "http://inet/x", "http://x.org/fr/1#top", "http://x.org/fr", "http://org?x",
+    "http://" + "a." * 60_000 + "net/" + "x" * 200_000, "y" * 200_000,
     "http://example.com/de/1", "http://example.com/DE/1", "http://m.example.com:80/de/", "a://b://c/d", "http://É.NET/ß?q", "x\n://q.net\n/r",
 ]
 
