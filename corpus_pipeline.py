@@ -22,27 +22,42 @@ ORACLE_SQL = None
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that have a language; names it where the label is missing.
 
-    Null texts and texts without a letter go, and so do texts of which no
-    language has half the letters. Rows without doc_id and repeated rows stay.
+    Null and empty texts and texts without a letter go, and so do texts of
+    which no language has half the letters; of languages with equal shares the
+    first by name is a text's. Texts are read whole. Rows without doc_id and
+    repeated rows stay; other columns, of any name, are kept. An empty table
+    stays empty.
     """
-    model = langid.train(docs)
-    told = langid.identify(docs, model, keep=tuple(docs.columns))
-    good = told.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SHARE))
-    return good.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    told, found = langid.judged(docs, langid.train(docs))
+    good = told.filter((F.col(f"{found}.lang_pred") != langid.UNKNOWN) & (F.col(f"{found}.score") >= LEAST_LANGUAGE_SHARE))
+    return good.withColumn("lang", F.coalesce("lang", F.col(f"{found}.lang_pred"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of every class: the smallest doc_id, a missing one last, one of repeated rows."""
+    """Keeps the first document of every class: the smallest doc_id, a missing one last, one of repeated rows.
+
+    Null and blank texts are one class. Texts are read whole; other columns, of
+    any name, are kept. An empty table stays empty.
+    """
     return simhash.first_of_classes(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item; null texts hold none."""
+    """Drops documents that hold a benchmark item; null and empty texts hold none.
+
+    Texts are read whole; rows without doc_id and repeated rows are judged by
+    their text; other columns, of any name, are kept. Either table may be empty.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts; n_chars follows. Null texts stay null."""
+    """Replaces secrets in the texts; n_chars follows. All rows stay.
+
+    Null texts stay null, empty ones empty; texts are read whole; rows without
+    doc_id and repeated rows are treated by their text; other columns, of any
+    name, are kept. An empty table stays empty.
+    """
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
