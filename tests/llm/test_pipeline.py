@@ -94,3 +94,22 @@ def test_empty(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_edges_and_clashing_columns(spark, sf_dir):
+    """Long and repeated rows, null columns, and column names that the operators use themselves."""
+    long = "une phrase assez longue pour tout le monde ici " * 3000
+    rows = [(1, long, None, None), (2, "der hund und die katze password=abcdef1 sind hier im haus und im garten", "de", "s"), (2, "der hund und die katze password=abcdef1 sind hier im haus und im garten", "de", "s"), (None, "el perro y el gato viven en la casa grande", "es", None), (3, None, None, None), (4, "", None, "s")]
+    names = ("score", "lang_pred", "spans", "_found", "_key", "_doc", "_spans", "_none", "_id", "_again", "key", "fp", "root", "ids", "exact", "hash", "item_id", "n")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(*r, 0, *names) for r in rows], schema)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        kept[name] = sorted(str(r.doc_id) for r in out.collect())
+        if name != "sentencepiece":
+            assert out.columns == docs.columns
+            assert all(r[n] == n for r in out.collect() for n in names)
+    assert kept["language_id"] == ["1", "2", "2", "None"] and kept["near_duplicates"] == ["1", "2", "3", "None"]
+    assert kept["decontaminate"] == kept["secrets"] == kept["sentencepiece"] == sorted(str(r[0]) for r in rows)
+    assert not any("abcdef1" in (r.text or "") for r in corpus_pipeline.secret_scan(spark, docs, sf_dir).collect())
