@@ -362,3 +362,12 @@ def device_spec_parse(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     spec = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("plughw:CARD="), "source", F.lit(",DEV=0"))).when(F.col("doc_id") % 3 == 1, F.col("source")).otherwise(F.lit("hw:CARD=,x"))
     return docs.select("doc_id", spec.alias("spec")).select("doc_id", "spec", F.coalesce(signal.card_name(F.col("spec")), "spec").alias("device"))
+
+
+@_query
+def device_candidates(spark, sf_dir):
+    """What each specification is looked up by, in order; some are an index."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    card = F.concat(F.lit("plughw:CARD="), "source", F.lit(",DEV=0"))
+    spec = F.when(F.col("doc_id") % 3 == 0, card).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" "), "source")).otherwise((F.col("doc_id") % 10).cast("string"))
+    return docs.select("doc_id", F.array_join(signal.device_candidates(spec), "|").alias("candidates"))

@@ -396,6 +396,9 @@ select session_id, max(t) + 1 as duration, coalesce(any_value(mutes), 0) as mute
         "clock_format": f"""{windows}
 select session_id, window_index, printf('%02d:%02d.%d', (s // 600)::int, (s % 600 // 10)::int, (s % 10)::int) as clock
 from (select session_id, window_index, round((window_index * 61.25 + 0.5) * 10)::bigint as s from w)""",
+        "device_candidates": """
+select doc_id, case when regexp_matches(trim(spec), '^[0-9]+$') then trim(spec) else concat_ws('|', trim(spec), nullif(regexp_extract(spec, 'CARD=([^,]+)', 1), '')) end as candidates
+from (select doc_id, case doc_id % 3 when 0 then 'plughw:CARD=' || source || ',DEV=0' when 1 then ' ' || source else (doc_id % 10)::varchar end as spec from documents)""",
         "device_spec_parse": """
 select doc_id, spec, coalesce(nullif(regexp_extract(spec, 'CARD=([^,]+)', 1), ''), spec) as device
 from (select doc_id, case doc_id % 3 when 0 then 'plughw:CARD=' || source || ',DEV=0' when 1 then source else 'hw:CARD=,x' end as spec from documents)""",
