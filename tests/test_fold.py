@@ -158,3 +158,14 @@ def test_sessions_longer_than_a_batch(spark):
                 d = fold.step(state, w, float(i), c)
                 assert got[s, k, i] == (d.event, state.state)
         assert [based[s, i] for i in range(len(own))] == [sum(not w["is_silence"] for w in own[:i]) for i in range(len(own))]
+
+
+def test_decision_log(spark):
+    from tidemark.config import Log
+    from tidemark.operators import detect
+
+    rows = [(1, i, e, r) for i, (e, r) in enumerate([("NO_CHANGE", "a"), ("NO_CHANGE", "a"), ("", "off"), ("NO_CHANGE", "a"), ("NO_CHANGE", "b"), ("AD_STARTED", "b"), ("NO_CHANGE", "b"), ("NO_CHANGE", "b")])]
+    frame = spark.createDataFrame(rows, "session_id int, window_index int, event string, reason string")
+    told = lambda **given: [r.window_index for r in sorted(detect.decision_log(frame, Log(**given)).filter("level = 'INFO'").collect())]
+    assert told(decision_heartbeat_windows=0) == [0, 4, 5] and told(decision_heartbeat_windows=8) == [0, 4, 5, 7]
+    assert told(verbose_decisions=True) == [0, 1, 3, 4, 5, 6, 7]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.config import Config
+from tidemark.config import Config, Log
 from tidemark.operators import fold, sequence
 
 FEATURES = (
@@ -140,6 +140,22 @@ def feature_log(windows: DataFrame, decided: DataFrame) -> DataFrame:
     )
 
 
+def decision_log(decided: DataFrame, log: Log, by: str = "reason") -> DataFrame:
+    """Adds level to the windows that were armed: INFO for what is new, DEBUG for what goes on.
+
+    New is an event, or another `by` than at the armed window before; every
+    `decision_heartbeat_windows`-th window of a session is told anyway, and all
+    are with `verbose_decisions`.
+    """
+    order = Window.partitionBy("session_id").orderBy("window_index")
+    armed = F.col("event") != ""
+    before = F.last(F.when(armed, F.col(by)), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    told = F.col("event").isin(fold.STARTED, fold.ENDED) | ~F.col(by).eqNullSafe(before) | F.lit(log.verbose_decisions)
+    if log.decision_heartbeat_windows:
+        told = told | (F.row_number().over(order) % log.decision_heartbeat_windows == 0)
+    return decided.withColumn("level", F.when(told, "INFO").otherwise("DEBUG")).filter(armed)
+
+
 def replay_changes(decided: DataFrame) -> DataFrame:
     return decided.filter(F.col("event").isin(fold.STARTED, fold.ENDED)).select("session_id", "window_index", "timestamp", "event", "state", "confidence")
 

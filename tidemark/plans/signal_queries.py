@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import Config, Control, Detection, Gate
+from tidemark.config import Config, Control, Detection, Gate, Log
 from tidemark.functions import kernels, signal
 from tidemark.operators import dataset, detect, intervals, sequence
 from tidemark.operators import sweep as sweeps
@@ -27,6 +27,8 @@ SWEEP_VALUES = tuple(f"{0.137 + 0.31 * k:.3f}" for k in range(12))
 #: Fixed values of the app gate query.
 APP_IDS, APP_NAMES = ("12", "7"), ("click",)
 
+#: Windows between two lines of the log at most.
+HEARTBEAT = 13
 #: The gate is on, and asked often; several apps are armed.
 GATED = replace(
     CONFIG.with_detection(baseline_min_windows=2, ad_loudness_delta_db=0.137, ad_stay_loudness_delta_db=-6.063, max_ad_seconds=12.5),
@@ -34,7 +36,7 @@ GATED = replace(
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = signal_sql.statements(CONFIG, SWEEP_VALUES, APP_IDS, APP_NAMES, GATED)
+ORACLE_SQL: dict[str, str] = signal_sql.statements(CONFIG, SWEEP_VALUES, APP_IDS, APP_NAMES, GATED, HEARTBEAT)
 
 
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -289,6 +291,13 @@ def feature_log_rows(spark, sf_dir):
     return _rounded(log.select("session_id", "index", "timestamp", "state", "muted", "rms_dbfs", "crest_db", "event", "loudness_threshold_db", "ad_elapsed_seconds"))
 
 
+@_query
+def decision_log(spark, sf_dir):
+    """The log's level of every window, by changes of state."""
+    rows = detect.decision_log(_decided(spark, sf_dir, "event", "state"), Log(decision_heartbeat_windows=HEARTBEAT), "state")
+    return rows.select("session_id", "window_index", "event", "state", "level")
+
+
 @_query
 def replay_changes(spark, sf_dir):
     return _rounded(detect.replay_changes(_decided(spark, sf_dir, "event", "state", "confidence")))

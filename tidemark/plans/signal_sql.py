@@ -261,7 +261,7 @@ totals as (
 late as (select config_id, round(median(latency), 6) as median_latency, round(max(latency), 6) as max_latency from met group by config_id)"""
 
 
-def statements(config: Config, swept: Sequence[str], app_ids: Sequence[str], app_names: Sequence[str], gated: Config) -> dict[str, str]:
+def statements(config: Config, swept: Sequence[str], app_ids: Sequence[str], app_names: Sequence[str], gated: Config, heartbeat: int) -> dict[str, str]:
     d = config.detection
     island = "row_number() over (partition by session_id order by window_index)"
     sofar = "over (partition by session_id order by window_index rows unbounded preceding)"
@@ -381,6 +381,10 @@ union all select session_id, i, t, false, true from changes where is_last and mu
         "feature_log_rows": f"""{folded}
 select session_id, i as "index", d.t as timestamp, state, muted, round(rms_dbfs, 6) as rms_dbfs, crest_db, event, bar as loudness_threshold_db, elapsed as ad_elapsed_seconds
 from decided d join w using (session_id) where w.window_index = d.i""",
+        "decision_log": f"""{folded}
+select session_id, i as window_index, event, state,
+  case when event <> 'NO_CHANGE' or (i + 1) % {heartbeat} = 0 or state is distinct from lag(state) over (partition by session_id order by i) then 'INFO' else 'DEBUG' end as level
+from decided""",
         "replay_changes": f"{folded} select session_id, i as window_index, t as timestamp, event, state, confidence from decided where event <> 'NO_CHANGE'",
         "replay_summary": f"""{folded},
 m as (select session_id, count(*) as mutes, sum("end" - start) as muted_seconds from mutes group by session_id)
