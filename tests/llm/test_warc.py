@@ -50,3 +50,13 @@ def test_frames_stand_alone(spark, tmp_path):
     assert zstandard.ZstdDecompressor().decompressobj().decompress(data)[:300] == b"A" * 300
     empty = warc.write(spark.createDataFrame([], SCHEMA), f"{tmp_path}/none")
     assert warc.read(empty, f"{tmp_path}/none").count() == 0
+
+
+def test_many_shared_digests(spark, tmp_path):
+    """Beyond the bound only payloads whose digest may be shared move; the verdicts are the same."""
+    frame = spark.createDataFrame([(*r, "clash", 3) for r in rows()], SCHEMA)
+    tables = [{(r.page_id, r.url, r.digest, r.tie, r.refers_to) for r in warc.verdicts(frame, warc.Rules(most_broadcast=most)).collect()} for most in (1000, 2)]
+    assert tables[0] == tables[1] and len(tables[0]) == len(rows())
+    index = warc.write(frame, f"{tmp_path}/c")
+    few = warc.read(index.union(index), f"{tmp_path}/c", ("page_id", "record_type"))
+    assert few.columns == ["page_id", "record_type"] and few.count() == len(rows())

@@ -62,7 +62,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
     index = warc.write(table(spark, sf_dir, "pages"), folder)
-    return warc.read(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read(index, folder, ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 @_query

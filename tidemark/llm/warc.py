@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.shared import small_batches, written
+from tidemark.llm.shared import bitmap_place, hash_bitmap, small_batches, written
 
 #: Fixed values of the seekable format: magic numbers of a skippable frame and of the seek table's footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -42,6 +42,8 @@ class Rules:
     frame_bytes: int = 1 << 18
     bundle_bytes: int = 1 << 25
     level: int = 3
+    #: Shared digests (a hash and an id each) are broadcast up to so many.
+    most_broadcast: int = 500_000
     date: str = "2024-01-01T00:00:00Z"
 
 
@@ -53,18 +55,29 @@ def record_id(page_id: str | None, tie: int) -> str:
 def verdicts(pages: DataFrame, rules: Rules) -> DataFrame:
     """page_id (as text), url, payload, digest, tie and refers_to (null: a response).
 
-    Sizes and digests are gathered first, so that payloads move for the join
-    with the digests that several pages share, if at all. Of rows that share an
-    id and a payload the first by url comes first; only where there are such
-    rows are they numbered.
+    Sizes and digests are gathered first. Digests that several pages share are
+    broadcast up to `most_broadcast`, and no payload moves; if they are more, a
+    bitmap of their hashes is, and only payloads move whose digest it may hold.
+    Of rows that share an id and a payload the first by url comes first; only
+    where there are such rows are they numbered.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload")
     ).withColumn("digest", F.sha1("payload"))
     rows = rows.withColumn("large", F.octet_length("payload") >= rules.least_bytes)
     slim = written(rows.select("page_id", "digest", "large"), "digests")
-    shared = slim.filter("large").groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).filter("n > 1")
-    met = rows.join(shared.select(F.col("digest").alias("_digest"), "largest"), F.col("digest") == F.col("_digest"), "left")
+    often = slim.filter("large").groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).filter("n > 1")
+    shared = written(often.select(F.col("digest").alias("_digest"), "largest"), "shared")
+    same = F.col("digest") == F.col("_digest")
+    if shared.count() <= rules.most_broadcast:
+        met = rows.join(F.broadcast(shared), same, "left")
+    else:
+        hashed = rows.withColumn("_hash", F.xxhash64("digest"))
+        bits = F.broadcast(hash_bitmap(shared.select(F.xxhash64("_digest").alias("hash")), rules.most_broadcast))
+        word, held = bitmap_place(F.col("_hash"), rules.most_broadcast)
+        told = hashed.join(bits, word == F.col("word"), "left").withColumn("_maybe", F.coalesce(F.col("bits").bitwiseAND(held) != 0, F.lit(False))).drop("word", "bits", "_hash")
+        alone = told.filter("not _maybe").drop("_maybe").withColumn("_digest", F.lit(None).cast("string")).withColumn("largest", F.lit(None).cast("long"))
+        met = told.filter("_maybe").drop("_maybe").join(shared, same, "left").unionByName(alone)
     if slim.groupBy("digest", "page_id").count().filter("count > 1").isEmpty():
         counted = met.withColumn("tie", F.lit(0))
     else:
@@ -211,8 +224,8 @@ def _page(name: str) -> int | None:
     return int(number) if number else None
 
 
-def _read(folder: str):
-    """For mapInPandas over bundle names: their records, one frame at a time."""
+def _read(folder: str, columns: list[str]):
+    """For mapInPandas over bundle names: their records, one frame at a time, each checked."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = _filesystem(f"{folder}/bundles")
@@ -222,7 +235,7 @@ def _read(folder: str):
                 for at, packed, size in _seek_table(f):
                     raw = unpack.decompress(f.read_at(packed, at), max_output_size=max(size, 1))
                     rows = [_told(fields, block) for _, fields, block in _records(raw)]
-                    yield pd.DataFrame(rows, columns=RECORD_COLUMNS, dtype=object)
+                    yield pd.DataFrame(rows, columns=RECORD_COLUMNS, dtype=object)[columns]
 
     return read
 
@@ -246,16 +259,19 @@ def _seek_table(f) -> list[tuple[int, int, int]]:
     return frames(f.read_at(table, size - table))
 
 
-def read(index: DataFrame, folder: str) -> DataFrame:
-    """The records of the bundles that `index` names.
+def read(index: DataFrame, folder: str, columns: tuple[str, ...] = tuple(RECORD_COLUMNS)) -> DataFrame:
+    """The records of the bundles that `index` names, or some of their columns.
 
     A revisit has no payload of its own; its size and digest are those of the
-    response that it refers to. Names are few bytes but much work, so they are
-    dealt to tasks by number and not by size.
+    response that it refers to. Every payload is checked against its digest,
+    whatever the columns. Rows of `index` that repeat, and its other columns,
+    don't matter; an empty index gives an empty result. Names are few bytes but
+    much work, so they are dealt out in turn, and not by size or hash.
     """
     names = index.select("bundle").distinct()
     tasks = min(max(1, names.count()), 16 * index.sparkSession.sparkContext.defaultParallelism)
-    return names.repartition(tasks, "bundle").mapInPandas(_read(folder), RECORDS)
+    types = dict(x.split() for x in RECORDS.split(", "))
+    return names.repartition(tasks).mapInPandas(_read(folder, list(columns)), ", ".join(f"{c} {types[c]}" for c in columns))
 
 
 def fetch(folder: str, entry) -> tuple[dict[str, str], bytes]:
