@@ -104,3 +104,13 @@ def test_first_of_classes(spark):
     got = simhash.first_of_classes(spark.createDataFrame(rows, "doc_id long, text string, fp string, key int"))
     assert got.columns == ["doc_id", "text", "fp", "key"]
     assert sorted((str(r.doc_id), r.fp, r.key) for r in got.collect()) == [("2", "b", 2), ("9", "d", 4), ("None", "e", 5)]
+
+
+def test_ids_and_names_of_any_kind(spark):
+    text = "one two three four five six seven eight"
+    rows = [("b", text, 1, 1, 1, 1), ("a", text, 2, 2, 2, 2), (None, text, 3, 3, 3, 3), ("z", "something else entirely here now", 4, 4, 4, 4), ("z", "something else entirely here now", 4, 4, 4, 4)]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, _key int, _doc int, root int, n int")
+    got = simhash.first_of_classes(frame)
+    assert got.columns == frame.columns and sorted(r.doc_id for r in got.collect()) == ["a", "z"]
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()} == {"a": "a", "b": "a", None: "a", "z": "z"}
+    assert simhash.first_of_classes(frame.limit(0)).count() == 0

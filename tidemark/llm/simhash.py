@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.shared import small_batches, text_key, written
+from tidemark.llm.shared import Scratch, fresh_names, small_batches, small_or_shuffled, text_key, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -44,6 +44,8 @@ SEED = 42
 BLOCKS, BLOCK_BITS = 4, 16
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 17
+#: Rows that go (an id and a hash each) are broadcast up to so many, else joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def _hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
@@ -121,8 +123,11 @@ def screening_keys(fp: F.Column) -> F.Column:
 def with_company(fps: DataFrame) -> DataFrame:
     """Of distinct fingerprints (fp), those that share a screening variant."""
     at = Window.partitionBy("key").orderBy("fp")
+    # Each row becomes 196: few bytes, much work, so tasks must not be merged by size.
+    spark = fps.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return (
-        fps.select("fp", F.explode(screening_keys(F.col("fp"))).alias("key"))
+        fps.repartition(tasks).select("fp", F.explode(screening_keys(F.col("fp"))).alias("key"))
         .select("fp", F.lag("fp").over(at).alias("before"), F.lead("fp").over(at).alias("after"))
         .filter("before is not null or after is not null")
         .select("fp")
@@ -150,33 +155,39 @@ def links(fps: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, name: str = "stars") -> DataFrame:
-    """(node, root) for every node of `edges` (a, b; a > b) but the roots.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of `edges` (a, b; a > b) but the roots, as a table.
 
     A root is the smallest node of its component. Joins are on a node's
     minimum, which has one row a node, so a hub's edges can be split.
     """
-    now = written(edges.select("a", "b"), name)
+    scratch = Scratch(edges.sparkSession, "stars")
+    now = scratch.written(edges.select("a", "b"), "edges")
     state = None
     while True:
         seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if seen == state:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = written(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "components")
+            scratch.drop()
+            return out
         state = seen
         both = now.union(now.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(small, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(moved.union(small.select("a", "m")).distinct(), name)
+        now = scratch.written(moved.union(small.select("a", "m")).distinct(), "edges")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key, fp and root (the smallest fingerprint of the class) of every row."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Tables: doc_id, key and fp of every row; fp and root (the smallest fingerprint of the class) of every distinct fingerprint."""
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    company = written(with_company(rows.select("fp").distinct()), "company")
+    fps = rows.select("fp").distinct()
+    scratch = Scratch(docs.sparkSession, "company")
+    company = scratch.written(with_company(fps), "company")
     roots = components(links(company)).withColumnRenamed("node", "fp")
-    return rows.join(roots, "fp", "left").select("doc_id", "key", "fp", F.coalesce("root", "fp").alias("root"))
+    scratch.drop()
+    return rows, written(fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,23 +196,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest doc_id that links reach, the row's own
     included. Null and blank texts have the zero fingerprint and link like any
     other; rows without doc_id belong to classes but never name them (null if
-    a class has no doc_id); repeated rows stay; other columns don't matter. An
-    empty table gives an empty result.
+    a class has no doc_id); repeated rows stay; ids of any type, other columns
+    don't matter. An empty table gives an empty result.
+
+    A class is named by way of its fingerprints, each of which has one row, and
+    every join has a table on both sides, so that Spark can split a hot one.
     """
-    rows = classes(docs, id_col, text_col)
-    named = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(named, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows, roots = classes(docs, id_col, text_col)
+    least = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp"), "least")
+    named = written(least.groupBy("root").agg(F.min("least").alias("component_id")), "named")
+    by_fp = written(least.join(named, "root").select("fp", "component_id"), "by_fingerprint")
+    return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of `docs` for every class, with all its columns: the one with the smallest doc_id.
 
     Rows without doc_id come last; of equal doc_ids the smaller text hash
-    comes first, and of equal rows one stays.
+    comes first, and of rows equal in both the one with the smallest hash of
+    all columns stays. Null and blank texts are one class; ids and columns of
+    any type and name; an empty table stays empty.
+
+    Only ids and hashes are shuffled: texts stay where they are, but for rows
+    that are repeated.
     """
-    rank = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("key").alias("_key"))
-    first = classes(docs, id_col, text_col).groupBy("root").agg(F.min(rank).alias("x")).select("x.*")
-    named = docs.select("*", F.col(id_col).isNull().alias("_none"), F.coalesce(id_col, F.lit(0)).alias("_id"), text_key(F.col(text_col)).alias("_key"))
-    ids = ["_none", "_id", "_key"]
-    again = F.row_number().over(Window.partitionBy(*ids).orderBy(F.lit(0)))
-    return named.join(first, ids).withColumn("_again", again).filter("_again = 1").select(*docs.columns)
+    rows, roots = classes(docs, id_col, text_col)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    pairs = written(rows.groupBy("doc_id", "key", "fp").agg(F.count("*").alias("n")), "pairs")
+    first = pairs.join(roots, "fp").groupBy("root").agg(F.min(rank).alias("x")).select(F.col("x.doc_id").alias("f_doc_id"), F.col("x.key").alias("f_key"))
+    doc, key = fresh_names(docs, "doc", "key")
+    named = lambda table: table.select(F.col("doc_id").alias(doc), F.col("key").alias(key))
+    gone = pairs.join(first, F.col("doc_id").eqNullSafe(F.col("f_doc_id")) & (F.col("key") == F.col("f_key")), "left_anti")
+    here = F.col(id_col).eqNullSafe(F.col(doc)) & (text_key(F.col(text_col)) == F.col(key))
+    kept = docs.join(small_or_shuffled(written(named(gone), "gone"), MOST_BROADCAST), here, "left_anti")
+    again = written(named(pairs.filter("n > 1")), "again")
+    if again.isEmpty():
+        return kept
+    again = small_or_shuffled(again, MOST_BROADCAST)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = kept.join(again, here, "left_semi").groupBy(F.col(id_col), text_key(F.col(text_col))).agg(F.min_by(whole, F.xxhash64(whole)).alias("row"))
+    return kept.join(again, here, "left_anti").union(one.select("row.*"))
