@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from tidemark.llm import lm
+from tidemark.sources.tables import Scratch
 
 SCHEMA = "doc_id long, text string, score string, n int"
 
@@ -12,18 +13,15 @@ SCHEMA = "doc_id long, text string, score string, n int"
 def brute_tree(train, rules):
     """Contexts by plain dictionaries; returns a function of (history, byte)."""
     counts = defaultdict(Counter)
-    total = 0
     for text in train:
         data = b"\n" * rules.depth + b" ".join(lm.words_of(text)) + b"\n"
         for i in range(rules.depth, len(data)):
-            total += 1
             for d in range(rules.depth + 1):
                 counts[data[i - d : i]][data[i]] += 1
-    least = max(rules.least_count, -(-total // rules.contexts))
     kept = {b""}
     for c, own in counts.items():
         n, up = sum(own.values()), counts[c[1:]]
-        if c and n >= least and sum(k * math.log(k / n / (up[b] / sum(up.values()))) for b, k in own.items()) > rules.least_gain:
+        if c and n >= rules.least_count and sum(k * math.log(k / n / (up[b] / sum(up.values()))) for b, k in own.items()) > rules.least_gain:
             kept |= {c[d:] for d in range(len(c))}
 
     def prob(c, b):
@@ -60,9 +58,9 @@ def check(spark, docs, rules):
 
 
 def test_against_brute_force(spark, sf_dir):
-    docs = [(r.doc_id, (r.text or "")[:3000]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect()]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     docs += [(1, None), (2, ""), (None, "No ID here"), (5, "É ümlaut 漢字 \x7f"), (5, "twice"), (5, "twice"), (9, "the " * 3000)]
-    assert check(spark, docs, lm.Rules(depth=3, contexts=2000, least_count=4, least_gain=5.0, frequent=50)) > 50
+    assert check(spark, docs, lm.Rules(depth=3, least_count=40, least_gain=5.0, frequent=50)) > 50
     check(spark, docs[:12], lm.Rules(depth=2, least_count=2, least_gain=1.0, frequent=10**6))
 
 
@@ -109,9 +107,10 @@ def test_tables_and_automaton_agree(spark, sf_dir):
     texts = [(r.text or "")[:2000] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30).collect()]
     docs = [lm.words_of(t) for t in texts]
     keys, n = np.unique(lm._grams(docs, 3), return_counts=True)
-    levels = lm._levels(spark.createDataFrame(pd.DataFrame({"key": keys, "n": n})), 3)
-    kept = lm._kept(levels, rules.least_count, rules)
-    told = {r.key: r.p for r in lm._probabilities(levels, kept).collect()}
+    scratch = Scratch(spark, "test")
+    levels = lm._levels(spark.createDataFrame(pd.DataFrame({"key": keys, "n": n})), 3, scratch)
+    kept = lm._kept(levels, rules, scratch)
+    told = {r.key: r.p for r in lm._probabilities(levels, kept, scratch).collect()}
     rows = []
     for d in kept:
         contexts = {r.ctx for r in kept[d].collect()}

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import fold_remainder, small_batches, written
+from tidemark.llm.shared import Scratch, fold_remainder, small_batches, written
 
 END = b"\n"
 #: Characters of text that are handled at once; bytes of a chunk of the automaton.
@@ -46,8 +46,7 @@ WORD, GRAM = 0, 1
 @dataclass(frozen=True)
 class Rules:
     depth: int = 5
-    #: Every context kept occurs least_count times. `contexts` asks for 1/contexts of the training bytes as well; by default it asks for nothing.
-    contexts: int = 1 << 62
+    #: A context that is kept occurs so often, and tells so much (nats) beyond its suffix.
     least_count: int = 32
     least_gain: float = 30.0
     frequent: int = 1_000_000
@@ -186,26 +185,26 @@ def _count(depth: int):
     return counted
 
 
-def _levels(grams: DataFrame, depth: int) -> dict[int, DataFrame]:
+def _levels(grams: DataFrame, depth: int, scratch: Scratch) -> dict[int, DataFrame]:
     """key (context, next byte) and n of all windows of every length.
 
     Every level is a table of its own, so that no plan is large: the windows
     of one length are the sums of those that are longer by a byte in front.
     """
-    levels = {depth: written(grams.groupBy("key").agg(F.sum("n").alias("n")), "grams")}
+    levels = {depth: scratch.written(grams.groupBy("key").agg(F.sum("n").alias("n")), "grams")}
     for d in range(depth - 1, -1, -1):
         shorter = F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("key")
-        levels[d] = written(levels[d + 1].groupBy(shorter).agg(F.sum("n").alias("n")), "grams")
+        levels[d] = scratch.written(levels[d + 1].groupBy(shorter).agg(F.sum("n").alias("n")), "grams")
     return levels
 
 
-def _kept(levels: dict[int, DataFrame], least: int, rules: Rules) -> dict[int, DataFrame]:
+def _kept(levels: dict[int, DataFrame], rules: Rules, scratch: Scratch) -> dict[int, DataFrame]:
     """ctx, total and kinds of the contexts kept and their suffixes, by length."""
     common, sums = {}, {}
     for d in range(rules.depth, -1, -1):
         own = levels[d].filter("n > 0").withColumn("ctx", F.shiftright("key", 8))
-        sums[d] = own.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter(F.col("total") >= (least if d else 1))
-        common[d] = written(own.join(sums[d], "ctx"), "common")
+        sums[d] = own.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter(F.col("total") >= (rules.least_count if d else 1))
+        common[d] = scratch.written(own.join(sums[d], "ctx"), "common")
     out, longer = {}, None
     for d in range(rules.depth, 0, -1):
         up = common[d - 1].select(F.col("key").alias("up_key"), F.col("n").alias("up_n"), F.col("total").alias("up_total"))
@@ -214,14 +213,14 @@ def _kept(levels: dict[int, DataFrame], least: int, rules: Rules) -> dict[int, D
         kept = pairs.groupBy("ctx").agg(gain.alias("gain")).filter(F.col("gain") > rules.least_gain).select("ctx")
         if longer is not None:
             kept = kept.union(longer).distinct()
-        kept = written(kept, "contexts")
+        kept = scratch.written(kept, "contexts")
         out[d] = common[d].join(kept, "ctx", "left_semi").select("ctx", "total", "kinds").distinct()
         longer = kept.select(F.col("ctx").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1)).alias("ctx")).distinct()
     out[0] = common[0].select("ctx", "total", "kinds").distinct()
     return out
 
 
-def _probabilities(levels: dict[int, DataFrame], kept: dict[int, DataFrame]) -> DataFrame:
+def _probabilities(levels: dict[int, DataFrame], kept: dict[int, DataFrame], scratch: Scratch) -> DataFrame:
     """key and p of every window of full length, by its longest kept suffix.
 
     From the empty context up: where a context is kept, its counts are smoothed
@@ -236,7 +235,9 @@ def _probabilities(levels: dict[int, DataFrame], kept: dict[int, DataFrame]) ->
             up = told.select(F.col("key").alias("up_key"), F.col("p").alias("up"))
             own = own.join(up, F.col("key").bitwiseAND(F.lit((1 << 8 * d) - 1)) == F.col("up_key"))
         mixed = (F.col("n") + F.col("kinds") * F.col("up")) / (F.col("total") + F.col("kinds"))
-        told = written(own.join(kept[d], "ctx", "left").select("key", F.coalesce(mixed, "up").alias("p")), "probabilities")
+        # Only the last is read after the scratch tables are gone.
+        put = written if d == max(levels) else scratch.written
+        told = put(own.join(kept[d], "ctx", "left").select("key", F.coalesce(mixed, "up").alias("p")), "probabilities")
     return told
 
 
@@ -367,9 +368,10 @@ def scores(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text
     common = F.col("n") >= F.lit(n / rules.frequent)
     top = vocabulary.filter(common).select("key", "n").orderBy("key").toPandas()
     grams = counts.filter(F.col("kind") == GRAM).select("chunk", "key", "n")
-    levels = _levels(grams, rules.depth)
-    total = levels[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    told = _probabilities(levels, _kept(levels, max(rules.least_count, -(-total // rules.contexts)), rules))
+    scratch = Scratch(docs.sparkSession, "lm")
+    levels = _levels(grams, rules.depth, scratch)
+    told = _probabilities(levels, _kept(levels, rules, scratch), scratch)
+    scratch.drop()
     windows = grams.select("chunk", "key").join(told, "key").select("chunk", "key", F.log10("p").cast("float").alias("score"))
     handle = docs.sparkSession.sparkContext.broadcast((top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))
     rarer = vocabulary.filter(~common).select(F.col("key").alias("hash"), F.col("n").alias("c"))
