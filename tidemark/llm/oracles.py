@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, decontaminate, quality, secrets, urlfilter, warc
+from tidemark.llm import chat, decontaminate, quality, secrets, sharding, urlfilter, warc
 from tidemark.llm.shared import SPACE
 
 _WORDS = "list_filter(regexp_split_to_array({}, '" + SPACE + "'), lambda x: x <> '')"
@@ -12,6 +12,15 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+#: The table of a byte's CRC-32 by its rule, and the CRC-32 of a text from it.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))"
+
+
+def _crc32(text: str, table: str) -> str:
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::bigint)"
+    return f"xor(list_reduce([4294967295::bigint] || {codes}, lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 def _chat(rule: chat.Windows = chat.Windows()) -> str:
     marks = len(chat.OPEN + chat.MIDDLE + chat.CLOSE)
     plain = "".join(p for p, _ in chat.ESCAPES)
@@ -206,4 +215,19 @@ select page_id, payload_bytes, payload_digest,
 from ranked"""
 
 
-SQL: dict[str, str] = {"op2_chat": _chat(), "op4_decontaminate": _decontaminate(), "op5_quality": _quality(), "op7_warc": _warc(), "op8_urls": _urls(), "op10_secrets": _secrets()}
+def _sharding(n: int = 8) -> str:
+    return f"""
+with crc as (select {_CRC_TABLE} as steps),
+keyed as (
+  select doc_id, coalesce(text, '') as t, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::bigint as h, octet_length(encode(coalesce(text, '')))::bigint + 1 as size from documents),
+placed as (
+  select *, sum(size) over (order by h, doc_id nulls first, size rows unbounded preceding) - size as before,
+    row_number() over (order by h, doc_id nulls first, size) as place, sum(size) over () as total
+  from keyed),
+sharded as (select *, least({n - 1}, (2 * before + size)::hugeint * {n} // (2 * total))::int as shard from placed)
+select doc_id, size, {_crc32("t", "steps")} as text_crc32, '{sharding.LAW}' as law, shard,
+  place - min(place) over (partition by shard) as slot, null::int as grown_shard
+from sharded, crc"""
+
+
+SQL: dict[str, str] = {"op2_chat": _chat(), "op4_decontaminate": _decontaminate(), "op5_quality": _quality(), "op7_warc": _warc(), "op8_urls": _urls(), "op10_secrets": _secrets(), "op11_sharding": _sharding()}

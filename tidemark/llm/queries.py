@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, langid, lm, oracles, quality, secrets, sentencepiece, simhash, urlfilter, warc
+from tidemark.llm import chat, decontaminate, langid, lm, oracles, quality, secrets, sentencepiece, sharding, simhash, urlfilter, warc
 from tidemark.llm.shared import fold_remainder, new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,9 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scanned(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shards(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
