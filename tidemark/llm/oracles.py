@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, decontaminate, quality, secrets, sharding, urlfilter, warc
+from tidemark.llm import chat, decontaminate, importance, phrases, quality, secrets, sharding, urlfilter, warc
 from tidemark.llm.shared import SPACE
 
 _WORDS = "list_filter(regexp_split_to_array({}, '" + SPACE + "'), lambda x: x <> '')"
@@ -230,4 +230,65 @@ select doc_id, size, {_crc32("t", "steps")} as text_crc32, '{sharding.LAW}' as l
 from sharded, crc"""
 
 
-SQL: dict[str, str] = {"op2_chat": _chat(), "op4_decontaminate": _decontaminate(), "op5_quality": _quality(), "op7_warc": _warc(), "op8_urls": _urls(), "op10_secrets": _secrets(), "op11_sharding": _sharding()}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _phrases(rule: phrases.Rules = phrases.Rules()) -> str:
+    """All phrases of all texts, counted one by one."""
+    grams = " union all ".join(
+        f"select lang, {n} as words, w, i, list_aggregate(w[i:i + {n - 1}], 'string_agg', ' ') as phrase from pieces, unnest(range(1, len(w) - {n - 2})) as u(i)" for n in range(1, rule.longest + 1)
+    )
+    return f"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w
+  from (select lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents)),
+grams as ({grams}),
+counts as (select lang, phrase, words, count(*) as f from grams group by all having count(*) >= {rule.support}),
+totals as (select lang, sum(len(w))::bigint as n from pieces group by lang),
+several as (select *, string_split(phrase, ' ') as w from counts where words > 1),
+inner_spans as (
+  select lang, list_aggregate(w[i:i + k - 1], 'string_agg', ' ') as phrase, max(f) as longer
+  from several, unnest(range(2, words)) as a(k), unnest(range(1, words - k + 2)) as b(i) group by all),
+kept as (
+  select s.* from several s left join inner_spans x using (lang, phrase) where coalesce(100 * longer::hugeint < {rule.subsumed_percent} * f::hugeint, true)),
+cuts as (
+  select s.lang, s.phrase, s.f as a, k, l.f as l, r.f as r, (2000000 * s.f::hugeint // (l.f + r.f))::bigint as score
+  from kept s, unnest(range(1, words)) as u(k)
+  join counts l on l.lang = s.lang and l.phrase = list_aggregate(w[1:k], 'string_agg', ' ')
+  join counts r on r.lang = s.lang and r.phrase = list_aggregate(w[k + 1:], 'string_agg', ' ')),
+worst as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from worst join totals using (lang) qualify rank <= {rule.top}"""
+
+
+def _importance(rule: importance.Rules = importance.Rules()) -> str:
+    words = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    features = "w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
+    return f"""
+with crc as (select {_CRC_TABLE} as steps),
+docs as (select row_number() over () as rid, doc_id, w, {features} as f from (select doc_id, {words} as w from documents)),
+every as (
+  select rid, true as own, unnest(f) as feature from docs
+  union all select null, false, unnest({features}) from (select {words} as w from benchmark)),
+bucketed as (select feature, {_crc32("feature", "steps")} % {rule.buckets} as bucket from (select distinct feature from every), crc),
+counts as (select bucket, count(*) filter (own) as s, count(*) filter (not own) as t from every join bucketed using (feature) group by bucket),
+totals as (select coalesce(sum(s), 0)::bigint as ss, coalesce(sum(t), 0)::bigint as tt from counts),
+gains as (
+  select bucket, floor(1000 * ln((t + 1)::double * (ss + {rule.buckets}) / ((s + 1)::double * (tt + {rule.buckets}))))::bigint as gain from counts, totals),
+weights as (
+  select rid, floor(sum(gain)::bigint / count(*)::double)::bigint as weight
+  from every join bucketed using (feature) join gains using (bucket) where own group by rid),
+scored as (
+  select doc_id, len(w) as n_words, len(f)::bigint as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{rule.seed}:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from docs left join weights using (rid)),
+ranked as (
+  select *, row_number() over (partition by n_words >= {rule.least_words} order by score desc, doc_id) as place,
+    count(*) over (partition by n_words >= {rule.least_words}) as able from scored)
+select doc_id, n_features, weight, score, case when n_words >= {rule.least_words} and place <= able * {rule.drawn_percent} // 100 then place end as rank from ranked"""
+
+
+SQL: dict[str, str] = {
+    "op2_chat": _chat(), "op4_decontaminate": _decontaminate(), "op5_quality": _quality(), "op7_warc": _warc(), "op8_urls": _urls(), "op10_secrets": _secrets(), "op11_sharding": _sharding(),
+    "op12_phrases": _phrases(), "op13_importance": _importance(),
+}
