@@ -2,14 +2,16 @@
 
 A sample of the texts proposes phrases at a lowered support. One full pass then
 counts the proposed phrases and their negative border (phrases whose own parts,
-one word shorter, are all proposed), exactly and over all texts. Phrases of the
-border that turn out frequent are failures of the sample: they are added, and
-further passes count what the additions make possible, until none is found. The
-frequent phrases and their counts are then those of a full count.
-
-Proposals go to the tasks as a bitmap of hashes of bounded size. A bit that is
-set by another phrase only makes a pass count more than it must; it changes no
-count and hides no phrase.
+one word shorter, are all proposed) over all texts. Phrases of the border that
+turn out frequent are failures of the sample: they are added, and further
+passes count what the additions make possible, until none is found.
+
+These passes count phrases by 64-bit hashes, so few bytes are shuffled; a hash
+that two phrases share can only make both look more frequent. A last pass spells
+the phrases that look frequent and counts each by its words, so the result is
+that of a full count. Sets of phrases go to the tasks as bitmaps of hashes of
+bounded size: a bit that is set by another phrase only makes a pass count more
+than it must; it changes no count and hides no phrase.
 """
 
 from __future__ import annotations
@@ -49,8 +51,8 @@ class Rules:
     sample_share: float = 1 / 16
     lowered: float = 0.5
     #: Bytes of texts that a task counts at a time.
-    slice_bytes: int = 8 << 20
-    #: 64-bit words of the proposals' bitmap at most: 8 MB.
+    slice_bytes: int = 4 << 20
+    #: 64-bit words of a bitmap: 8 MB.
     bitmap_words: int = 1 << 20
 
     @property
@@ -89,12 +91,12 @@ def parts(text: bytes, size: int, words: int) -> Iterator[tuple[bytes, int]]:
     yield before + text[at:], n
 
 
-def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One 64-bit hash of two, by multiplying and folding (all modulo 2^64)."""
+def _mixed(a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """One 64-bit hash of two, by multiplying and folding (all modulo 2^64); its last three bits are the length less one."""
     x = a * np.uint64(0x9E3779B97F4A7C15) + b
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
+    return (x ^ (x >> np.uint64(31))) & ~np.uint64(7) | np.uint64(length - 1)
 
 
 def _has(bits: np.ndarray | None, hashed: np.ndarray) -> np.ndarray:
@@ -110,13 +112,16 @@ def _coded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return got.indices.to_numpy(zero_copy_only=False).astype(np.int64), got.dictionary.to_numpy(zero_copy_only=False)
 
 
-def phrases_of(texts: list[tuple[str, bytes, int]], rules: Rules, known: np.ndarray | None, counted: np.ndarray | None, first: bool) -> Iterator[tuple]:
-    """languages, phrases (each as a function, as not all want them), hashes, known and counts of the phrases of each length in (language, text, words before) triples.
+def phrases_of(
+    texts: list[tuple[str, bytes, int]], rules: Rules, known: np.ndarray | None = None, older: np.ndarray | None = None, spell: bool = False
+) -> Iterator[tuple]:
+    """languages, number of each phrase's language, phrases (None unless they are spelled), hashes and counts, of the phrases of each length in
+    (language, text, words before) triples.
 
     A phrase is counted if its parts, one word shorter, have their bits in
-    `known` (None: any) and were not reached by way of `counted` alone (passes
-    before this one have those); single words only in the `first` full pass.
-    Phrases of words before a text alone were counted with the part before.
+    `known` (None: any), and was not reached by way of `older` alone: passes
+    before this one have those. Phrases of words before a text alone were
+    counted with the part before. The last three bits of a hash are its length.
     """
     langs = sorted({x for x, _, _ in texts})
     place = {x: i for i, x in enumerate(langs)}
@@ -139,45 +144,43 @@ def phrases_of(texts: list[tuple[str, bytes, int]], rules: Rules, known: np.ndar
     sizes = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
     words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(sizes), pa.py_buffer(_LOWER[data[is_word]])).dictionary_encode()
     del data, kind, is_word, edge
-    which = words.indices.to_numpy().astype(np.int64)
     lang = np.array([place[x] for x, _, _ in texts], np.int64)[own]
-    ids, pairs = _coded(lang * len(words.dictionary) + which)
-    spelled = words.dictionary.take(pa.array(pairs % len(words.dictionary)))
+    different = len(words.dictionary)
+    one, pairs = _coded(lang * different + words.indices.to_numpy().astype(np.int64))
+    of_lang, of_word = pairs // different, pairs % different
     by_word = np.array([xxhash.xxh64_intdigest(w.as_buffer(), 12) for w in words.dictionary], np.uint64)
     by_lang = np.array([xxhash.xxh64_intdigest(x, 12) for x in langs], np.uint64)
-    unit = hashed = _mixed(by_lang[pairs // len(words.dictionary)], by_word[pairs % len(words.dictionary)])
-    of_lang = pairs // len(words.dictionary)
-    one, singles, at = ids, spelled, np.arange(len(ids))
-    passes = _has(known, hashed)
-    if first:
-        counts = np.bincount(ids[fresh], minlength=len(hashed))
-        yield langs, of_lang, spelled, hashed, passes, counts
-    older = _has(counted, hashed) if counted is not None else None
-    for _ in range(2, rules.longest + 1):
-        # `ids` of the phrases of one word less by their last word; -1 where there is none that counts.
+    unit = hashed = _mixed(by_lang[of_lang], by_word[of_word], 1)
+    single = spelled = words.dictionary.take(pa.array(of_word)) if spell else None
+    counts = np.bincount(one[fresh], minlength=len(pairs))
+    yield langs, of_lang, spelled, hashed, counts if older is None else np.zeros_like(counts)
+    ids, passes, was = one, _has(known, hashed), None if older is None else _has(older, hashed)
+    for n in range(2, rules.longest + 1):
+        # `ids` are those of the phrases of one word less, by their last word; -1 where there is none that counts.
         good = np.zeros(len(one), bool)
         good[1:] = joined[1:] & (ids[1:] >= 0) & (ids[:-1] >= 0)
         at = good.nonzero()[0]
         at = at[passes[ids[at]] & passes[ids[at - 1]]]
         if not len(at):
             return
-        place_of, keys = _coded(ids[at - 1] * len(singles) + one[at])
+        place_of, keys = _coded(ids[at - 1] * len(unit) + one[at])
         some = np.empty(len(keys), np.int64)
         some[place_of] = at
         prefix, last, suffix = ids[some - 1], one[some], ids[some]
-        spelled = pc.binary_join_element_wise(spelled.take(pa.array(prefix)), singles.take(pa.array(last)), " ")
-        hashed = _mixed(hashed[prefix], unit[last])
+        if spell:
+            spelled = pc.binary_join_element_wise(spelled.take(pa.array(prefix)), single.take(pa.array(last)), " ")
+        hashed = _mixed(hashed[prefix], unit[last], n)
         of_lang = of_lang[prefix]
         counts = np.bincount(place_of[fresh[at]], minlength=len(keys))
         if older is not None:
             # Was it reached before? Its bits alone don't tell: other phrases may have set them.
-            before = older[prefix] & older[suffix]
-            counts = np.where(before, 0, counts)
-            older = before & _has(counted, hashed)
+            reached = was[prefix] & was[suffix]
+            counts = np.where(reached, 0, counts)
+            was = reached & _has(older, hashed)
+        yield langs, of_lang, spelled, hashed, counts
         passes = _has(known, hashed)
         ids = np.full(len(one), -1, np.int64)
         ids[at] = place_of
-        yield langs, of_lang, spelled, hashed, passes, counts
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rules: Rules) -> Iterator[list[tuple[str, bytes, int]]]:
@@ -200,17 +203,25 @@ def _texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text")).filter("text <> ''")
 
 
-def proposals(texts: DataFrame, rules: Rules) -> DataFrame:
-    """`hash` of the phrases that occur often enough in a sample of the texts, drawn by their hashes."""
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(7), "text", F.monotonically_increasing_id()), 11) / float(1 << 53)
+def summed(texts: DataFrame, rules: Rules, known: np.ndarray | None, older: np.ndarray | None, least: int) -> DataFrame:
+    """hash and n of what one pass counts at least so often: what two phrases share counts for both."""
+    spark = texts.sparkSession
+    shared, before = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(older)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in _slices(batches, rules):
-            for _, _, _, hashed, _, counts in phrases_of(texts, rules, None, None, True):
-                yield pa.record_batch({"hash": hashed.view(np.int64), "n": counts})
+        for part in _slices(batches, rules):
+            for _, _, _, hashed, counts in phrases_of(part, rules, shared.value, before.value):
+                some = counts.nonzero()[0]
+                yield pa.record_batch({"hash": hashed[some].view(np.int64), "n": counts[some]})
 
-    found = texts.filter(unit < rules.sample_share).mapInArrow(run, "hash long, n long")
-    return found.groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= rules.proposed).select("hash")
+    found = texts.mapInArrow(run, "hash long, n long")
+    return found.groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+
+
+def sample(texts: DataFrame, rules: Rules) -> DataFrame:
+    """Texts drawn by their hashes and places, so that copies are drawn one by one; what is drawn decides how many passes follow, nothing else."""
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(7), "text", F.monotonically_increasing_id()), 11) / float(1 << 53)
+    return texts.filter(unit < rules.sample_share)
 
 
 def bitmap(hashes: DataFrame, rules: Rules, old: np.ndarray | None = None) -> np.ndarray:
@@ -221,27 +232,34 @@ def bitmap(hashes: DataFrame, rules: Rules, old: np.ndarray | None = None) -> np
     return bits
 
 
-def counted(texts: DataFrame, rules: Rules, known: np.ndarray, older: np.ndarray | None) -> DataFrame:
-    """lang, phrase, n and failed (its hash, if it has no bit in `known`) of frequent phrases that one pass counts.
+def failures(often: DataFrame, rules: Rules, known: np.ndarray) -> DataFrame:
+    """`hash` of the frequent ones that could be parts of longer phrases, and that `known` doesn't have."""
+    shared = often.sparkSession.sparkContext.broadcast(known)
 
-    The first pass (no `older`) has the phrase '' too: all words of a language.
-    """
-    spark = texts.sparkSession
-    shared, before = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(older)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashed = batch.column(0).to_numpy().view(np.uint64)
+            new = ~_has(shared.value, hashed) & ((hashed & np.uint64(7)) < rules.longest - 1)
+            yield pa.record_batch({"hash": hashed[new].view(np.int64)})
+
+    return often.select("hash").mapInArrow(run, "hash long")
+
+
+def spelled(texts: DataFrame, rules: Rules, often: np.ndarray) -> DataFrame:
+    """lang, phrase and n of the phrases that are frequent, of those that have their bits; and '' with all words of each language."""
+    shared = texts.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in _slices(batches, rules):
-            for level, (langs, of_lang, phrase, hashed, passes, counts) in enumerate(phrases_of(texts, rules, shared.value, before.value, before.value is None)):
+        for part in _slices(batches, rules):
+            for level, (langs, of_lang, phrase, hashed, counts) in enumerate(phrases_of(part, rules, shared.value, spell=True)):
                 names = pa.array(langs, pa.string())
-                if level == 0 and before.value is None:
-                    totals = np.bincount(of_lang, weights=counts, minlength=len(langs)).astype(np.int64)
-                    yield pa.record_batch({"lang": names, "phrase": pa.array([""] * len(langs)), "hash": pa.nulls(len(langs), pa.int64()), "n": totals})
-                some = counts.nonzero()[0]
-                failed = pa.array(hashed[some].view(np.int64), mask=passes[some])
-                yield pa.record_batch({"lang": names.take(pa.array(of_lang[some])), "phrase": phrase.take(pa.array(some)), "hash": failed, "n": counts[some]})
+                if level == 0:
+                    totals = np.bincount(of_lang, counts, len(langs)).astype(np.int64)
+                    yield pa.record_batch({"lang": names, "phrase": pa.array([""] * len(langs)), "n": totals})
+                some = ((counts > 0) & _has(shared.value, hashed)).nonzero()[0]
+                yield pa.record_batch({"lang": names.take(pa.array(of_lang[some])), "phrase": phrase.take(pa.array(some)), "n": counts[some]})
 
-    found = texts.mapInArrow(run, "lang string, phrase string, hash long, n long")
-    sums = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.max("hash").alias("failed"))
+    sums = texts.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     return sums.filter((F.col("n") >= rules.support) | (F.col("phrase") == ""))
 
 
@@ -250,20 +268,20 @@ def frequent(docs: DataFrame, rules: Rules, scratch: Scratch, lang_col: str = "l
 
     Exact whatever the sample proposes; it decides how many passes there are.
     """
+    if not 1 <= rules.longest <= 8:
+        raise ValueError("a phrase has 1 to 8 words")
     small_batches(docs.sparkSession)
     texts = _texts(docs, lang_col, text_col)
-    known, older, tables = bitmap(scratch.written(proposals(texts, rules), "proposals"), rules), None, []
+    known, older, often = bitmap(scratch.written(summed(sample(texts, rules), rules, None, None, rules.proposed), "proposals"), rules), None, None
     while True:
-        tables.append(scratch.written(counted(texts, rules, known, older), "counted"))
-        words = F.size(F.split("phrase", " "))
-        failed = tables[-1].filter(F.col("failed").isNotNull() & (words < rules.longest)).select(F.col("failed").alias("hash"))
+        counted = scratch.written(summed(texts, rules, known, older, rules.support), "counted")
+        often = bitmap(counted, rules, often)
+        failed = scratch.written(failures(counted, rules, known), "failures")
         if failed.isEmpty():
             break
         known, older = bitmap(failed, rules, known), known
-    every = tables[0]
-    for more in tables[1:]:
-        every = every.unionByName(more)
-    return every.select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).alias("words"), "n")
+    found = spelled(texts, rules, often)
+    return found.select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).alias("words"), "n")
 
 
 def mined(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", text_col: str = "text") -> DataFrame:
