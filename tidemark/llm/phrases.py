@@ -3,8 +3,11 @@
 A sample of the texts proposes phrases at a lowered support. One full pass then
 counts the proposed phrases and their negative border (phrases whose own parts,
 one word shorter, are all proposed) over all texts. Phrases of the border that
-turn out frequent are failures of the sample: they are added, and further
-passes count what the additions make possible, until none is found.
+turn out frequent are failures of the sample: they are added, and a further
+pass counts what the additions make possible. It takes every phrase that it
+reaches as an addition itself, so it counts longer ones around it as well, and
+the set is closed after it: the parts of a frequent phrase are frequent, hence
+proposed, added, or reached. Without failures there is no such pass.
 
 These passes count phrases by 64-bit hashes, so few bytes are shuffled; a hash
 that two phrases share can only make both look more frequent. A last pass spells
@@ -51,9 +54,9 @@ class Rules:
     sample_share: float = 1 / 16
     lowered: float = 0.5
     #: Bytes of texts that a task counts at a time.
-    slice_bytes: int = 4 << 20
-    #: 64-bit words of a bitmap: 8 MB.
-    bitmap_words: int = 1 << 20
+    slice_bytes: int = 3 << 20
+    #: 64-bit words of a bitmap: 4 MB.
+    bitmap_words: int = 1 << 19
 
     @property
     def proposed(self) -> int:
@@ -119,9 +122,10 @@ def phrases_of(
     (language, text, words before) triples.
 
     A phrase is counted if its parts, one word shorter, have their bits in
-    `known` (None: any), and was not reached by way of `older` alone: passes
-    before this one have those. Phrases of words before a text alone were
-    counted with the part before. The last three bits of a hash are its length.
+    `known` (None: any), and was not reached by way of `older` alone: the pass
+    before this one has those, and what it hasn't reached counts as known.
+    Phrases of words before a text alone were counted with the part before.
+    The last three bits of a hash are its length.
     """
     langs = sorted({x for x, _, _ in texts})
     place = {x: i for i, x in enumerate(langs)}
@@ -179,6 +183,8 @@ def phrases_of(
             was = reached & _has(older, hashed)
         yield langs, of_lang, spelled, hashed, counts
         passes = _has(known, hashed)
+        if older is not None:
+            passes |= ~reached
         ids = np.full(len(one), -1, np.int64)
         ids[at] = place_of
 
@@ -219,7 +225,7 @@ def summed(texts: DataFrame, rules: Rules, known: np.ndarray | None, older: np.n
 
 
 def sample(texts: DataFrame, rules: Rules) -> DataFrame:
-    """Texts drawn by their hashes and places, so that copies are drawn one by one; what is drawn decides how many passes follow, nothing else."""
+    """Texts drawn by their hashes and places, so that copies are drawn one by one; what is drawn decides what the passes have to count, not what they find."""
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(7), "text", F.monotonically_increasing_id()), 11) / float(1 << 53)
     return texts.filter(unit < rules.sample_share)
 
@@ -266,20 +272,19 @@ def spelled(texts: DataFrame, rules: Rules, often: np.ndarray) -> DataFrame:
 def frequent(docs: DataFrame, rules: Rules, scratch: Scratch, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """lang, phrase, words and n of all phrases that occur often enough in their language, and '' with all words.
 
-    Exact whatever the sample proposes; it decides how many passes there are.
+    Exact whatever the sample proposes; it decides whether there is a further pass.
     """
     if not 1 <= rules.longest <= 8:
         raise ValueError("a phrase has 1 to 8 words")
     small_batches(docs.sparkSession)
     texts = _texts(docs, lang_col, text_col)
-    known, older, often = bitmap(scratch.written(summed(sample(texts, rules), rules, None, None, rules.proposed), "proposals"), rules), None, None
-    while True:
-        counted = scratch.written(summed(texts, rules, known, older, rules.support), "counted")
-        often = bitmap(counted, rules, often)
-        failed = scratch.written(failures(counted, rules, known), "failures")
-        if failed.isEmpty():
-            break
-        known, older = bitmap(failed, rules, known), known
+    known = bitmap(scratch.written(summed(sample(texts, rules), rules, None, None, rules.proposed), "proposals"), rules)
+    counted = scratch.written(summed(texts, rules, known, None, rules.support), "counted")
+    often = bitmap(counted, rules)
+    failed = scratch.written(failures(counted, rules, known), "failures")
+    if not failed.isEmpty():
+        more = summed(texts, rules, bitmap(failed, rules, known), known, rules.support)
+        often = bitmap(scratch.written(more, "counted"), rules, often)
     found = spelled(texts, rules, often)
     return found.select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).alias("words"), "n")
 
