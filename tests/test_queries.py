@@ -23,7 +23,7 @@ def plain(rows):
     return sorted(tuple("" if v is None else repr(round(v, 5) + 0.0) if isinstance(v, float) else str(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(signal_queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(signal_queries.ORACLE_SQL))
 def test_query(spark, sf_dir, duck, name):
     got = signal_queries.QUERIES[name](spark, sf_dir)
     columns = sorted(got.columns)

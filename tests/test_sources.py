@@ -75,8 +75,17 @@ def test_device_payloads(spark):
     rows = [(1, '<active-app><app id="12">Films</app></active-app>'), (2, "<active-app><app>Home</app></active-app>"), (3, "<active-app></active-app>"), (4, "<active-app><app id="), (5, None)]
     got = {r.i: (r.app_id, r.app_name) for r in files.active_app(spark.createDataFrame(rows, "i int, payload string")).collect()}
     assert got == {1: ("12", "Films"), 2: ("", "Home"), 3: ("", ""), 4: (None, None), 5: (None, None)}
-    info = files.device_info(spark.createDataFrame([("<device-info><a>1</a><b-c>x y</b-c></device-info>",)], "payload string")).first().info
-    assert info == {"a": "1", "b-c": "x y"}
+
+
+def test_device_info(spark):
+    rows = [
+        (1, "<device-info><a>1</a><b-c>x y</b-c></device-info>"), (2, "<?xml version='1.0'?>\n<device-info><a>x &amp; y &lt;b&gt;</a></device-info>"),
+        (3, '<device-info v="1"><a id="7">1</a><n><m>deep</m></n><e/></device-info>'), (4, "<device-info><a>1</a><a>2</a></device-info>"),
+        (5, "<device-info/>"), (6, "<device-info></device-info>"), (7, "<device-info><a>1"), (8, "not found"), (9, ""), (10, None), (11, "<other><a>1</a></other>"),
+    ]
+    got = {r.i: r["info"] for r in files.device_info(spark.createDataFrame(rows, "i int, payload string")).collect()}
+    want = {1: {"a": "1", "b-c": "x y"}, 2: {"a": "x & y <b>"}, 3: {"a": "1", "n": "", "e": ""}, 4: {"a": "2"}, 5: {}, 6: {}}
+    assert got == want | {i: None for i in range(7, 12)}
 
 
 def test_merge_and_scores(spark):

@@ -23,13 +23,14 @@ READ = (
     "rms_dbfs", "crest_db", "spectral_centroid_hz", "is_silence", "silence_ratio", "leading_silence_seconds", "trailing_silence_seconds",
     "interior_silence_seconds", "duration_seconds",
 )
-OPTIONAL = ("stream_restarted", "app_id", "app_name", "command_ok")
+OPTIONAL = ("stream_restarted", "app_id", "app_name", "armed", "app_switched", "command_ok", "ad_score")
 DECISION = (
     "event string, ad_profile boolean, confidence double, reason string, gap_seconds double, cue_gap_seconds double, cue_active boolean, "
     "loudness_threshold_db double, loudness_delta_db double, crest_delta_db double, smoothed_rms_dbfs double, baseline_rms_dbfs double, "
     "baseline_crest_db double, baseline_centroid_hz double, baseline_count int, ad_elapsed_seconds double"
 )
 STATES = "state string, muted boolean, pending int"
+PART = "_part"
 _NAMES = [f.name for f in fields(fold.Decision)]
 _TYPES = dict(x.split() for x in f"{DECISION}, {STATES}".split(", "))
 #: Columns that a window may leave without a value, and what pandas needs to know them.
@@ -55,6 +56,12 @@ def decided(rows: Iterable[dict], state: fold.State, config: Config, detector: f
     return out
 
 
+def restart_parts(windows: DataFrame, keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """Adds the number of restarts before or at each window: parts of a session that know nothing of each other."""
+    anew = (F.coalesce(F.col("stream_restarted"), F.lit(False)) & (F.col("window_index") > 0)).cast("int")
+    return windows.withColumn(PART, F.sum(anew).over(Window.partitionBy(*keys).orderBy("window_index").rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def decisions(
     windows: DataFrame, config: Config | list[Config], keys: tuple[str, ...] = ("session_id",), detector: fold.Detector = fold.RULES,
     columns: tuple[str, ...] = tuple(_TYPES),
@@ -66,11 +73,18 @@ def decisions(
     batch to the next, so a session may have any length. Of several configs,
     each window is folded once for each, and config_id says which. Only the
     scalars that the fold reads are shuffled, once.
+
+    After a restart of the stream nothing is left of what went before, if the
+    actuator obeys (no command_ok) and the app is known from columns or not
+    asked for: sessions are then split there, and their parts are folded apart.
     """
     more = [c for c in OPTIONAL if c in windows.columns]
     read = windows.select(*keys, "window_index", "timestamp", *READ, *more)
     several, ids = not isinstance(config, Config), [*keys, "window_index", "timestamp"]
     tried = list(config) if several else [config]
+    asks = any(c.gate.armed_apps_only for c in tried) and "armed" not in more
+    if "stream_restarted" in more and "command_ok" not in more and not asks:
+        read, keys = restart_parts(read, keys), (*keys, PART)
     shown = attrgetter(*(c for c in columns if c in _NAMES)) if any(c in _NAMES for c in columns) else None
     held = attrgetter(*({"muted": "believed_muted"}.get(c, c) for c in columns if c not in _NAMES)) if any(c not in _NAMES for c in columns) else None
     order = [c for c in columns if c in _NAMES] + [c for c in columns if c not in _NAMES]

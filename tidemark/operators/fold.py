@@ -269,9 +269,13 @@ def _break_off(s: State, t: float, ok: bool, detector: Detector) -> None:
 
 
 def _check_app(s: State, w: Mapping, t: float, config: Config, detector: Detector) -> bool:
-    """Is detection armed? An unknown app (null) keeps what was known."""
+    """Is detection armed? An unknown app (null) keeps what was known; where checks are made already, their columns say."""
     if not config.gate.armed_apps_only:
         return True
+    if w.get("armed") is not None:
+        if w.get("app_switched"):
+            detector.reset(s)
+        return bool(w["armed"])
     if s.checked_at is None or t - s.checked_at >= config.controller.app_check_seconds:
         s.checked_at = t
         if w.get("app_id") is not None:
@@ -287,7 +291,8 @@ def step(s: State, w: Mapping, t: float, config: Config, detector: Detector = RU
     """One window through gate, detector and controller; changes `s`.
 
     `w` has the features, and may have stream_restarted, app_id and app_name
-    (null id: not known) and command_ok (did the actuator obey; default yes).
+    (null id: not known) or armed and app_switched (of `sequence.gated`), and
+    command_ok (did the actuator obey; default yes).
     """
     ok = w.get("command_ok")
     ok = True if ok is None else bool(ok)

@@ -1,7 +1,9 @@
 """Label spans and mute spans: parsing, merging, joining and scoring intervals.
 
-Spans are half-open. Every join has the session as an equality, with the bounds
-as the residual condition, so it is a hash or merge join and never a nested loop.
+Spans are half-open. Joins are by session and bin of time, with the bounds as the
+residual condition: a span is repeated into the bins that it touches, and a pair
+is kept in one of them, so a session's spans are compared with what is near them
+alone, and a long session is many keys.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ AD_LABELS = ("ad", "ad-cont", "advert", "commercial")
 SKIP_LABELS = ("ignore", "skip", "unknown", "?")
 MERGE_SECONDS = 2.0
 GRACE_SECONDS = 2.0
+#: Width of a bin of time, about that of an ad break.
+BIN_SECONDS = 60.0
 
 
 def parse_labels(lines: DataFrame) -> DataFrame:
@@ -44,13 +48,24 @@ def overlaps(spans: DataFrame) -> DataFrame:
     return spans.withColumn("previous_end", F.lag("end").over(by)).filter("start < previous_end")
 
 
+def _bin(at: Column) -> Column:
+    return F.floor(at / BIN_SECONDS)
+
+
+def binned(spans: DataFrame, pad: float = 0.0, start: str = "start", end: str = "end") -> DataFrame:
+    """Each span once for every bin of time that it touches, padded on both sides; `_bin` is null without bounds, and the start's where it ends before."""
+    first, last = _bin(F.col(start) - pad), _bin(F.col(end) + pad)
+    return spans.select("*", F.explode_outer(F.sequence(first, F.greatest(first, last))).alias("_bin"))
+
+
 def label_windows(windows: DataFrame, spans: DataFrame) -> DataFrame:
     """Adds label (ad, skip or content) by the span that holds a window's middle."""
     middle = F.col("timestamp") + F.col("duration_seconds") / 2
-    s = spans.select(F.col("session_id").alias("_session"), "start", "end", F.col("label").alias("_label"))
-    held = windows.withColumn("_middle", middle).join(s, (F.col("session_id") == F.col("_session")) & (F.col("_middle") >= F.col("start")) & (F.col("_middle") < F.col("end")), "left")
+    s = binned(spans.select(F.col("session_id").alias("_session"), "start", "end", F.col("label").alias("_label"))).withColumnRenamed("_bin", "_span_bin")
+    near = (F.col("session_id") == F.col("_session")) & (_bin(F.col("_middle")) == F.col("_span_bin"))
+    held = windows.withColumn("_middle", middle).join(s, near & (F.col("_middle") >= F.col("start")) & (F.col("_middle") < F.col("end")), "left")
     kind = F.when(F.col("_label").isin(*AD_LABELS), "ad").when(F.col("_label").isNotNull(), "skip").otherwise("content")
-    return held.withColumn("label", kind).drop("_session", "_middle", "_label", "start", "end")
+    return held.withColumn("label", kind).drop("_session", "_middle", "_label", "_span_bin", "start", "end")
 
 
 def unlabelled(chunks: DataFrame, labels: DataFrame, on: str) -> DataFrame:
@@ -84,12 +99,13 @@ def overlap(a: str, b: str) -> Column:
 
 
 def _meet(mutes: DataFrame, breaks: DataFrame, keys: tuple[str, ...], pad: float, how: str) -> DataFrame:
-    """Breaks with the mutes that overlap them, padded on both sides."""
-    same = F.lit(True)
+    """Breaks with the mutes that overlap them, padded on both sides; each pair once, breaks without any (`how` left) once a bin."""
+    same = F.col("b._bin") == F.col("m._bin")
     for k in keys:
         same = same & (F.col(f"b.{k}") == F.col(f"m.{k}"))
     near = (F.col("m.start") < F.col("b.end") + pad) & (F.col("m.end") > F.col("b.start") - pad)
-    return breaks.alias("b").join(mutes.alias("m"), same & near, how)
+    once = F.col("b._bin") == _bin(F.greatest(F.col("m.start"), F.col("b.start") - pad))
+    return binned(breaks, pad).alias("b").join(binned(mutes).alias("m"), same & near & once, how)
 
 
 def break_latency(mutes: DataFrame, breaks: DataFrame, keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
@@ -113,9 +129,8 @@ def false_mute(mutes: DataFrame, breaks: DataFrame, keys: tuple[str, ...] = ("se
 
 def spurious(mutes: DataFrame, breaks: DataFrame) -> DataFrame:
     """Mutes that overlap no break."""
-    m, b = mutes.alias("m"), breaks.alias("b")
-    near = (F.col("m.session_id") == F.col("b.session_id")) & (F.col("m.start") < F.col("b.end")) & (F.col("m.end") > F.col("b.start"))
-    return m.join(b, near, "left_anti")
+    met = _meet(mutes, breaks, ("session_id",), 0.0, "inner").select("m.session_id", "m.start", "m.end").distinct()
+    return mutes.join(met, ["session_id", "start", "end"], "left_anti").select(*mutes.columns)
 
 
 def score_sessions(sessions: DataFrame, mutes: DataFrame, breaks: DataFrame, keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
@@ -135,13 +150,40 @@ def score_sessions(sessions: DataFrame, mutes: DataFrame, breaks: DataFrame, key
     return out.select(*keys, "duration", *counts, *seconds).na.fill(0, list(counts)).na.fill(0.0, list(seconds))
 
 
+def _one(keys: tuple[str, ...]) -> list[Column]:
+    """A constant to group by where there are no keys."""
+    return [] if keys else [F.lit(1).alias("_one")]
+
+
+def exact_median(rows: DataFrame, value: str, keys: tuple[str, ...] = (), width: float = 0.25) -> DataFrame:
+    """keys (or _one, a constant) and median_<value>: the middle value, or the mean of the two; null without values.
+
+    By selection: equal values are counted, counts of bins of values tell which
+    bins the middle lies in, and only their values are put in order. No task
+    holds more than the bins' counts or one bin's different values, and no
+    buffer grows with the rows.
+    """
+    by = [*keys] if keys else ["_one"]
+    values = rows.groupBy(*keys, *_one(keys), F.col(value).alias("_value")).agg(F.count("*").alias("_n")).withColumn("_bin", F.floor(F.col("_value") / width))
+    some = values.filter("_value is not null")
+    sofar = lambda *more: Window.partitionBy(*by, *more).orderBy(*(["_value"] if more else ["_bin"])).rowsBetween(Window.unboundedPreceding, 0)
+    bins = some.groupBy(*by, "_bin").agg(F.sum("_n").alias("_own"))
+    placed = bins.withColumn("_before", F.sum("_own").over(sofar()) - F.col("_own")).withColumn("_all", F.sum("_own").over(Window.partitionBy(*by)))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1  # places of the two middle values, from 1
+    holds = lambda start, n, place: (start < place) & (place <= start + n)
+    near = placed.filter(holds(F.col("_before"), F.col("_own"), low) | holds(F.col("_before"), F.col("_own"), high)).drop("_own")
+    inner = some.join(near, [*by, "_bin"]).withColumn("_before", F.col("_before") + F.sum("_n").over(sofar("_bin")) - F.col("_n"))
+    middle = lambda place: F.max(F.when(holds(F.col("_before"), F.col("_n"), place), F.col("_value")))
+    found = inner.groupBy(*by).agg(((middle(low) + middle(high)) / 2).alias(f"median_{value}"))
+    return values.select(*by).distinct().join(found, by, "left")
+
+
 def score_totals(scores: DataFrame, latencies: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Sums over sessions, false seconds per hour, median and largest latency of the breaks caught."""
     sums = [F.sum(c).alias(c) for c in ("duration", "breaks", "caught", "mutes", "ad_seconds", "covered_seconds", "muted_seconds", "false_seconds")]
     total = scores.groupBy(*keys).agg(F.count("*").alias("sessions"), *sums)
-    late = latencies.groupBy(*keys).agg(F.percentile("latency", F.lit(0.5)).alias("median_latency"), F.max("latency").alias("max_latency"))
-    if keys:
-        both = total.join(late, list(keys), "left")
-    else:
-        both = total.withColumn("_one", F.lit(1)).join(late.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    by = [*keys] if keys else ["_one"]
+    most = latencies.groupBy(*keys, *_one(keys)).agg(F.max("latency").alias("max_latency"))
+    late = exact_median(latencies, "latency", keys).join(most, by)
+    both = total.select("*", *_one(keys)).join(late, by, "left").drop("_one")
     return both.withColumn("false_per_hour", F.when(F.col("duration") > 0, 3600 * F.col("false_seconds") / F.col("duration")).otherwise(0.0))

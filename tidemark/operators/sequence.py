@@ -1,20 +1,22 @@
 """Causal sequence features by window functions: what depends on features alone.
 
-Input rows have session_id, epoch (counts the detector's resets), window_index
-and the features. Every frame ends at the current row or before it. One session
-is one ordered sequence, so sessions are the unit of parallel work.
+Input rows have session_id, epoch (counts the detector's resets, see `epochs`),
+window_index and the features. Every frame ends at the current row or before it.
+One epoch of a session is one ordered sequence.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from math import ceil, log10
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from tidemark.config import Detection
+from tidemark.config import Config, Detection
 
 FULLY_SILENT = 0.999
 #: A relative change is taken only of values over this.
@@ -105,32 +107,58 @@ def in_order(windows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return windows.repartition(tasks, *keys).sortWithinPartitions(*keys, *order)
 
 
-def ema_baseline(windows: DataFrame, alpha: float) -> DataFrame:
-    """Adds the baseline before each window: an exponential mean over windows that were not silent.
+def _joined(rows: DataFrame, more: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """`rows` with the other columns of `more`, by keys that may be null."""
+    own = more.select(*(F.col(k).alias(f"_on_{k}") for k in keys), *(c for c in more.columns if c not in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys]
+    return rows.join(own, same, how).drop(*(f"_on_{k}" for k in keys))
 
-    The recursion has no stable closed form over long sessions, so each session
-    is folded in order. Rows stream through a task and three means are kept
-    from one batch to the next, so a session may have any length.
-    """
-    names = ["rms_dbfs", "crest_db", "spectral_centroid_hz"]
-    out = ["baseline_rms_dbfs", "baseline_crest_db", "baseline_centroid_hz"]
 
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, base, count = None, None, 0
-        for rows in parts:
-            found = []
-            for session, epoch, silent, *values in zip(*(rows[c].tolist() for c in ("session_id", "epoch", "is_silence", *names))):
-                if (session, epoch) != now:
-                    now, base, count = (session, epoch), None, 0
-                found.append((*(base or (None,) * 3), count))
-                if not silent:
-                    base = values if base is None else [(1 - alpha) * b + alpha * x for b, x in zip(base, values)]
-                    count += 1
-            more = pd.DataFrame(found, columns=[*out, "baseline_count"], index=rows.index)
-            yield pd.concat([rows, more.astype({c: "float64" for c in out} | {"baseline_count": "int32"})], axis=1)
+#: Windows of a session that are counted together, whatever its length.
+CHUNK = 4096
+#: What is left of a value after a block's steps: far below a double's last bit.
+FADED = 1e-20
+
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema), *(f"{c} double" for c in out), "baseline_count int"])
-    return in_order(windows, ("session_id", "epoch")).mapInPandas(fold, schema).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in out})
+def _steps(windows: DataFrame) -> DataFrame:
+    """Adds _n: the windows before that were not silent, of a session and epoch. Sums of chunks first, so a session is many tasks."""
+    keys = ("session_id", "epoch", "_chunk")
+    rows = windows.withColumn("_chunk", F.floor(F.col("window_index") / CHUNK))
+    voiced = F.when(F.col("is_silence"), 0).otherwise(1)
+    sums = rows.groupBy(*keys).agg(F.sum(voiced).alias("_voiced"))
+    earlier = sums.select(*keys, F.coalesce(F.sum("_voiced").over(Window.partitionBy("session_id", "epoch").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    own = F.coalesce(F.sum(voiced).over(_before(Window.partitionBy(*keys).orderBy("window_index"))), F.lit(0))
+    return _joined(rows, earlier, keys).withColumn("_n", F.col("_earlier") + own).drop("_chunk", "_earlier")
+
+
+def ema_baseline(windows: DataFrame, alpha: float) -> DataFrame:
+    """Adds the baseline before each window: an exponential mean over windows that were not silent, and their number.
+
+    A blocked scan. Blocks have as many voiced windows as make a value fade by
+    1e-20, so within one a sum with powers of 1 - alpha can't overflow, whatever
+    the session's length; at a block's start the mean is what the block before
+    it has summed, and the faded rest of the one before that. Blocks and chunks
+    of a session are tasks of their own. Rows without session_id are a session.
+    """
+    keep = 1.0 - alpha
+    size = max(1, ceil(log10(FADED) / log10(keep))) if 0 < keep < 1 else 1
+    values = {"baseline_rms_dbfs": "rms_dbfs", "baseline_crest_db": "crest_db", "baseline_centroid_hz": "spectral_centroid_hz"}
+    keys = ("session_id", "epoch", "_block")
+    rows = _steps(windows).withColumns({"_block": F.floor(F.col("_n") / size), "_at": F.col("_n") % size})
+    voiced, share = ~F.col("is_silence"), F.when(F.col("_n") == 0, 1.0).otherwise(alpha)
+    power = lambda exponent: F.pow(F.lit(keep), exponent)
+    narrow = rows.select(*keys, "_n", "_at", "is_silence", *values.values()).filter(voiced)
+    sums = narrow.groupBy(*keys).agg(*(F.sum(share * F.col(x) * power(size - 1 - F.col("_at"))).alias(f"_{b}") for b, x in values.items()))
+    # A block is begun by the sums of the two before it; a session's first one by nothing.
+    after = sums.withColumn("_block", F.col("_block") + 1)
+    later = sums.select("session_id", "epoch", (F.col("_block") + 2).alias("_block"), *((F.col(f"_{b}") * keep**size).alias(f"_{b}") for b in values))
+    begun = after.unionByName(later).groupBy(*keys).agg(*(F.sum(f"_{b}").alias(f"_{b}") for b in values))
+    inside = _before(Window.partitionBy(*keys).orderBy("window_index"))
+    faded = lambda b: power(F.col("_at")) * F.coalesce(F.col(f"_{b}"), F.lit(0.0))
+    own = lambda x: F.when(F.col("_at") > 0, power(F.col("_at") - 1) * F.sum(F.when(voiced, share * F.col(x) * power(-F.col("_at")))).over(inside)).otherwise(0.0)
+    found = {b: F.when(F.col("_n") > 0, faded(b) + own(x)) for b, x in values.items()}
+    out = _joined(rows, begun, keys, "left").withColumns(found).withColumn("baseline_count", F.col("_n").cast("int"))
+    return out.select(*windows.columns, *values, "baseline_count")
 
 
 def feature_deltas(baselined: DataFrame) -> DataFrame:
@@ -157,3 +185,97 @@ def app_gate(windows: DataFrame, ids: tuple[str, ...], names: tuple[str, ...]) -
     polled = F.last(F.when(F.col("app_id").isNotNull(), F.struct("app_id", "app_name")), ignorenulls=True).over(sofar)
     match = F.col("_app.app_id").isin(*ids) | F.lower(F.trim("_app.app_name")).isin(*(n.strip().lower() for n in names))
     return windows.withColumn("_app", polled).withColumn("active_app", F.col("_app.app_id")).withColumn("armed", F.coalesce(match, F.lit(False))).drop("_app")
+
+
+def epochs(windows: DataFrame) -> DataFrame:
+    """Sets epoch: how often the detector has been reset before or at each window, by restarts of the stream and switches of the app.
+
+    Restarts are in stream_restarted (a session's first window is none), app
+    switches in app_switched (see `gated`); either column may be missing.
+    """
+    resets = F.lit(False)
+    if "stream_restarted" in windows.columns:
+        resets = resets | (F.coalesce(F.col("stream_restarted"), F.lit(False)) & (F.col("window_index") > 0))
+    if "app_switched" in windows.columns:
+        resets = resets | F.coalesce(F.col("app_switched"), F.lit(False))
+    return windows.withColumn("epoch", F.sum(resets.cast("int")).over(_sofar(_ordered())).cast("int"))
+
+
+def latest(windows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Adds to each window (session_id, timestamp) the columns of the last fact (session_id, at, ...) of its session at or before it; null without one.
+
+    Of facts at one time the last by their other columns counts (nulls first).
+    Windows and facts are one sequence by time, so nothing is compared pair by
+    pair, and a session's windows need no partner.
+    """
+    told = [c for c in facts.columns if c not in ("session_id", "at")]
+    kept = windows.drop(*told)
+    fact = F.struct(*told)
+    kinds = {"_row": kept.select(F.struct(*kept.columns)).schema[0].dataType, "_fact": facts.select(fact).schema[0].dataType}
+    rows = kept.select("session_id", F.col("timestamp").cast("double").alias("_at"), F.lit(1).alias("_kind"), F.struct(*kept.columns).alias("_row"), F.lit(None).cast(kinds["_fact"]).alias("_fact"))
+    known = facts.select("session_id", F.col("at").cast("double").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(kinds["_row"]).alias("_row"), fact.alias("_fact"))
+    order = _sofar(Window.partitionBy("session_id").orderBy("_at", "_kind", "_fact"))
+    found = rows.unionByName(known).withColumn("_last", F.last("_fact", ignorenulls=True).over(order)).filter("_kind = 1")
+    return found.select("_row.*", "_last.*")
+
+
+def as_of(windows: DataFrame, polls: DataFrame) -> DataFrame:
+    """Adds what the last poll at or before each window found: app_id, app_name and poll (failed, no app, app; null: none yet).
+
+    `polls` has session_id, at, app_id and app_name; a null id is a poll that
+    failed, an empty one no app.
+    """
+    kind = F.when(F.col("app_id").isNull(), "failed").when(F.trim("app_id") == "", "no app").otherwise("app")
+    return latest(windows, polls.select("session_id", "at", F.col("app_id").cast("string"), F.col("app_name").cast("string"), kind.alias("poll")))
+
+
+def sampled(windows: DataFrame, every: float) -> DataFrame:
+    """Adds checked: is the app asked for at this window? At a session's first one, then at the first that is so many seconds after the last check.
+
+    Each check depends on the one before it, so sessions are read in order;
+    only the last check's time is kept, and a batch is skipped from check to check.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, due = None, 0.0
+        for rows in parts:
+            at, checked = rows["timestamp"].to_numpy(), np.zeros(len(rows), bool)
+            bounds = np.flatnonzero((rows["session_id"] != rows["session_id"].shift()).to_numpy()).tolist() + [len(rows)]
+            for start, stop in zip(bounds, bounds[1:]):
+                if (own := rows["session_id"].iat[start]) != session:
+                    session, due = own, -np.inf
+                while start < stop:
+                    late = np.flatnonzero(at[start:stop] - due >= (every if due != -np.inf else 0))
+                    if not len(late):
+                        break
+                    start += int(late[0])
+                    checked[start], due = True, at[start]
+                    start += 1
+            yield rows.assign(checked=checked)
+
+    keys = windows.select("session_id", "window_index", "timestamp")
+    kind = {c: t for c, t in keys.dtypes}
+    found = in_order(keys, ("session_id",)).mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in kind.items()) + ", checked boolean")
+    return _joined(windows, found.drop("timestamp"), ("session_id", "window_index"))
+
+
+def gated(windows: DataFrame, config: Config) -> DataFrame:
+    """Adds checked, armed and app_switched by the app (app_id, app_name) that each check finds.
+
+    A check without an answer (null id) keeps what was known. The detector is
+    reset where an armed app is found that is not the one found before; going
+    through an app that isn't armed is such a switch. With the gate off every
+    window is armed.
+    """
+    if not config.gate.armed_apps_only:
+        return windows.withColumns({"checked": F.lit(False), "armed": F.lit(True), "app_switched": F.lit(False)})
+    rows = sampled(windows, config.controller.app_check_seconds)
+    ids, names = config.gate.armed_app_ids, [n.strip().lower() for n in config.gate.armed_app_names]
+    fits = F.coalesce(F.col("app_id").isin(*ids) | F.lower(F.trim("app_name")).isin(*names), F.lit(False))
+    own = F.when(fits, F.when(F.col("app_id") != "", F.col("app_id")).otherwise(F.col("app_name"))).otherwise("")
+    known = F.when(F.col("checked") & F.col("app_id").isNotNull(), F.struct(fits.alias("armed"), own.alias("app")))
+    told = rows.withColumn("_known", known)
+    before = F.last("_known", ignorenulls=True).over(_before(_ordered()))
+    found = told.withColumns({"_before": before, "_now": F.last("_known", ignorenulls=True).over(_sofar(_ordered()))})
+    switched = F.col("_known.armed") & (F.col("_known.app") != F.coalesce(F.col("_before.app"), F.lit("")))
+    return found.withColumns({"armed": F.coalesce(F.col("_now.armed"), F.lit(False)), "app_switched": F.coalesce(switched, F.lit(False))}).drop("_known", "_before", "_now")

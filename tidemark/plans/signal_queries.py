@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Config, Control, Detection, Gate, Log
 from tidemark.functions import kernels, signal
-from tidemark.operators import dataset, detect, intervals, sequence
+from tidemark.operators import dataset, detect, intervals, recut, sequence, trained
 from tidemark.operators import sweep as sweeps
 from tidemark.plans import signal_sql
 from tidemark.sources import adapters, tables
@@ -181,6 +181,50 @@ def app_gate(spark, sf_dir):
     return _at(sequence.app_gate(rows, APP_IDS, APP_NAMES), "active_app", "armed")
 
 
+@_query
+def app_asof(spark, sf_dir):
+    """Windows with the last poll of a second table, asked for at intervals; polls that failed are told from those that found no app."""
+    rows = adapters.windows(spark, sf_dir)
+    gated = sequence.gated(sequence.as_of(rows, adapters.app_polls(rows)), GATED)
+    return _at(gated, "poll", "app_id", "checked", "armed", "app_switched")
+
+
+@_query
+def epoch_features(spark, sf_dir):
+    """Sequence features that begin anew where the stream does."""
+    rows = sequence.epochs(adapters.restarts(adapters.windows(spark, sf_dir)))
+    found = sequence.ema_baseline(sequence.trailing_median(sequence.last_voiced(sequence.gap_stitch(rows)), 9), CONFIG.detection.baseline_alpha)
+    return _at(found, "epoch", "gap_seconds", "voiced_rms_dbfs", "smoothed_rms_dbfs", *BASELINE)
+
+
+@_query
+def restarted_states(spark, sf_dir):
+    """Streams that begin anew, with the app of the second table: sessions are folded in parts."""
+    rows = adapters.restarts(adapters.windows(spark, sf_dir))
+    gated = sequence.gated(sequence.as_of(rows, adapters.app_polls(rows)), GATED)
+    columns = ("event", "state", "muted", "pending")
+    return _at(detect.decisions(gated, GATED, columns=columns), *columns)
+
+
+@_query
+def trained_states(spark, sf_dir):
+    """A model learned on three sessions of four takes the rules' place in the others."""
+    rows = adapters.windows(spark, sf_dir)
+    learned, held = rows.filter("session_id % 4 <> 3"), rows.filter("session_id % 4 = 3")
+    model = trained.fit(dataset.training_rows(learned, adapters.chunk_spans(learned), CONFIG.detection))
+    scored = tables.written(trained.scored(held, model, CONFIG.detection), "scored")
+    decided = detect.decisions(scored, CONFIG, detector=trained.Scored(0.5, 0.45), columns=("event", "state", "muted"))
+    return _at(decided.join(scored.select("session_id", "window_index", trained.SCORE), ["session_id", "window_index"]), "event", "state", "muted", trained.SCORE)
+
+
+@_query
+def recut_blocks(spark, sf_dir):
+    """Windows cut from blocks of any lengths, some of which are lost."""
+    rows = recut.windows(adapters.blocks(spark, sf_dir), adapters.RECUT)
+    level = signal.rms(F.col("samples"))
+    return _rounded(rows.select("session_id", "window_index", "first_frame", F.size("samples").alias("n"), "whole", F.col("samples")[0].alias("first"), level.alias("rms")))
+
+
 @_query
 def label_parse(spark, sf_dir):
     rows = intervals.parse_labels(adapters.label_lines(adapters.windows(spark, sf_dir)))

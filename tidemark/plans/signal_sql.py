@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from tidemark.config import Config
 from tidemark.operators.intervals import AD_LABELS, GRACE_SECONDS, MERGE_SECONDS, SKIP_LABELS
-from tidemark.sources.adapters import BUFFER_RATE, CHUNK_WINDOWS, FRAME
+from tidemark.sources.adapters import BUFFER_RATE, CHUNK_WINDOWS, FRAME, RECUT
 
 BUFFERS = """
 buffers as (
@@ -164,8 +164,27 @@ mutes as (
   from stretches where muted)"""
 
 
-def _gated(config: Config) -> str:
-    """`gated`: one config's fold with the app gate, restarts of the stream and an actuator that may fail. Relative mode.
+#: Polls beside the windows: the app that each window's event names, restarts and failures of the actuator.
+OWN_POLLS = """
+polls as (
+  select *, window_index % 23 = 0 and window_index > 0 as restarted, event_id % 7 <> 3 as ok,
+    case when event_type <> 'view' then ((window_index + session_id) // 17 % 4)::bigint::varchar end as app_id, upper(event_type) as app_name from w)"""
+#: Polls of a second table, the last one before each window; the actuator always obeys.
+TABLE_POLLS = """
+asked as (
+  select session_id, t + event_id % 4 * 0.5 - 1.0 as told_at, upper(event_type) as app_name,
+    case event_id % 7 when 2 then null when 3 then '' else ((window_index + session_id) // 17 % 4)::bigint::varchar end as app_id
+  from w where event_id % 3 = 0),
+last_asked as (
+  select * from asked qualify row_number() over (partition by session_id, told_at order by app_id desc nulls last, app_name desc nulls last) = 1),
+polls as (
+  select w.*, a.app_id, a.app_name, window_index % 23 = 0 and window_index > 0 as restarted, true as ok,
+    case when a.told_at is null then null when a.app_id is null then 'failed' when a.app_id = '' then 'no app' else 'app' end as poll
+  from w asof left join last_asked a on w.session_id = a.session_id and w.t >= a.told_at)"""
+
+
+def _gated(config: Config, polls: str) -> str:
+    """`steps`: one config's fold with the app gate, restarts of the stream and an actuator that may fail. Relative mode.
 
     A row is stepped in stages: what breaks off first, then the detector on what is left, then the controller.
     """
@@ -173,10 +192,7 @@ def _gated(config: Config) -> str:
     names = _listed([x.strip().lower() for x in g.armed_app_names])
     left = lambda column, none="null::double": f"case when reset then {none} else {column} end"
     ema = lambda b, x: f"case when not takes then {b} when {b} is null then {x} else {1 - d.baseline_alpha}::double * {b} + {d.baseline_alpha}::double * {x} end"
-    return f"""
-polls as (
-  select *, window_index % 23 = 0 and window_index > 0 as restarted, event_id % 7 <> 3 as ok,
-    case when event_type <> 'view' then ((window_index + session_id) // 17 % 4)::bigint::varchar end as app_id, upper(event_type) as app_name from w),
+    return f"""{polls},
 steps as (
   select session_id, -1::bigint as i, null::double as br, null::double as bc, null::double as bz, 0 as bn, false as in_ad, null::double as ad_at, 0.0::double as carry,
     null::double as cue_at, null::double as vr, null::double as vz, 0 as streak, 'CONTENT' as state, 0 as pending, null::double as muted_at, false as unmute,
@@ -373,7 +389,28 @@ select session_id, i as window_index, event, profile as ad_profile, confidence,
   round(pr, 6) as baseline_rms_dbfs, round(pc, 6) as baseline_crest_db, round(pz, 6) as baseline_centroid_hz, pn as baseline_count from decided""",
         "detector_events": f"{folded} select session_id, i as window_index, t as timestamp, event from decided where event <> 'NO_CHANGE'",
         "controller_states": f"{folded} select session_id, i as window_index, state, muted, pending from decided",
-        "gated_states": f"{windows}, {_gated(gated)} select session_id, i as window_index, event, state, state = 'MUTED' as muted, pending from steps where i >= 0",
+        "gated_states": f"{windows}, {_gated(gated, OWN_POLLS)} select session_id, i as window_index, event, state, state = 'MUTED' as muted, pending from steps where i >= 0",
+        "restarted_states": f"{windows}, {_gated(gated, TABLE_POLLS)} select session_id, i as window_index, event, state, state = 'MUTED' as muted, pending from steps where i >= 0",
+        "app_asof": f"""{windows}, {_gated(gated, TABLE_POLLS)},
+told as (
+  select session_id, i, armed, coalesce(checked = i, false) as checked, armed and app <> coalesce(lag(app) over (partition by session_id order by i), '') as app_switched
+  from steps where i >= 0)
+select p.session_id, window_index, poll, app_id, checked, armed, app_switched from polls p join told s on s.session_id = p.session_id and s.i = p.window_index""",
+        "epoch_features": f"""{windows.replace("w as (", "plain as (")},
+w as (
+  select * exclude (session_id, window_index, t), session_id * 100000 + window_index // 23 as session_id, window_index % 23 as window_index, t, session_id as own, window_index as place from plain),
+{gaps}, {_baseline(d.baseline_alpha)}
+select own as session_id, place as window_index, (place // 23)::int as epoch, {r6("gap_seconds")}, round(vr, 6) as voiced_rms_dbfs,
+  round(median(v.rms_dbfs) over (partition by v.session_id order by v.window_index rows 8 preceding), 6) as smoothed_rms_dbfs,
+  {r6("baseline_rms_dbfs", "baseline_crest_db", "baseline_centroid_hz")}, baseline_count
+from voiced v join (select session_id, window_index, baseline_rms_dbfs, baseline_crest_db, baseline_centroid_hz, baseline_count from based) using (session_id, window_index)""",
+        "recut_blocks": f"""
+with cut as (select vec_id, vec_id % 16 as session_id, list_transform(embedding[:20 + vec_id * 7 % 45], lambda x: x::double) as s from embeddings),
+placed as (select *, sum(len(s)) over (partition by session_id order by vec_id) - len(s) as first from cut),
+frames as (select session_id, first + i - 1 as frame, s[i] as x from placed, unnest(range(1, len(s) + 1)) as u(i) where vec_id % 29 <> 5)
+select session_id, (frame // {RECUT})::bigint as window_index, min(frame)::bigint as first_frame, count(*)::int as n, max(frame) - min(frame) + 1 = count(*) as whole,
+  round(arg_min(x, frame), 6) as first, round(sqrt(sum(x * x) / count(*)), 6) as rms
+from frames group by all""",
         "mute_spans": f'{folded} select session_id, span::int as span, start, "end" from mutes',
         "mute_commands": f"""{folded}
 select session_id, i as window_index, t as timestamp, muted as want_muted, false as at_end from changes where changed

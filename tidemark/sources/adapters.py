@@ -83,3 +83,29 @@ def label_lines(windows: DataFrame) -> DataFrame:
         .otherwise(F.concat_ws("\t", start, end, F.upper("label")))
     )
     return spans.select("session_id", "chunk", "line", text.alias("text"))
+
+
+def app_polls(windows: DataFrame) -> DataFrame:
+    """Polls of the active app: every third event, some seconds off its window; some fail, some find no app."""
+    app = F.when(F.col("event_id") % 7 == 2, F.lit(None)).when(F.col("event_id") % 7 == 3, "").otherwise(F.floor((F.col("window_index") + F.col("session_id")) / 17 % 4).cast("string"))
+    at = F.col("timestamp") + F.col("event_id") % 4 * 0.5 - 1.0
+    return windows.filter("event_id % 3 = 0").select("session_id", at.alias("at"), app.alias("app_id"), F.upper("event_type").alias("app_name"))
+
+
+def restarts(windows: DataFrame) -> DataFrame:
+    """The windows of streams that begin anew at times."""
+    return windows.withColumn("stream_restarted", F.col("window_index") % 23 == 0)
+
+
+#: Samples of a window that is cut from blocks.
+RECUT = 50
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of samples of any lengths, in sessions of every 16th vector; first_frame is a block's place in its session, and some are lost."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    n = (20 + F.col("vec_id") * 7 % 45).cast("int")
+    own = rows.select("vec_id", (F.col("vec_id") % 16).alias("session_id"), n.alias("n"), F.transform(F.slice("embedding", 1, n), lambda x: x.cast("double")).alias("samples"))
+    before = Window.partitionBy("session_id").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = own.withColumn("first_frame", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return placed.filter("vec_id % 29 <> 5").select("session_id", "first_frame", "samples")

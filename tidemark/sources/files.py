@@ -71,13 +71,22 @@ def active_app(payloads: DataFrame, column: str = "payload") -> DataFrame:
     return rows.withColumn("app_id", part("_id")).withColumn("app_name", part("_VALUE")).drop("_xml")
 
 
-def device_info(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """Adds info: the text of each child of a flat device description."""
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(column, F.lit(r"<([A-Za-z][\w.-]*)>([^<]*)</\1>"), F.lit(1)).alias("k"),
-        F.regexp_extract_all(column, F.lit(r"<([A-Za-z][\w.-]*)>([^<]*)</\1>"), F.lit(2)).alias("v"),
-    )
-    return payloads.withColumn("info", F.map_from_entries(F.array_distinct(pairs)))
+def device_info(payloads: DataFrame, column: str = "payload", root: str = "device-info") -> DataFrame:
+    """Adds info: the text of each child of a device description, by the child's name (of equal names the last).
+
+    Entities are decoded; attributes are no text, and neither are a child's own
+    children. Null if the payload can't be read; empty if it has no children.
+    """
+    bare = F.regexp_replace(F.regexp_replace(column, r"^\s*(<\?xml[^>]*\?>)?\s*", ""), rf"""^<{root}(\s+[\w:.-]+\s*=\s*("[^"]*"|'[^']*'))*\s*(/?)>""", f"<{root}$3>")
+    within = F.concat(F.lit("<x>"), bare, F.lit("</x>"))  # a row's root has no name of its own in a schema
+    parsed = lambda value: F.from_xml(within, f"`{root}` map<string, {value}>, _corrupt_record string")
+    rows = payloads.withColumn("_text", parsed("string")).withColumn("_child", parsed("struct<_VALUE: string>"))
+    text, child = F.col("_text").getField(root), F.col("_child").getField(root)
+    # Read as texts, a child with children is its markup; read as structures, it has no value.
+    plain = F.transform_values(text, lambda k, v: F.when(child.isNull(), v).otherwise(F.coalesce(child[k]["_VALUE"], F.lit(""))))
+    info = F.map_filter(plain, lambda k, v: k != "_VALUE")
+    none = F.col("_text._corrupt_record").isNull() & bare.rlike(rf"^<{root}[\s/>]")
+    return rows.withColumn("info", F.coalesce(info, F.when(none, F.create_map().cast("map<string,string>")))).drop("_text", "_child")
 
 
 #: What a recorder writes beside each recording.
