@@ -1,7 +1,10 @@
+from dataclasses import asdict
+
 import pytest
 
 from tidemark.config import Config, Control, Detection, Gate
 from tidemark.operators import fold
+from tidemark.streaming.causal import Memory
 
 CONTENT = dict(
     rms_dbfs=-20.0, crest_db=12.0, spectral_centroid_hz=2000.0, is_silence=False, silence_ratio=0.0, leading_silence_seconds=0.0, trailing_silence_seconds=0.0,
@@ -17,9 +20,22 @@ def config(confirm=1, gate=None, max_mute=130.0, **detection):
     return Config(detection=Detection(**d), controller=Control(confirm_windows=confirm, max_mute_seconds=max_mute), gate=gate or Gate())
 
 
-def run(windows, c=None, state=None, start=0):
-    state = state or fold.State()
-    return [fold.step(state, w | {"window_index": start + i}, float(start + i), c or config()) for i, w in enumerate(windows)], state
+class Session:
+    """A fold's state with a stream's memory, as one."""
+
+    def __init__(self):
+        self.folded, self.memory = fold.State(), Memory()
+
+    def __getattr__(self, name):
+        return getattr(self.memory if name in ("armed", "app") else self.folded, name)
+
+    def step(self, w, t, c):
+        return fold.step(self.folded, self.memory.seen(w, t, c), t, c)
+
+
+def run(windows, c=None, session=None, start=0):
+    session = session or Session()
+    return [session.step(w | {"window_index": start + i}, float(start + i), c or config()) for i, w in enumerate(windows)], session
 
 
 WARM = [CONTENT] * 8
@@ -114,7 +130,28 @@ def test_restart_and_gate():
     d, s = run([AD | off] * 12, c, s, 11)
     assert not s.armed and s.state == fold.CONTENT and s.baseline.count == 0 and d[-1].reason == "not armed"
     d, s = run([AD | {"app_id": "2", "app_name": " FILM"}] * 12, c, s, 23)
-    assert s.armed and s.armed_app == "2"
+    assert s.armed and s.app == "2"
+
+
+def test_muted_before_the_session():
+    """A belief that the set is muted already: ads need no command, a break gives the sound back, the end leaves it."""
+    c = config(gate=Gate(assume_muted_at_start=True))
+    start = lambda: (s := Session(), setattr(s, "folded", fold.State.at_start(c)))[0]
+    _, s = run([CONTENT], c, start())
+    assert s.believed_muted and s.state == fold.CONTENT and not fold.shut_down(s.folded) and s.believed_muted
+    _, s = run([*WARM, AFTER_GAP | {"command_ok": False}], c, start())
+    assert s.state == fold.MUTED  # muted is muted, whatever the command did
+    _, s = run([CONTENT, CONTENT | {"stream_restarted": True, "command_ok": False}], c, start())
+    assert s.believed_muted and s.unmute_pending and s.state == fold.CONTENT
+    _, s = run([CONTENT | {"stream_restarted": True}], c, s, 2)
+    assert not s.believed_muted and not s.unmute_pending
+    gate = Gate(armed_apps_only=True, armed_app_ids=("1",), assume_muted_at_start=True)
+    s = Session()
+    s.folded = fold.State.at_start(config(gate=gate))
+    _, s = run([CONTENT | {"app_id": "9"}], config(gate=gate), s)
+    assert not s.believed_muted
+    _, s = run([*WARM, AFTER_GAP])
+    assert fold.shut_down(s.folded) and not s.believed_muted
 
 
 def test_state_survives_storage():
@@ -122,10 +159,11 @@ def test_state_survives_storage():
 
     windows = [*WARM, AFTER_GAP, AD, SILENT, AD, CONTENT, CONTENT, CONTENT, CONTENT]
     whole, _ = run(windows)
-    state, parts = fold.State(), []
+    session, parts = Session(), []
     for i, w in enumerate(windows):
-        parts += run([w], None, state, i)[0]
-        state = fold.State.from_dict(json.loads(json.dumps(state.to_dict())))
+        parts += run([w], None, session, i)[0]
+        session.folded = fold.State.from_dict(json.loads(json.dumps(session.to_dict())))
+        session.memory = Memory(**json.loads(json.dumps(asdict(session.memory))))
     assert parts == whole
 
 
@@ -153,13 +191,70 @@ def test_sessions_longer_than_a_batch(spark):
     for s in ("a", "b", None):
         own = [w for x, _, _, _, w in windows if x == s]
         for k, c in enumerate(tried):
-            state = fold.State()
+            session = Session()
             for i, w in enumerate(own):
-                d = fold.step(state, w, float(i), c)
-                assert got[s, k, i] == (d.event, state.state)
+                d = session.step(w | {"window_index": i}, float(i), c)
+                assert got[s, k, i] == (d.event, session.state)
         assert [based[s, i] for i in range(len(own))] == [sum(not w["is_silence"] for w in own[:i]) for i in range(len(own))]
 
 
+def test_window_functions_see_what_a_stream_remembers(spark):
+    """Gaps, cues, medians, gate and resets of random windows: by columns as by memory, with restarts, app switches and failed polls."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import detect
+
+    rnd = random.Random(11)
+    kinds = [CONTENT, SILENT, AD, AFTER_GAP, CONTENT | dict(trailing_silence_seconds=0.2, silence_ratio=0.2), AD | dict(leading_silence_seconds=0.1, silence_ratio=0.1)]
+    rows, t = [], 0.0
+    for s in ("a", "b"):
+        app = "1"
+        for i in range(400):
+            t += rnd.choice([0.5, 1.0, 3.0])
+            app = rnd.choice(["1", "2", "9", "", None]) if rnd.random() < 0.1 else app
+            w = rnd.choice(kinds) | {"rms_dbfs": -20.0 + rnd.random() * 6, "spectral_centroid_hz": 1800.0 + rnd.random() * 900}
+            rows.append((s, i, t, rnd.random() < 0.03, app, "x", *(w[c] for c in detect.READ)))
+    schema = "session_id string, window_index long, timestamp double, stream_restarted boolean, app_id string, app_name string, "
+    frame = spark.createDataFrame(rows, schema + ", ".join(f"{c} {'boolean' if c == 'is_silence' else 'double'}" for c in detect.READ))
+    gate = Gate(armed_apps_only=True, armed_app_ids=("1", "2"))
+    for c in (config(loudness_median_windows=3), config(gate=gate, loudness_median_windows=4), config(require_transition_cue=False)):
+        found, ((cue, level),) = detect.seen(frame, [c])
+        named = found.withColumns({"armed": F.col("armed") if "armed" in found.columns else F.lit(True), "is_cue": F.col(cue), "smoothed_rms_dbfs": F.col(level)})
+        got = {(r.session_id, r.window_index): r for r in named.collect()}
+        assert len(got) == len(rows)
+        memory = {}
+        for r in rows:
+            w = dict(zip(frame.columns, r))
+            told = memory.setdefault(w["session_id"], Memory()).seen(w, w["timestamp"], c)
+            own = got[w["session_id"], w["window_index"]]
+            assert told["armed"] == own.armed
+            if own.armed:
+                assert (told["gap_seconds"], told["smoothed_rms_dbfs"]) == pytest.approx((own.gap_seconds, own.smoothed_rms_dbfs)) and told["is_cue"] == own.is_cue
+    with pytest.raises(ValueError, match="same apps"):
+        detect.seen(frame, [config(gate=gate), config(gate=Gate(armed_apps_only=True, armed_app_ids=("3",)))])
+
+
+def test_restarts_split_sessions(spark):
+    """Parts of a session are folded apart only where nothing is carried over, and give what the whole gives."""
+    import random
+
+    from tidemark.operators import detect
+
+    rnd = random.Random(2)
+    rows = [(s, i, float(i), i % 41 == 17, *((w := rnd.choice([CONTENT, SILENT, AD, AFTER_GAP]) | {"rms_dbfs": -20.0 + rnd.random() * 6})[c] for c in detect.READ)) for s in "ab" for i in range(300)]
+    schema = "session_id string, window_index long, timestamp double, stream_restarted boolean, "
+    frame = spark.createDataFrame(rows, schema + ", ".join(f"{c} {'boolean' if c == 'is_silence' else 'double'}" for c in detect.READ))
+    from pyspark.sql import functions as F
+
+    names = ["session_id", "window_index", "event", "state", "muted", "pending", "baseline_count"]
+    parts = sorted(map(tuple, detect.decisions(frame, config(confirm=2)).select(*names).collect()))
+    whole = sorted(map(tuple, detect.decisions(frame.withColumn("command_ok", F.lit(True)), config(confirm=2)).select(*names).collect()))
+    assert parts == whole and any(r[4] for r in parts)
+    assert detect.restart_parts(frame).select("session_id", detect.PART).distinct().count() == 2 * 8
+
+
 def test_decision_log(spark):
     from tidemark.config import Log
     from tidemark.operators import detect

@@ -9,6 +9,7 @@ from tidemark.config import Audio, Config, Control, Detection, Gate
 from tidemark.functions import kernels
 from tidemark.operators import fold, recordings
 from tidemark.sources import files
+from tidemark.streaming.causal import Memory
 
 CONFIG = Config(
     audio=Audio(frame_seconds=0.05),
@@ -49,7 +50,7 @@ def sessions(tmp_path_factory):
 
 def plain(folder):
     """Windows of a session in order, and its mutes, by a loop."""
-    rows, state, t, mutes = [], fold.State(), 0.0, []
+    rows, state, memory, t, mutes = [], fold.State(), Memory(), 0.0, []
     config = CONFIG.override({"gate.armed_apps_only": "false"})
     for name in ("01", "02"):
         with wave.open(f"{folder}/{name}.wav", "rb") as f:
@@ -59,7 +60,7 @@ def plain(folder):
         for i in range(0, len(x), rate):
             w = kernels.features(x[None, i : i + rate], rate, config.detection.silence_dbfs, 0.05).iloc[0].to_dict()
             was = state.believed_muted
-            fold.step(state, w | {"window_index": len(rows), "stream_restarted": not rows}, t, config)
+            fold.step(state, memory.seen(w | {"window_index": len(rows), "stream_restarted": not rows}, t, config), t, config)
             if state.believed_muted and not was:
                 mutes.append([t, None])
             if was and not state.believed_muted:

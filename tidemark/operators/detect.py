@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import fields
 from operator import attrgetter
 
@@ -18,7 +18,7 @@ FEATURES = (
     "rms_dbfs", "peak", "peak_dbfs", "crest_factor", "crest_db", "spectral_centroid_hz", "zero_crossing_rate", "is_silence", "silence_ratio",
     "max_silence_run_seconds", "leading_silence_seconds", "trailing_silence_seconds", "interior_silence_seconds", "duration_seconds",
 )
-#: Features that the fold reads.
+#: Features that the fold reads, or what it reads is made of.
 READ = (
     "rms_dbfs", "crest_db", "spectral_centroid_hz", "is_silence", "silence_ratio", "leading_silence_seconds", "trailing_silence_seconds",
     "interior_silence_seconds", "duration_seconds",
@@ -30,6 +30,8 @@ DECISION = (
     "baseline_crest_db double, baseline_centroid_hz double, baseline_count int, ad_elapsed_seconds double"
 )
 STATES = "state string, muted boolean, pending int"
+#: Of these, what the fold itself reads.
+FOLDED = ("stream_restarted", "armed", "app_switched", "command_ok", "ad_score")
 PART = "_part"
 _NAMES = [f.name for f in fields(fold.Decision)]
 _TYPES = dict(x.split() for x in f"{DECISION}, {STATES}".split(", "))
@@ -44,16 +46,39 @@ def records(rows: pd.DataFrame) -> Iterator[dict]:
     return (dict(zip(names, values)) for values in zip(*columns))
 
 
-_of_decision = attrgetter(*_NAMES)
+def seen(windows: DataFrame, tried: list[Config]) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Windows with gap_seconds and, for each config, the columns that say what is a cue and how loud it has been; and these columns' names.
 
-
-def decided(rows: Iterable[dict], state: fold.State, config: Config, detector: fold.Detector = fold.RULES) -> list[tuple]:
-    """Decision and state of each row, in their order; changes `state`."""
-    out = []
-    for w in rows:
-        d = fold.step(state, w, w["timestamp"], config, detector)
-        out.append((*_of_decision(d), state.state, state.believed_muted, state.pending))
-    return out
+    Window functions over session and epoch, which the stream's restarts and
+    the app's switches begin; windows that aren't armed take no part. Configs
+    that are alike in this share columns.
+    """
+    asking = {(c.gate, c.controller.app_check_seconds) for c in tried if c.gate.armed_apps_only}
+    if len(asking) > 1:
+        raise ValueError("configs that are folded together must ask for the same apps at the same times")
+    rows = windows
+    if asking and "armed" not in rows.columns:
+        asks = next(c for c in tried if c.gate.armed_apps_only)
+        missing = {c: F.lit(None).cast("string") for c in ("app_id", "app_name") if c not in rows.columns}
+        rows = sequence.gated(rows.withColumns(missing), asks)
+    rows = sequence.epochs(rows)
+    if asking:
+        rows = rows.withColumn("epoch", F.when(F.col("armed"), F.col("epoch")))
+    rows = sequence.last_voiced(sequence.gap_stitch(rows))
+    made: dict[tuple, str] = {}
+    names = []
+    for config in tried:
+        d = config.detection
+        cue = ("cue", d.require_transition_cue, d.min_gap_seconds, d.max_gap_seconds, d.loudness_jump_db, d.centroid_shift_ratio)
+        level = ("level", d.loudness_median_windows)
+        if cue not in made:
+            made[cue] = f"cue_{len(made)}"
+            rows = rows.withColumn(made[cue], sequence.cue(d))
+        if level not in made:
+            made[level] = f"level_{len(made)}"
+            rows = sequence.trailing_median(rows, d.loudness_median_windows).withColumnRenamed("smoothed_rms_dbfs", made[level])
+        names.append((made[cue], made[level]))
+    return rows, names
 
 
 def restart_parts(windows: DataFrame, keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
@@ -63,27 +88,30 @@ def restart_parts(windows: DataFrame, keys: tuple[str, ...] = ("session_id",)) -
 
 
 def decisions(
-    windows: DataFrame, config: Config | list[Config], keys: tuple[str, ...] = ("session_id",), detector: fold.Detector = fold.RULES,
-    columns: tuple[str, ...] = tuple(_TYPES),
-) -> DataFrame:
-    """keys, window_index, timestamp and `columns` (of decision and state) of every window.
-
-    Sessions are folded in parallel, each in the order of window_index. Rows
-    stream through a task in order and only the fold's state is kept from one
-    batch to the next, so a session may have any length. Of several configs,
+    windows: DataFrame, config: Config | list[Config], detector: fold.Detector = fold.RULES, columns: tuple[str, ...] = tuple(_TYPES)
+) -> DataFrame:
+    """session_id, window_index, timestamp and `columns` (of decision and state) of every window.
+
+    What depends on features alone is found by window functions first (`seen`).
+    Sessions are then folded in parallel, each in the order of window_index.
+    Rows stream through a task in order and only the fold's state is kept from
+    one batch to the next, so a session may have any length. Of several configs,
     each window is folded once for each, and config_id says which. Only the
-    scalars that the fold reads are shuffled, once.
+    scalars that the fold reads are shuffled.
 
     After a restart of the stream nothing is left of what went before, if the
-    actuator obeys (no command_ok) and the app is known from columns or not
-    asked for: sessions are then split there, and their parts are folded apart.
+    actuator obeys (no command_ok): sessions are then split there, and their
+    parts are folded apart.
     """
-    more = [c for c in OPTIONAL if c in windows.columns]
-    read = windows.select(*keys, "window_index", "timestamp", *READ, *more)
-    several, ids = not isinstance(config, Config), [*keys, "window_index", "timestamp"]
+    several, keys = not isinstance(config, Config), ("session_id",)
     tried = list(config) if several else [config]
-    asks = any(c.gate.armed_apps_only for c in tried) and "armed" not in more
-    if "stream_restarted" in more and "command_ok" not in more and not asks:
+    rows, names = seen(windows, tried)
+    more = [c for c in FOLDED if c in rows.columns]
+    own = sorted({n for pair in names for n in pair})
+    ids = [*keys, "window_index", "timestamp"]
+    read = rows.select(*ids, "rms_dbfs", "crest_db", "spectral_centroid_hz", "is_silence", "gap_seconds", *own, *more)
+    split = "stream_restarted" in more and "command_ok" not in more
+    if split:
         read, keys = restart_parts(read, keys), (*keys, PART)
     shown = attrgetter(*(c for c in columns if c in _NAMES)) if any(c in _NAMES for c in columns) else None
     held = attrgetter(*({"muted": "believed_muted"}.get(c, c) for c in columns if c not in _NAMES)) if any(c not in _NAMES for c in columns) else None
@@ -97,8 +125,10 @@ def decisions(
             known = rows[list(keys)].astype(object).where(rows[list(keys)].notna(), None)
             for key, w in zip(known.itertuples(index=False, name=None), records(rows)):
                 if now is None or key != now:
-                    now, states = key, [fold.State() for _ in tried]
-                for own, state, out in zip(tried, states, found):
+                    begins = not split or key[-1] == 0
+                    now, states = key, [fold.State.at_start(c) if begins else fold.State() for c in tried]
+                for own, (cue, level), state, out in zip(tried, names, states, found):
+                    w["is_cue"], w["smoothed_rms_dbfs"] = w[cue], w[level]
                     d = fold.step(state, w, w["timestamp"], own, detector)
                     out.append((*(both(shown(d)) if shown else ()), *(both(held(state)) if held else ())))
             for k, out in enumerate(found):

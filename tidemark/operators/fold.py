@@ -1,24 +1,24 @@
 """The detector and its controller as one step over a session's windows.
 
-A step takes the state, a window's features and its time and gives the window's
-decision. It reads no clock and knows nothing of Spark, so a batch fold and a
-stream share it. Detector and controller are one fold because the controller
-clears the detector: when a confirmation fails and when the mute failsafe trips.
-Any `Detector` can take the place of the rules.
+A step takes the state, a window and its time and gives the window's decision.
+Only what depends on earlier decisions is here. What depends on features alone
+(gaps, cue candidates, smoothed levels, resets, the app gate) comes with the
+window: from window functions over whole tables (`detect.seen`), or from a
+stream's memory (`streaming.causal`). Detector and controller are one fold
+because the controller clears the detector: when a confirmation fails and when
+the mute failsafe trips. Any `Detector` can take the place of the rules.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field
-from statistics import median
 from typing import Any, Protocol
 
 from tidemark.config import Config
 
 CONTENT, SUSPECTED, MUTED = "CONTENT", "AD_SUSPECTED", "MUTED"
 STARTED, ENDED, NONE = "AD_STARTED", "AD_ENDED", "NO_CHANGE"
-FULLY_SILENT = 0.999
 #: Level above the bar, in dB, that counts as full confidence in absolute mode.
 ABSOLUTE_SPAN_DB = 12.0
 
@@ -49,22 +49,20 @@ class State:
     baseline: Baseline = field(default_factory=Baseline)
     in_ad: bool = False
     ad_started_at: float | None = None
-    carry: float = 0.0
     cue_at: float | None = None
-    cue_gap: float = 0.0
-    voiced_rms: float | None = None
-    voiced_centroid: float | None = None
     streak: int = 0
-    recent: list[float] = field(default_factory=list)
     own: dict[str, Any] = field(default_factory=dict)
     state: str = CONTENT
     pending: int = 0
     muted_at: float | None = None
     believed_muted: bool = False
     unmute_pending: bool = False
-    armed: bool = False
-    checked_at: float | None = None
-    armed_app: str = ""
+    #: Was it this fold that muted? What was muted before it began is not taken back at the end.
+    own_mute: bool = False
+
+    @classmethod
+    def at_start(cls, config: Config) -> State:
+        return cls(believed_muted=config.gate.assume_muted_at_start)
 
     def to_dict(self) -> dict:
         return asdict(self)
@@ -74,11 +72,11 @@ class State:
         return cls(**(given | {"baseline": Baseline(**given["baseline"])}))
 
     def forget_ad(self) -> None:
-        self.in_ad, self.ad_started_at, self.cue_at, self.cue_gap, self.streak = False, None, None, 0.0, 0
+        self.in_ad, self.ad_started_at, self.cue_at, self.streak = False, None, None, 0
 
     def forget_all(self) -> None:
         self.forget_ad()
-        self.baseline, self.carry, self.voiced_rms, self.voiced_centroid, self.recent = Baseline(), 0.0, None, None, []
+        self.baseline = Baseline()
 
 
 @dataclass(slots=True)
@@ -120,28 +118,6 @@ def _unit(x: float) -> float:
     return min(1.0, max(0.0, x))
 
 
-def _stitched_gap(s: State, w: Mapping) -> float:
-    if w["silence_ratio"] >= FULLY_SILENT:
-        s.carry += w["duration_seconds"]
-        return 0.0
-    gap = max(s.carry + w["leading_silence_seconds"], w["interior_silence_seconds"])
-    s.carry = w["trailing_silence_seconds"]
-    return gap
-
-
-def _cue(s: State, w: Mapping, t: float, gap: float, cfg) -> float:
-    if cfg.require_transition_cue:
-        if not cfg.min_gap_seconds <= gap <= cfg.max_gap_seconds:
-            return 0.0
-        if s.voiced_rms is not None:
-            louder = abs(w["rms_dbfs"] - s.voiced_rms) >= cfg.loudness_jump_db
-            shift = abs(w["spectral_centroid_hz"] - s.voiced_centroid) / s.voiced_centroid if s.voiced_centroid > 1.0 else 0.0
-            if not louder and shift < cfg.centroid_shift_ratio:
-                return 0.0
-    s.cue_at, s.cue_gap = t, gap
-    return gap
-
-
 class Rules:
     """The rule-based detector: a transition cue, then windows louder or flatter than the baseline."""
 
@@ -153,12 +129,9 @@ class Rules:
 
     def update(self, s: State, w: Mapping, t: float, config: Config) -> Decision:
         cfg = config.detection
-        d = Decision(event=NONE, gap_seconds=_stitched_gap(s, w))
-        d.cue_gap_seconds = _cue(s, w, t, d.gap_seconds, cfg)
-        s.recent.append(w["rms_dbfs"])
-        del s.recent[: -cfg.loudness_median_windows]
-        d.smoothed_rms_dbfs = median(s.recent)
-
+        d = Decision(event=NONE, gap_seconds=w["gap_seconds"], cue_gap_seconds=w["gap_seconds"] if w["is_cue"] else 0.0, smoothed_rms_dbfs=w["smoothed_rms_dbfs"])
+        if w["is_cue"]:
+            s.cue_at = t
         absolute = cfg.ad_absolute_dbfs is not None
         if absolute:
             bar = cfg.stay_absolute if s.in_ad else cfg.ad_absolute_dbfs
@@ -181,8 +154,6 @@ class Rules:
         loud = (level - bar) / ABSOLUTE_SPAN_DB if absolute else d.loudness_delta_db / max(bar, 1e-6)
         crest = d.crest_delta_db / max(cfg.ad_crest_delta_db, 1e-6)
         d.confidence = round(0.5 * _unit(loud) + 0.5 * _unit(crest), 3)
-        if not silent:
-            s.voiced_rms, s.voiced_centroid = w["rms_dbfs"], w["spectral_centroid_hz"]
         (self._inside if s.in_ad else self._outside)(s, w, t, d, cfg, absolute)
         return d
 
@@ -253,7 +224,7 @@ def _move(s: State, wish: str, t: float, ok: bool) -> None:
         return
     if wish == MUTED:
         if ok or s.believed_muted:
-            s.state, s.muted_at, s.believed_muted, s.unmute_pending = MUTED, t, True, False
+            s.state, s.muted_at, s.believed_muted, s.unmute_pending, s.own_mute = MUTED, t, True, False, True
     elif s.state == MUTED and s.believed_muted and not ok:
         s.unmute_pending = True
     else:
@@ -263,52 +234,40 @@ def _move(s: State, wish: str, t: float, ok: bool) -> None:
 
 
 def _break_off(s: State, t: float, ok: bool, detector: Detector) -> None:
-    """Nothing learned so far holds any more."""
+    """Nothing learned so far holds any more; nor does a mute, whoever it was."""
     detector.reset(s)
+    if s.believed_muted and s.state != MUTED:
+        s.believed_muted = s.unmute_pending = not ok
+        if not ok:
+            return
     _move(s, CONTENT, t, ok)
 
 
-def _check_app(s: State, w: Mapping, t: float, config: Config, detector: Detector) -> bool:
-    """Is detection armed? An unknown app (null) keeps what was known; where checks are made already, their columns say."""
-    if not config.gate.armed_apps_only:
-        return True
-    if w.get("armed") is not None:
-        if w.get("app_switched"):
-            detector.reset(s)
-        return bool(w["armed"])
-    if s.checked_at is None or t - s.checked_at >= config.controller.app_check_seconds:
-        s.checked_at = t
-        if w.get("app_id") is not None:
-            app_id, name = w["app_id"], w.get("app_name") or ""
-            armed, own = config.gate.matches(app_id, name), app_id or name
-            if armed and own != s.armed_app:
-                detector.reset(s)
-            s.armed, s.armed_app = armed, own if armed else ""
-    return s.armed
-
-
 def step(s: State, w: Mapping, t: float, config: Config, detector: Detector = RULES) -> Decision:
     """One window through gate, detector and controller; changes `s`.
 
-    `w` has the features, and may have stream_restarted, app_id and app_name
-    (null id: not known) or armed and app_switched (of `sequence.gated`), and
+    `w` has the features, gap_seconds, is_cue and smoothed_rms_dbfs, and may
+    have stream_restarted, armed and app_switched (with the gate on) and
     command_ok (did the actuator obey; default yes).
     """
     ok = w.get("command_ok")
     ok = True if ok is None else bool(ok)
     if w.get("stream_restarted") and w.get("window_index", 0) > 0:
         _break_off(s, t, ok, detector)
-    if not _check_app(s, w, t, config, detector):
-        if s.state != CONTENT:
-            _break_off(s, t, ok, detector)
-        return Decision()
+    if config.gate.armed_apps_only:
+        if w.get("app_switched"):
+            detector.reset(s)
+        if not w.get("armed"):
+            if s.state != CONTENT or s.believed_muted:
+                _break_off(s, t, ok, detector)
+            return Decision()
     d = detector.update(s, w, t, config)
     _control(s, d, t, ok, config.controller, detector)
     return d
 
 
 def shut_down(s: State) -> bool:
-    """The end of a session: leaves it unmuted. Was it muted?"""
-    muted = s.believed_muted
-    s.state, s.pending, s.muted_at, s.believed_muted, s.unmute_pending = CONTENT, 0, None, False, False
+    """The end of a session: takes back its own mute. Was there one?"""
+    muted = s.believed_muted and s.own_mute
+    s.state, s.pending, s.muted_at, s.unmute_pending, s.believed_muted = CONTENT, 0, None, False, s.believed_muted and not muted
     return muted

@@ -75,13 +75,17 @@ def abrupt(cfg: Detection) -> Column:
     return rms.isNull() | jump | shift
 
 
+def cue(cfg: Detection) -> Column:
+    """A gap of the right length with an abrupt change, of windows with gaps and last voiced ones."""
+    if not cfg.require_transition_cue:
+        return F.lit(True)
+    return F.col("gap_seconds").between(cfg.min_gap_seconds, cfg.max_gap_seconds) & abrupt(cfg)
+
+
 def cue_candidates(windows: DataFrame, cfg: Detection) -> DataFrame:
-    """Adds is_cue and cue_gap_seconds: a gap of the right length with an abrupt change."""
+    """Adds is_cue and cue_gap_seconds."""
     rows = last_voiced(gap_stitch(windows))
-    cue = F.col("gap_seconds").between(cfg.min_gap_seconds, cfg.max_gap_seconds) & abrupt(cfg)
-    if not cfg.require_transition_cue:
-        cue = F.lit(True)
-    return rows.withColumn("is_cue", cue).withColumn("cue_gap_seconds", F.when(F.col("is_cue"), F.col("gap_seconds")).otherwise(0.0))
+    return rows.withColumn("is_cue", cue(cfg)).withColumn("cue_gap_seconds", F.when(F.col("is_cue"), F.col("gap_seconds")).otherwise(0.0))
 
 
 def cue_active(windows: DataFrame, cfg: Detection) -> DataFrame:

@@ -177,7 +177,7 @@ asked as (
   from w where event_id % 3 = 0),
 last_asked as (
   select * from asked qualify row_number() over (partition by session_id, told_at order by app_id desc nulls last, app_name desc nulls last) = 1),
-polls as (
+polls as materialized (
   select w.*, a.app_id, a.app_name, window_index % 23 = 0 and window_index > 0 as restarted, true as ok,
     case when a.told_at is null then null when a.app_id is null then 'failed' when a.app_id = '' then 'no app' else 'app' end as poll
   from w asof left join last_asked a on w.session_id = a.session_id and w.t >= a.told_at)"""
@@ -240,11 +240,11 @@ steps as (
               from (
                 select *, restarted or not on2 as breaks, state = 'MUTED' and not ok as stays, restarted or switched or not on2 and state <> 'CONTENT' as reset
                 from (
-                  select * exclude (checked, app), case when due then t else checked end as checked, due and app_id is not null and fits and app_id <> app as switched,
-                    case when due and app_id is not null then fits else armed end as on2, case when due and app_id is not null then case when fits then app_id else '' end else app end as app
+                  select * exclude (checked, app), case when due then t else checked end as checked, due and app_id is not null and fits and own_app <> app as switched,
+                    case when due and app_id is not null then fits else armed end as on2, case when due and app_id is not null then case when fits then own_app else '' end else app end as app
                   from (
                     select s.* exclude (i), p.window_index as i, p.t, p.rms_dbfs, p.crest_db, p.centroid, p.silent, p.silence_ratio, p.lead_s, p.trail_s, p.interior, p.duration, p.restarted,
-                      p.ok, p.app_id, coalesce(checked is null or p.t - checked >= {c.app_check_seconds}, true) as due, p.app_id in ({_listed(g.armed_app_ids)}) or lower(trim(p.app_name)) in ({names}) as fits
+                      p.ok, p.app_id, coalesce(nullif(p.app_id, ''), p.app_name) as own_app, coalesce(checked is null or p.t - checked >= {c.app_check_seconds}, true) as due, p.app_id in ({_listed(g.armed_app_ids)}) or lower(trim(p.app_name)) in ({names}) as fits
                     from steps s join polls p on p.session_id = s.session_id and p.window_index = s.i + 1))))))))))"""
 
 

@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import fields
+from dataclasses import dataclass, field, fields
+from operator import attrgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,19 +31,31 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.config import Config
 from tidemark.operators import detect, fold
+from tidemark.streaming import causal
 
 OUTPUT = f"session_id {{}}, window_index long, timestamp double, {detect.DECISION}, {detect.STATES}, late boolean, changed boolean, at_end boolean"
 _COLUMNS = [x.split()[0] for x in OUTPUT.split(", ")]
 _KINDS = {"baseline_count": "Int32", "pending": "Int32"} | {c: "boolean" for c in ("ad_profile", "cue_active", "muted")}
-_MUTED = -2  # the place of muted in a row of detect.decided
-#: The fold's state, and what the stream adds: the last window stepped and the newest row. New columns go to the end; old states have none.
+#: The fold's state and the stream's memory, the last window stepped and the newest row. New columns go to the end; old states have none.
 STATE = (
-    "base_rms double, base_crest double, base_centroid double, base_count int, in_ad boolean, ad_started_at double, carry double, cue_at double, cue_gap double, "
-    "voiced_rms double, voiced_centroid double, streak int, state string, pending int, muted_at double, believed_muted boolean, unmute_pending boolean, armed boolean, "
-    "checked_at double, armed_app string, last long, newest double"
+    "base_rms double, base_crest double, base_centroid double, base_count int, in_ad boolean, ad_started_at double, cue_at double, streak int, state string, pending int, "
+    "muted_at double, believed_muted boolean, unmute_pending boolean, own_mute boolean, held double, voiced_rms double, voiced_centroid double, armed boolean, checked_at double, app string, "
+    "last long, newest double"
 )
 _BASE = ("rms", "crest", "centroid", "count")
-_PLAIN = [f.name for f in fields(fold.State) if f.name not in ("baseline", "recent", "own")]
+_PLAIN = [f.name for f in fields(fold.State) if f.name not in ("baseline", "own")]
+_REMEMBERED = [f.name for f in fields(causal.Memory) if f.name != "recent"]
+_DECIDED = attrgetter(*(f.name for f in fields(fold.Decision)))
+
+
+@dataclass
+class Session:
+    """What is known of a session between its rows."""
+
+    state: fold.State = field(default_factory=fold.State)
+    memory: causal.Memory = field(default_factory=causal.Memory)
+    last: int = -1
+    newest: float = float("-inf")
 EVENT = "event_millis"
 
 
@@ -63,61 +76,64 @@ class Fold(StatefulProcessor):
         ttl = int(1000 * self.tombstone) if self.idle is not None and not self.event else None
         self.ended = handle.getValueState("ended", "last long, until long", ttl)
 
-    def _stored(self) -> tuple[fold.State, int, float]:
-        state = fold.State()
+    def _stored(self) -> Session:
+        own = Session(fold.State.at_start(self.config))
         if not self.fold.exists():
-            return state, self.ended.get()[0] if self.ended.exists() else -1, float("-inf")
+            own.last = self.ended.get()[0] if self.ended.exists() else -1
+            return own
         got = {n: v for n, v in zip(self.columns, self.fold.get()) if v is not None}
-        state.baseline = fold.Baseline(*(got.get(f"base_{n}") for n in _BASE[:3]), got.get("base_count", 0))
-        for n in _PLAIN:
-            setattr(state, n, got.get(n, getattr(state, n)))
-        state.recent = [x[0] for x in self.recent.get()] if self.recent.exists() else []
-        state.own = {k[0]: json.loads(v[0]) for k, v in self.own.iterator()} if self.own.exists() else {}
-        return state, got["last"], got["newest"]
-
-    def _store(self, state: fold.State, last: int, newest: float) -> None:
-        known = {f"base_{n}": getattr(state.baseline, n) for n in _BASE} | {n: getattr(state, n) for n in _PLAIN} | {"last": last, "newest": float(newest)}
+        own.state.baseline = fold.Baseline(*(got.get(f"base_{n}") for n in _BASE[:3]), got.get("base_count", 0))
+        for part, names in ((own.state, _PLAIN), (own.memory, _REMEMBERED), (own, ("last", "newest"))):
+            for n in names:
+                setattr(part, n, got.get(n, getattr(part, n)))
+        own.memory.recent = [x[0] for x in self.recent.get()] if self.recent.exists() else []
+        own.state.own = {k[0]: json.loads(v[0]) for k, v in self.own.iterator()} if self.own.exists() else {}
+        return own
+
+    def _store(self, own: Session) -> None:
+        known = {f"base_{n}": getattr(own.state.baseline, n) for n in _BASE} | {n: getattr(own.state, n) for n in _PLAIN}
+        known |= {n: getattr(own.memory, n) for n in _REMEMBERED} | {"last": own.last, "newest": float(own.newest)}
         self.fold.update(tuple(known.get(n) for n in self.columns))
-        self.recent.put([(float(x),) for x in state.recent]) if state.recent else self.recent.clear()
-        if state.own or self.own.exists():
+        self.recent.put([(float(x),) for x in own.memory.recent]) if own.memory.recent else self.recent.clear()
+        if own.state.own or self.own.exists():
             self.own.clear()
-            for name, value in state.own.items():
+            for name, value in own.state.own.items():
                 self.own.updateValue((name,), (json.dumps(value),))
 
     def _held(self) -> list[tuple[int, dict]]:
         return sorted(((int(k[0]), dict(zip(self.names, v), window_index=int(k[0]))) for k, v in self.waiting.iterator()), key=lambda x: x[0])
 
-    def _stepped(self, rows: list[tuple[int, dict]], state: fold.State) -> list[tuple]:
+    def _stepped(self, rows: list[tuple[int, dict]], own: Session) -> list[tuple]:
         """Output rows of the windows, stepped in order; they no longer wait."""
-        before, out = state.believed_muted, []
-        for (i, w), d in zip(rows, detect.decided([w for _, w in rows], state, self.config, self.detector)):
+        out = []
+        for i, w in rows:
             self.waiting.removeKey((i,))
-            out.append((i, w["timestamp"], *d, False, d[_MUTED] != before, False))
-            before = d[_MUTED]
+            before, t = own.state.believed_muted, w["timestamp"]
+            d = fold.step(own.state, own.memory.seen(w, t, self.config), t, self.config, self.detector)
+            own.last, muted = i, own.state.believed_muted
+            out.append((i, t, *_DECIDED(d), own.state.state, muted, own.state.pending, False, muted != before, False))
         return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, last, newest = self._stored()
-        late = []
+        own, late = self._stored(), []
         for part in rows:
             for w in detect.records(part):
-                if w["window_index"] <= last:
+                if w["window_index"] <= own.last:
                     late.append(w)
                 else:
                     self.waiting.updateValue((int(w["window_index"]),), tuple(w[n] for n in self.names))
-                    newest = max(newest, w[EVENT] if self.event else w["timestamp"])
+                    own.newest = max(own.newest, w[EVENT] if self.event else w["timestamp"])
         if not self.event:
-            ready = [(i, w) for i, w in self._held() if w["timestamp"] <= newest - self.delay]
+            ready = [(i, w) for i, w in self._held() if w["timestamp"] <= own.newest - self.delay]
             if ready:
-                last = ready[-1][0]
-                yield self._rows(key, self._stepped(ready, state))
+                yield self._rows(key, self._stepped(ready, own))
         if late:
             none = (None,) * (len(_COLUMNS) - 6)
             yield self._rows(key, [(w["window_index"], w["timestamp"], *none, True, False, False) for w in late])
-        if newest > float("-inf"):
-            self._store(state, last, newest)
+        if own.newest > float("-inf"):
+            self._store(own)
             if self.event:
-                self._wake_at(self._held(), newest)
+                self._wake_at(self._held(), own.newest)
             elif self.idle is not None:
                 self._only_timer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * self.idle))
 
@@ -137,34 +153,29 @@ class Fold(StatefulProcessor):
         if not self.fold.exists():  # the timer of a tombstone
             self.ended.clear()
             return
-        state, last, newest = self._stored()
-        held = self._held()
+        own, held = self._stored(), self._held()
         if self.event:
             passed = timerValues.getCurrentWatermarkInMs()
-            ready = [(i, w) for i, w in held if w[EVENT] <= passed]
             # A row that came after a later one of its session waits behind it no longer.
-            upto = max((i for i, _ in ready), default=-1)
-            ready = [(i, w) for i, w in held if i <= upto]
+            upto = max((i for i, w in held if w[EVENT] <= passed), default=-1)
+            ready, held = [x for x in held if x[0] <= upto], [x for x in held if x[0] > upto]
             if ready:
-                last = ready[-1][0]
-                yield self._rows(key, self._stepped(ready, state))
-            held = [x for x in held if x[0] > upto]
-            if held or self.idle is None or newest + 1000 * self.idle > passed:
-                self._store(state, last, newest)
-                self._wake_at(held, newest)
+                yield self._rows(key, self._stepped(ready, own))
+            if held or self.idle is None or own.newest + 1000 * self.idle > passed:
+                self._store(own)
+                self._wake_at(held, own.newest)
                 return
-        out = self._stepped(held, state)
-        at = held[-1][1]["timestamp"] if held else newest / 1000 if self.event else newest
-        last = held[-1][0] if held else last
-        if fold.shut_down(state):
+        out = self._stepped(held, own)
+        at = held[-1][1]["timestamp"] if held else own.newest / 1000 if self.event else own.newest
+        if fold.shut_down(own.state):
             none = (None,) * (len(_COLUMNS) - 9)
-            out.append((last, at, *none, state.state, False, 0, False, True, True))
+            out.append((own.last, at, *none, own.state.state, False, 0, False, True, True))
         if out:
             yield self._rows(key, out)
         for one in (self.fold, self.recent, self.own, self.waiting):
             one.clear()
-        until = int(newest) + int(1000 * ((self.idle or 0) + self.tombstone)) if self.event else 0
-        self.ended.update((last, until))
+        until = int(own.newest) + int(1000 * ((self.idle or 0) + self.tombstone)) if self.event else 0
+        self.ended.update((own.last, until))
         if self.event:
             self._only_timer(until)
 
