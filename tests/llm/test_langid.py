@@ -148,3 +148,10 @@ def test_ties_of_shares_and_small_languages(spark):
     assert model.languages == ["aa", "bb"]  # a language of one text among hundreds is learned
     got = langid.identify(spark.createDataFrame([(1, (a + b).strip(), None, "x", 0), (2, (b + a).strip(), None, "x", 0)], SCHEMA), model).collect()
     assert {(r.lang_pred, r.score) for r in got} == {("aa", 0.5)}
+
+
+def test_copies_do_not_lose_a_language(spark):
+    """A few texts in very many copies: what is drawn are different texts, and there are few of them, so all are learned."""
+    copies = spark.range(200_000).selectExpr("concat('wort zahl ', cast(id % 5 as string), ' und mehr davon') as text", "'aa' as lang")
+    others = spark.range(300).selectExpr("concat('word number ', cast(id as string), ' and more of it') as text", "'bb' as lang")
+    assert langid.train(copies.unionByName(others)).languages == ["aa", "bb"]

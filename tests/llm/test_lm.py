@@ -2,6 +2,8 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import lm
@@ -118,3 +120,33 @@ def test_tables_and_automaton_agree(spark, sf_dir):
     tree = lm.automaton(pd.DataFrame(rows, columns=["depth", "key", "n"]), 3)
     want = [sum(math.log10(told[k]) for k in lm._grams([d], 3).tolist()) for d in docs]
     assert lm.tree_scores(docs, tree) == pytest.approx(want, rel=1e-5, abs=1e-4)
+
+
+def test_places_of_late_partitions():
+    """Chunks of the 800,000th partition: places are told by chunk and number, which need no room in common."""
+    from types import SimpleNamespace
+
+    docs, chunk = [[b"a", b"b"], [b"c"]], 800_000 << 24
+    data = b"a bc"
+    packed = [pa.compress(data, codec="zstd", asbytes=True)]
+    piece = {"chunk": [chunk], "part": [800_000], "places": [[5, 6]], "ids": [["1", "2"]], "held": [[False, True]], "sizes": [[3, 1]], "leads": [[b"\n\n"] * 2], "opens": [[False] * 2]}
+    piece |= {"raw": [4], "data": packed}
+    keys = np.unique(lm._grams(docs, 2))
+    handle = SimpleNamespace(value=(np.array([], np.int64), np.array([], np.int64)))
+    out = lm._score(handle, 2)(pa.table(piece), pa.table({"key": keys, "score": np.zeros(len(keys))}))
+    assert set(zip(out["part"].to_pylist(), out["place"].to_pylist())) == {(800_000, 5), (800_000, 6)}
+
+
+def test_segments_of_long_texts(spark):
+    """A text that is cut gives what it gives whole: tokens, base and score, also where it is learned from."""
+    texts = ["", " ", "a", "a b c", "x" * 90 + " y", "one two  three " * 30 + "   ", "É é " * 50, "\n a" * 60, None]
+    for depth, size in ((2, 1), (2, 10), (5, 40), (5, 1000)):
+        for text in texts:
+            parts = list(lm._segments(text, depth, size))
+            assert [w for words, _, _ in parts for w in words] == lm.words_of(text) and [more for _, _, more in parts] == [True] * (len(parts) - 1) + [False]
+            cut = lm._grams([w for w, _, _ in parts], depth, [x for _, x, _ in parts], [m for _, _, m in parts])
+            assert cut.tolist() == lm._grams([lm.words_of(text)], depth).tolist()
+    frame = spark.createDataFrame([(i, t, "s", 0) for i, t in enumerate(texts * 4)], SCHEMA)
+    whole, small = (sorted(map(tuple, lm.scores(frame, lm.Rules(least_count=2, least_gain=0.5, piece=piece)).collect())) for piece in (1 << 19, 60))
+    assert [r[:5] for r in whole] == [r[:5] for r in small]
+    assert [r[5:] for r in whole] == [pytest.approx(r[5:]) for r in small]

@@ -114,3 +114,29 @@ def test_ids_and_names_of_any_kind(spark):
     assert got.columns == frame.columns and sorted(r.doc_id for r in got.collect()) == ["a", "z"]
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()} == {"a": "a", "b": "a", None: "a", "z": "z"}
     assert simhash.first_of_classes(frame.limit(0)).count() == 0
+
+
+def test_slices_of_long_texts():
+    rnd = random.Random(12)
+    texts = [" ".join("".join(rnd.choice("abÉ ") for _ in range(rnd.randrange(1, 9))) for _ in range(n)) for n in (0, 1, 2, 3, 50, 400)]
+    texts += [" \n" * 40, "one  two" + " " * 60, " " * 50 + "a b c", "x" * 200, "x" * 200 + " y z"]
+    want = [brute_fingerprint(t) for t in texts]
+    for long in (5, 17, 64, 1 << 20):
+        got = simhash.fingerprints_of(texts[:3] + [None] + texts[3:], long=long).astype("uint64").tolist()
+        assert got[:3] + got[4:] == want and got[3] == 0
+
+
+def test_a_very_long_text_takes_bounded_memory():
+    """34 million characters in a process of their own: what is held beside the text is a few slices."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+from tidemark.llm import simhash
+text = "".join(f"w{i % 99991} " for i in range(5_000_000))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+print(simhash.fingerprints_of([text])[0], (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True).stdout.split()
+    assert int(out[1]) < 300

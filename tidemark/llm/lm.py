@@ -9,7 +9,7 @@ in proportion to the symbols seen (Witten-Bell), down to a uniform one, so every
 byte has a probability. Texts are scored by the longest kept suffix.
 
 The tree grows with the corpus, so it stays in tables. Texts are dealt into
-chunks of bounded size, compressed; each gives its distinct byte windows, once. Their sums
+chunks of bounded size (long ones in segments), compressed; each gives its distinct byte windows, once. Their sums
 give the tree; then every window of the corpus gets its probability, from the
 empty context up, and goes back to the chunks that have it. A window has a row
 a chunk at most, so none is hot.
@@ -21,6 +21,7 @@ in memory, for small ones: the tests hold the tables against it.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,8 +37,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import Scratch, fold_remainder, small_batches, written
 
 END = b"\n"
-#: Characters of text that are handled at once; bytes of a chunk of the automaton.
+#: Bytes of texts that are handled at once; bytes of a chunk of the automaton.
 PIECE, CHUNK = 1 << 19, 256
+_GAP, _WORD = re.compile(rb"[ \t\n\x0b\x0c\r]"), re.compile(rb"[^ \t\n\x0b\x0c\r]")
 #: Bytes and rows of texts whose windows are looked up together: a chunk ends with the piece that reaches either.
 DEAL, DEAL_ROWS = 1 << 25, 1 << 20
 WORD, GRAM = 0, 1
@@ -51,6 +53,8 @@ class Rules:
     least_gain: float = 30.0
     frequent: int = 1_000_000
     folds: int = 7
+    #: Bytes of texts that are handled at once; a longer text is cut between words.
+    piece: int = PIECE
     held_out: int = 2
 
 
@@ -73,22 +77,31 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
-def _pieces(texts) -> Iterator[list[list[bytes]]]:
-    """The words of runs of texts of about PIECE bytes."""
-    own, size = [], 0
-    for text in texts:
-        own.append(words_of(text))
-        size += len(text) if text else 0
-        if size >= PIECE:
-            yield own
-            own, size = [], 0
-    if own:
-        yield own
+def _segments(text: str | None, depth: int, size: int) -> Iterator[tuple[list[bytes], bytes, bool]]:
+    """words, lead and open of the segments of a text: one, but for long texts.
 
-
-def _grams(docs: list[list[bytes]], depth: int) -> np.ndarray:
+    A segment begins with the `depth` bytes before it (END for the first), and
+    an open one goes on: it ends with a space in place of END.
+    """
+    data = text.encode("utf-8", "surrogatepass") if text else b""
+    at, lead = 0, END * depth
+    while len(data) - at > size:
+        gap = _GAP.search(data, at + size)
+        more = _WORD.search(data, gap.end()) if gap else None
+        if more is None:
+            break
+        words = data[at : more.start()].lower().split()
+        if words:
+            yield words, lead, True
+            lead = (lead + b" ".join(words) + b" ")[-depth:]
+        at = more.start()
+    yield data[at:].lower().split(), lead, False
+
+
+def _grams(docs: list[list[bytes]], depth: int, leads: list[bytes] | None = None, opens: list[bool] | None = None) -> np.ndarray:
     """Every byte of the texts with the `depth` before it, packed; the first byte is highest."""
-    parts = [END * depth + b" ".join(words) + END for words in docs]
+    leads, opens = leads or [END * depth] * len(docs), opens or [False] * len(docs)
+    parts = [lead + b" ".join(words) + (b" " if more else END) for words, lead, more in zip(docs, leads, opens)]
     data = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
     packed = np.zeros(len(data) - depth, np.int64)
     for k in range(depth + 1):
@@ -104,34 +117,53 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(where, np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
-DEALT = "chunk long, start long, ids array<string>, held array<boolean>, sizes array<long>, raw long, data binary"
+DEALT = (
+    "chunk long, part long, places array<long>, ids array<string>, held array<boolean>, sizes array<long>, leads array<binary>, opens array<boolean>, raw long, data binary"
+)
+_DEALT = [x.split()[0] for x in DEALT.split(", ")]
 
 
-def _deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For mapInPandas over (doc_id, held_out, text): a row a piece, of its texts' words together.
+def _deal(depth: int, piece: int = PIECE):
+    """For mapInPandas over (doc_id, held_out, text): a row a piece, of its segments' words together.
 
-    It names the piece's chunk and the place of its first text there.
+    It names the piece's chunk, and for each segment its text by the task's
+    number and its place there. A long text has several segments, and may be in
+    several chunks.
     """
-    chunk, start, size = TaskContext.get().partitionId() << 24, 0, 0
-    for pdf in parts:
-        done = 0
-        for docs in _pieces(pdf["text"]):
-            part = pdf.iloc[done : done + len(docs)]
-            done += len(docs)
-            texts = [b" ".join(words) for words in docs]
+
+    def dealt(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get().partitionId()
+        chunk, size, rows, place, own, held = task << 24, 0, 0, 0, [], 0
+
+        def packed() -> pd.DataFrame:
+            texts = [b" ".join(words) for _, _, _, words, _, _ in own]
             data = b"".join(texts)
-            packed = pa.compress(data, codec="zstd", asbytes=True)
-            row = (chunk, start, part["doc_id"].tolist(), part["held_out"].tolist(), [len(t) for t in texts], len(data), packed)
-            yield pd.DataFrame([row], columns=["chunk", "start", "ids", "held", "sizes", "raw", "data"])
-            start, size = start + len(docs), size + len(data)
-            if size >= DEAL or start >= DEAL_ROWS:
-                chunk, start, size = chunk + 1, 0, 0
+            places, ids, out, _, leads, opens = (list(x) for x in zip(*own))
+            row = (chunk, task, places, ids, out, [len(t) for t in texts], leads, opens, len(data), pa.compress(data, codec="zstd", asbytes=True))
+            return pd.DataFrame([row], columns=_DEALT)
+
+        for pdf in parts:
+            for doc_id, out, text in zip(*(pdf[c] for c in ("doc_id", "held_out", "text"))):
+                for words, lead, more in _segments(text, depth, piece):
+                    own.append((place, doc_id, out, words, lead, more))
+                    held += sum(map(len, words)) + len(words)
+                    if held < piece and len(own) < piece:
+                        continue
+                    yield packed()
+                    size, rows, own, held = size + held, rows + len(own), [], 0
+                    if size >= DEAL or rows >= DEAL_ROWS:
+                        chunk, size, rows = chunk + 1, 0, 0
+                place += 1
+        if own:
+            yield packed()
+
+    return dealt
 
 
-def _dealt(data: bytes, raw: int, sizes) -> list[list[bytes]]:
-    """The words of a piece's texts."""
-    data, ends = pa.decompress(data, decompressed_size=raw, codec="zstd", asbytes=True), np.cumsum(sizes)
-    return [data[end - n : end].split() for n, end in zip(sizes, ends)]
+def _dealt(piece) -> tuple[list[list[bytes]], list[bytes], list[bool]]:
+    """The words, leads and opens of a piece's segments."""
+    data, ends = pa.decompress(piece["data"], decompressed_size=piece["raw"], codec="zstd", asbytes=True), np.cumsum(piece["sizes"])
+    return [data[end - n : end].split() for n, end in zip(piece["sizes"], ends)], list(piece["leads"]), list(piece["opens"])
 
 
 def _count(depth: int):
@@ -149,10 +181,11 @@ def _count(depth: int):
         keys = np.fromiter(map(_hash, seen), np.uint64, len(seen)).view(np.int64)
         return rows(WORD, -1, keys, np.fromiter(seen.values(), np.int64, len(seen)))
 
-    def windows(docs: list[list[bytes]], weight: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        if not docs:
+    def windows(segments: list[tuple], weight: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if not segments:
             return []
-        keys, n = np.unique(_grams(docs, depth), return_counts=True)
+        docs, leads, opens = (list(x) for x in zip(*segments))
+        keys, n = np.unique(_grams(docs, depth, leads, opens), return_counts=True)
         return [(keys, n * weight)]
 
     def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,18 +193,18 @@ def _count(depth: int):
         grams: list[tuple[np.ndarray, np.ndarray]] = []
         now, most = None, 1 << 20
         for pdf in parts:
-            for chunk, held, sizes, raw, data in zip(*(pdf[c] for c in ("chunk", "held", "sizes", "raw", "data"))):
-                if chunk != now and grams:
+            for piece in pdf.to_dict("records"):
+                if piece["chunk"] != now and grams:
                     yield from rows(GRAM, now, *_merged(grams))
                     grams, most = [], 1 << 20
-                now = chunk
-                docs = _dealt(data, raw, sizes)
-                train = [words for words, out in zip(docs, held) if not out]
-                for own in train:
+                now = piece["chunk"]
+                segments = list(zip(*_dealt(piece)))
+                train = [x for x, out in zip(segments, piece["held"]) if not out]
+                for own, _, _ in train:
                     seen.update(own)
-                if train:
-                    seen[END] += len(train)
-                grams += windows(train, 1) + windows([words for words, out in zip(docs, held) if out], 0)
+                if ends := sum(not more for _, _, more in train):
+                    seen[END] += ends
+                grams += windows(train, 1) + windows([x for x, out in zip(segments, piece["held"]) if out], 0)
                 if sum(len(k) for k, _ in grams) > most:
                     grams = [_merged(grams)]
                     most = max(1 << 20, 2 * len(grams[0][0]))
@@ -301,19 +334,19 @@ def tree_scores(docs: list[list[bytes]], tree: Tree) -> np.ndarray:
 
 
 SCHEMA = pa.schema([
-    ("rid", pa.int64()), ("doc_id", pa.string()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("hash", pa.int64()),
+    ("place", pa.int64()), ("part", pa.int64()), ("doc_id", pa.string()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("hash", pa.int64()),
     ("cnt", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()),
 ])
-ROWS = "rid long, doc_id string, held_out boolean, n_tokens long, hash long, cnt long, n_known long, logs double, score double"
+ROWS = "place long, part long, doc_id string, held_out boolean, n_tokens long, hash long, cnt long, n_known long, logs double, score double"
 
 
 def _score(handle, depth: int):
     """For cogrouped chunks of pieces and windows: a row a text, and one for each of its rarer words."""
 
-    def looked_up(docs: list[list[bytes]], place: pd.Index, score: np.ndarray) -> np.ndarray:
-        """log10 probability of each text's bytes and end."""
+    def looked_up(docs: list[list[bytes]], leads: list[bytes], opens: list[bool], place: pd.Index, score: np.ndarray) -> np.ndarray:
+        """log10 probability of each segment's bytes and end."""
         sizes = np.array([sum(map(len, words)) + max(1, len(words)) for words in docs])
-        at = place.get_indexer(_grams(docs, depth))
+        at = place.get_indexer(_grams(docs, depth, leads, opens))
         if at.min() < 0:
             raise ValueError("a chunk has windows that were not counted")
         return np.bincount(np.repeat(np.arange(len(docs)), sizes), score[at], len(docs))
@@ -325,10 +358,10 @@ def _score(handle, depth: int):
         del windows, keys, first
         out = []
         for piece in texts.to_pylist():
-            docs, ids, held = _dealt(piece["data"], piece["raw"], piece["sizes"]), piece["ids"], piece["held"]
-            rids = (piece["chunk"] << 21) + piece["start"] + np.arange(len(docs))
-            sizes = np.array([len(w) + 1 for w in docs])
-            every = [w for own in docs for w in (*own, END)]
+            (docs, leads, opens), ids, held = _dealt(piece), piece["ids"], piece["held"]
+            part, places = piece["part"], np.array(piece["places"], np.int64)
+            sizes = np.array([len(w) + (not more) for w, more in zip(docs, opens)])
+            every = [w for own, more in zip(docs, opens) for w in (own if more else (*own, END))]
             known_at = {w: i for i, w in enumerate(dict.fromkeys(every))}
             which = np.fromiter(map(known_at.__getitem__, every), np.int64, len(every))
             own = np.fromiter(map(_hash, known_at), np.uint64, len(known_at)).view(np.int64)
@@ -338,8 +371,8 @@ def _score(handle, depth: int):
             known = n[which] > 0
             pairs, times = np.unique(doc[~known] * len(own) + which[~known], return_counts=True)
             for cols in (
-                (rids, ids, held, sizes, own[0] ^ rids, 0, np.bincount(doc, known, len(docs)), np.bincount(doc, np.log10(n + 1.0)[which], len(docs)), looked_up(docs, place, score)),
-                (rids[pairs // len(own)], None, False, 0, own[pairs % len(own)], times, 0, 0.0, 0.0),
+                (places, part, ids, held, sizes, own[0] ^ places, 0, np.bincount(doc, known, len(docs)), np.bincount(doc, np.log10(n + 1.0)[which], len(docs)), looked_up(docs, leads, opens, place, score)),
+                (places[pairs // len(own)], part, None, False, 0, own[pairs % len(own)], times, 0, 0.0, 0.0),
             ):
                 full = [c if np.ndim(c) else np.full(len(cols[0]), c) for c in cols]
                 out.append(pa.table([pa.array(c, f.type) for c, f in zip(full, SCHEMA)], SCHEMA))
@@ -361,7 +394,7 @@ def scores(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text
     if not 1 <= rules.depth <= 6:
         raise ValueError("a context and its next byte must fit in 56 bits")
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), out.alias("held_out"), F.col(text_col).alias("text"))
-    rows = written(rows.mapInPandas(_deal, DEALT), "chunks")
+    rows = written(rows.mapInPandas(_deal(rules.depth, rules.piece), DEALT), "chunks")
     counts = written(rows.mapInPandas(_count(rules.depth), "kind int, chunk long, key long, n long"), "counts")
     vocabulary = written(counts.filter(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")), "vocabulary")
     v, n = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -381,7 +414,7 @@ def scores(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text
     joined = scored.join(rarer, "hash", "left")
     c = F.coalesce("c", F.lit(0))
     return (
-        joined.groupBy("rid")
+        joined.groupBy("part", "place")
         .agg(
             F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
             F.sum(F.col("n_known") + F.when(c > 0, F.col("cnt")).otherwise(0)).alias("n_known"),

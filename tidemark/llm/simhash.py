@@ -26,6 +26,7 @@ each written to the shared folder. Nothing but two counters reaches the driver.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,9 @@ SEED = 42
 BLOCKS, BLOCK_BITS = 4, 16
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 17
+#: Characters of a text that is counted in slices of as many bytes.
+LONG = 1 << 20
+_GAP = re.compile(rb"[ \t\n\x0b\x0c\r]")
 #: Rows that go (an id and a hash each) are broadcast up to so many, else joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -69,10 +73,31 @@ def _majority(hashes: list[int], sizes: list[int]) -> np.ndarray:
     return out
 
 
-def fingerprints_of(texts, shingle: int = SHINGLE) -> np.ndarray:
-    """Fingerprints of texts as signed 64-bit numbers."""
+def _long_majority(text: str, shingle: int, size: int) -> np.ndarray:
+    """The fingerprint of one text, whose bits are counted in slices between words; a slice begins with the words that its first shingles need."""
+    data, at, before, ones, n = text.encode("utf-8", "surrogatepass"), 0, [], np.zeros(64, np.int64), 0
+    while at < len(data):
+        gap = _GAP.search(data, min(at + size, len(data)))
+        stop = gap.end() if gap else len(data)
+        words = before + data[at:stop].lower().split()
+        if len(words) >= shingle:
+            own = np.array([xxhash.xxh64_intdigest(x, SEED) for x in map(b" ".join, zip(*(words[k:] for k in range(shingle))))], np.uint64)
+            ones += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            n += len(own)
+        before, at = words[max(0, len(words) - shingle + 1) :], stop
+    if not n:
+        return _majority(_hashes(text, shingle), [len(_hashes(text, shingle))])
+    return np.packbits(2 * ones > n, bitorder="little").view(np.uint64)
+
+
+def fingerprints_of(texts, shingle: int = SHINGLE, long: int = LONG) -> np.ndarray:
+    """Fingerprints of texts as signed 64-bit numbers; memory is bounded within a long text, too."""
     done, hashes, sizes = [], [], []
     for text in texts:
+        if text and len(text) > long:
+            done += [_majority(hashes, sizes), _long_majority(text, shingle, long)]
+            hashes, sizes = [], []
+            continue
         own = _hashes(text, shingle)
         hashes += own
         sizes.append(len(own))
