@@ -45,7 +45,9 @@ def test_ownership(spark):
     mine, ours = "Zx9" * 8, "Ab1" * 8
     rows = [(1, f"key {mine} here", "a", "", 0), (2, f"again {mine}", "a", "", 0)]
     rows += [(10 + k, f"example {ours}", f"owner{k}", "", 0) for k in range(5)] + [(30, f"token={mine}", "b", "", 0), (31, "letters" * 5, "b", "", 0)]
-    got = {r.doc_id: r.spans for r in secrets.digest(secrets.scanned(spark.createDataFrame(rows, SCHEMA))).collect()}
+    digest = secrets.digest(secrets.scanned(spark.createDataFrame(rows, SCHEMA))).collect()
+    got, owners = {r.doc_id: r.spans for r in digest}, {r.doc_id: (r.owners, r.n_live) for r in digest}
+    assert owners[1] == ("2", 1) and owners[30] == ("2", 1) and owners[10] == ("", 0)
     assert got[1] == f"opaque:4:{4 + len(mine)}" and got[2].startswith("opaque:6") and got[10] == "" and got[31] == ""
     assert got[30] == f"assign:0:{6 + len(mine)}"
 
@@ -64,3 +66,18 @@ def test_one_owner_with_many_repositories(spark):
     assert got[0] == "opaque:0:24,opaque:25:49" and got[1201] == "opaque:1:25" and got[5000] == ""
     cleaned = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert cleaned[0] == f"[SECRET] [SECRET] {ours}" and cleaned[5000] == ours
+
+
+def test_query_against_sql(spark, sf_dir):
+    import duckdb
+
+    from tidemark.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    got = queries.QUERIES["op10_secrets"](spark, sf_dir)
+    want = con.execute(queries.ORACLE_SQL["op10_secrets"])
+    order = [d[0] for d in want.description]
+    assert sorted(order) == sorted(got.columns)
+    rows = sorted(map(tuple, got.select(*order).collect()))
+    assert rows == sorted(want.fetchall()) and any(r[order.index("owners")] for r in rows)

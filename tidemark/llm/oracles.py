@@ -168,13 +168,12 @@ good as (
 spans as (
   select * from good g where kind < {secrets.OPAQUE_AT}
     or not exists (select 1 from good b where b.rid = g.rid and b.kind < {secrets.OPAQUE_AT} and b.st < g.en and g.st < b.en)),
-owned as (
-  select v, count(distinct source) + (count(*) filter (source is null) > 0)::int <= {rule.max_owners} as live from spans join texts using (rid) group by v),
-kept as (select s.* from spans s join owned using (v) where kind < {secrets.OPAQUE_AT} or live),
+owned as (select v, count(distinct source) + (count(*) filter (source is null) > 0)::int as owners from spans join texts using (rid) group by v),
+kept as (select s.*, owners, owners <= {rule.max_owners} as live from spans s join owned using (v) where kind < {secrets.OPAQUE_AT} or owners <= {rule.max_owners}),
 base as (select rid, {count}, {spans} as list from kept where kind < {secrets.OPAQUE_AT} group by rid),
-every as (select rid, {spans} as list from kept group by rid)
+every as (select rid, {spans} as list, string_agg(owners, ',' order by st, kind) as owners, count(*) filter (live) as n_live from kept group by rid)
 select doc_id, {", ".join(f"coalesce(n_{secrets.KINDS[k][0]}, 0) as n_{secrets.KINDS[k][0]}" for k in range(secrets.OPAQUE_AT))},
-  sha256(coalesce(base.list, '')) as base_sha256, coalesce(every.list, '') as spans
+  sha256(coalesce(base.list, '')) as base_sha256, coalesce(every.list, '') as spans, coalesce(owners, '') as owners, coalesce(n_live, 0) as n_live
 from texts left join base using (rid) left join every using (rid)"""
 
 

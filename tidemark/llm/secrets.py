@@ -129,13 +129,15 @@ def listed(spans: Column) -> Column:
 
 
 def digest(scans: DataFrame) -> DataFrame:
-    """The counts, the base spans' hash and the span list of each row of `scanned`."""
+    """The counts, the base spans' hash and the span list of each row of `scanned`, each span's number of owners, and how many spans look live."""
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     return scans.select(
         "doc_id",
         *(count(k).alias(f"n_{KINDS[k][0]}") for k in range(OPAQUE_AT)),
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda x: x["owners"].cast("string")), ",").alias("owners"),
+        F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live"),
     )
 
 
