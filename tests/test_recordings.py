@@ -127,3 +127,25 @@ def test_every_chunk_needs_labels(spark, sessions, tmp_path):
     (tmp_path / "empty").mkdir()
     with pytest.raises(files.LabelError, match="no WAV"):
         recordings.spans(spark, {"s": str(tmp_path / "empty")})
+
+
+def test_sessions_are_named_by_their_file(spark, tmp_path):
+    for folder, text in (("a", '{"session_id": "evening"}'), ("b", None), ("c", "{}"), ("d", '{"session_id": "b"}'), ("e", '{"session_id": ')):
+        (tmp_path / folder).mkdir()
+        if text is not None:
+            (tmp_path / folder / "session.json").write_text(text)
+    path = lambda x: str(tmp_path / x)
+    assert recordings.named(spark, [path("a"), path("b") + "/", path("c")]) == {"evening": path("a"), "b": path("b") + "/", "c": path("c")}
+    with pytest.raises(ValueError, match="both the session b"):
+        recordings.named(spark, [path("b"), path("d")])
+    with pytest.raises(Exception, match="(?i)malformed"):
+        recordings.named(spark, [path("e")])
+
+
+def test_grid_of_settings():
+    from tidemark.operators import sweep
+
+    tried, settings, bad = sweep.grid(Config(), {"detection.min_gap_seconds": ("0.2", "9.0"), "detection.max_gap_seconds": ("1.0", "10.0")}, {"controller.confirm_windows": "3"})
+    assert settings == [{"detection.min_gap_seconds": a, "detection.max_gap_seconds": b} for a, b in (("0.2", "1.0"), ("0.2", "10.0"), ("9.0", "10.0"))]
+    assert bad == [{"detection.min_gap_seconds": "9.0", "detection.max_gap_seconds": "1.0"}]
+    assert [(c.detection.min_gap_seconds, c.detection.max_gap_seconds, c.controller.confirm_windows) for c in tried] == [(0.2, 1.0, 3), (0.2, 10.0, 3), (9.0, 10.0, 3)]

@@ -1,7 +1,7 @@
 """From recorded sessions to scores and training rows: WAV windows, features, one clock, labels, fold, scores.
 
 A session is a folder of WAV files (its chunks, in the order of their names)
-with a label file for each. Chunks are cut by the recorder, so a session's
+with a label file for each, and may be named by a session.json (`named`). Chunks are cut by the recorder, so a session's
 windows are numbered and timed over all of them and only its first one starts a
 stream.
 """
@@ -9,7 +9,7 @@ stream.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +23,18 @@ from tidemark.sources.wav import WavSource
 KEPT = ("session_id", "chunk", "window_index", "sample_rate")
 
 
+def named(spark: SparkSession, folders: Iterable[str]) -> dict[str, str]:
+    """Folders by session: the name that a folder's session.json gives, else the folder's own. Two sessions of one name are an error."""
+    out: dict[str, str] = {}
+    for folder in folders:
+        told = files.session_metadata(spark, f"{folder.rstrip('/')}/session.json").first()
+        name = (told.session_id if told else None) or folder.rstrip("/").rsplit("/", 1)[-1]
+        if name in out:
+            raise ValueError(f"{folder} and {out[name]} are both the session {name}")
+        out[name] = folder
+    return out
+
+
 def windows(spark: SparkSession, sessions: Mapping[str, str], config: Config) -> DataFrame:
     """The feature windows of sessions (folders by id) on each session's clock, as a table.
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
+from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import Config, ConfigError
@@ -23,6 +24,30 @@ def configs(base: Config, key: str, values: Iterable[str]) -> tuple[list[Config]
     return good, bad
 
 
+def grid(base: Config, swept: Mapping[str, Iterable[str]], fixed: Mapping[str, str] | None = None) -> tuple[list[Config], list[dict[str, str]], list[dict[str, str]]]:
+    """Configs of all combinations of the swept settings' values, over `fixed` ones; the settings of each, by config_id, and those that are not valid.
+
+    A combination is judged as a whole, so values may depend on each other.
+    """
+    start = base.override(dict(fixed or {}))
+    tried, settings, bad = [], [], []
+    for values in product(*swept.values()):
+        own = dict(zip(swept, values))
+        try:
+            tried.append(start.override(own))
+            settings.append(own)
+        except ConfigError:
+            bad.append(own)
+    return tried, settings, bad
+
+
+def named(spark: SparkSession, scores: DataFrame, settings: list[dict[str, str]]) -> DataFrame:
+    """Scores by config_id with each config's settings as columns."""
+    names = sorted({k for own in settings for k in own})
+    rows = spark.createDataFrame([(i, *(own.get(n) for n in names)) for i, own in enumerate(settings)], ", ".join(["config_id int", *(f"`{n}` string" for n in names)]))
+    return scores.join(F.broadcast(rows), "config_id")
+
+
 def sweep(windows: DataFrame, tried: list[Config], breaks: DataFrame, sessions: DataFrame) -> DataFrame:
     """config_id and pooled scores of each config.
 

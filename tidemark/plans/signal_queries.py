@@ -24,6 +24,8 @@ CONFIG = Config(
 )
 SWEPT = "detection.ad_loudness_delta_db"
 SWEEP_VALUES = tuple(f"{0.137 + 0.31 * k:.3f}" for k in range(12))
+GRID = {"detection.min_gap_seconds": ("0.15", "0.45", "2.75"), "detection.ad_loudness_delta_db": ("0.757", "1.997")}
+GRID_STAY = -0.063
 #: Fixed values of the app gate query.
 APP_IDS, APP_NAMES = ("12", "7"), ("click",)
 
@@ -36,7 +38,7 @@ GATED = replace(
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = signal_sql.statements(CONFIG, SWEEP_VALUES, APP_IDS, APP_NAMES, GATED, HEARTBEAT)
+ORACLE_SQL: dict[str, str] = signal_sql.statements(CONFIG, SWEEP_VALUES, APP_IDS, APP_NAMES, GATED, HEARTBEAT, GRID, GRID_STAY)
 
 
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -354,10 +356,11 @@ def replay_summary(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    rows = adapters.windows(spark, sf_dir)
+    """Sessions, mutes and breaks, as tables: each is read several times."""
+    rows = tables.written(adapters.windows(spark, sf_dir), "windows")
     sessions = rows.groupBy("session_id").agg(F.sum("duration_seconds").alias("duration"))
     mutes = tables.written(detect.mute_spans(detect.decisions(rows, CONFIG, columns=("muted",))), "mutes")
-    return sessions, mutes, _breaks(rows)
+    return sessions, mutes, tables.written(_breaks(rows), "breaks")
 
 
 @_query
@@ -403,6 +406,16 @@ def param_sweep(spark, sf_dir):
     return _rounded(sweeps.sweep(rows, tried, _breaks(rows), sessions))
 
 
+@_query
+def param_grid(spark, sf_dir):
+    """Two settings together: cues and bars differ, so configs share window functions where they can."""
+    rows = tables.written(adapters.windows(spark, sf_dir), "windows")
+    tried, settings, _ = sweeps.grid(CONFIG, GRID, {"detection.ad_stay_loudness_delta_db": str(GRID_STAY)})
+    sessions = rows.groupBy("session_id").agg(F.sum("duration_seconds").alias("duration"))
+    scores = sweeps.named(spark, sweeps.sweep(rows, tried, tables.written(_breaks(rows), "breaks"), sessions), settings)
+    return _rounded(scores.withColumnsRenamed({k: k.split(".")[1] for k in GRID}).drop("config_id"))
+
+
 @_query
 def clock_format(spark, sf_dir):
     rows = adapters.windows(spark, sf_dir)

@@ -5,7 +5,8 @@ The fold is a recursive query that steps all sessions by one window at a time.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from tidemark.config import Config
 from tidemark.operators.intervals import AD_LABELS, GRACE_SECONDS, MERGE_SECONDS, SKIP_LABELS
@@ -277,7 +278,7 @@ totals as (
 late as (select config_id, round(median(latency), 6) as median_latency, round(max(latency), 6) as max_latency from met group by config_id)"""
 
 
-def statements(config: Config, swept: Sequence[str], app_ids: Sequence[str], app_names: Sequence[str], gated: Config, heartbeat: int) -> dict[str, str]:
+def statements(config: Config, swept: Sequence[str], app_ids: Sequence[str], app_names: Sequence[str], gated: Config, heartbeat: int, grid: Mapping[str, Sequence[str]], grid_stay: float) -> dict[str, str]:
     d = config.detection
     island = "row_number() over (partition by session_id order by window_index)"
     sofar = "over (partition by session_id order by window_index rows unbounded preceding)"
@@ -321,6 +322,16 @@ training as (
     scored = f"{folded}, {SPANS}, {SCORES}"
     sweep_bars = [(float(v), -0.063) for v in swept]
     r6 = lambda *names: ", ".join(f"round({n}, 6) as {n}" for n in names)
+    gap_values, bar_values = grid["detection.min_gap_seconds"], grid["detection.ad_loudness_delta_db"]
+
+    def grid_part(gap: str) -> str:
+        """The scores of one gap with every bar; a gap over the longest allowed is no setting."""
+        own = replace(config, detection=replace(d, min_gap_seconds=float(gap)))
+        folded = _fold(own, [(float(b), grid_stay) for b in bar_values])
+        bar = " ".join(f"when {k} then '{b}'" for k, b in enumerate(bar_values))
+        return f"""select '{gap}' as min_gap_seconds, case config_id {bar} end as ad_loudness_delta_db, * exclude (config_id)
+  from (with recursive {WINDOWS}, {folded}, {SPANS}, {SCORES} select t.*, l.* exclude (config_id) from totals t join late l using (config_id))"""
+
     names = " or ".join(f"lower(trim(app_name)) = '{n}'" for n in app_names)
     return {
         "downmix": f"""{buffers},
@@ -434,6 +445,7 @@ select session_id, max(t) + 1 as duration, coalesce(any_value(mutes), 0) as mute
         "score_session": f"{scored} select * exclude (config_id) from scores",
         "score_totals": f"{scored} select * exclude (config_id) from totals join late using (config_id)",
         "param_sweep": f"{windows}, {_fold(config, sweep_bars)}, {SPANS}, {SCORES} select config_id, t.* exclude (config_id), l.* exclude (config_id) from totals t join late l using (config_id)",
+        "param_grid": " union all ".join(grid_part(g) for g in gap_values if float(g) <= d.max_gap_seconds),
         "clock_format": f"""{windows}
 select session_id, window_index, printf('%02d:%02d.%d', (s // 600)::int, (s % 600 // 10)::int, (s % 10)::int) as clock
 from (select session_id, window_index, round((window_index * 61.25 + 0.5) * 10)::bigint as s from w)""",
