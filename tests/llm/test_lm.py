@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import automaton
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -82,7 +83,7 @@ def test_probabilities_sum_to_one(spark, sf_dir):
     packed = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
     keys, n = np.unique(packed, return_counts=True)
     rows = [(2, k, c) for k, c in zip(keys, n)] + [(d, k, c) for d in (1, 0) for k, c in Counter((packed & ((1 << 8 * (d + 1)) - 1)).tolist()).items()]
-    tree = lm.automaton(pd.DataFrame(rows, columns=["depth", "key", "n"]), 2)
+    tree = automaton.automaton(pd.DataFrame(rows, columns=["depth", "key", "n"]), 2)
     prob = 10.0 ** tree.score.reshape(-1, tree.width)
     others = 256 - (tree.width - 2)
     assert np.allclose(prob[:, :-2].sum(1) + others * prob[:, -2], 1, atol=1e-5)
@@ -117,9 +118,9 @@ def test_tables_and_automaton_agree(spark, sf_dir):
     for d in kept:
         contexts = {r.ctx for r in kept[d].collect()}
         rows += [(d, r.key, r.n) for r in levels[d].collect() if r.key >> 8 in contexts]
-    tree = lm.automaton(pd.DataFrame(rows, columns=["depth", "key", "n"]), 3)
+    tree = automaton.automaton(pd.DataFrame(rows, columns=["depth", "key", "n"]), 3)
     want = [sum(math.log10(told[k]) for k in lm._grams([d], 3).tolist()) for d in docs]
-    assert lm.tree_scores(docs, tree) == pytest.approx(want, rel=1e-5, abs=1e-4)
+    assert automaton.tree_scores(docs, tree) == pytest.approx(want, rel=1e-5, abs=1e-4)
 
 
 def test_places_of_late_partitions():
