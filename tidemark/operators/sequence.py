@@ -195,8 +195,10 @@ def epochs(windows: DataFrame) -> DataFrame:
     """Sets epoch: how often the detector has been reset before or at each window, by restarts of the stream and switches of the app.
 
     Restarts are in stream_restarted (a session's first window is none), app
-    switches in app_switched (see `gated`); either column may be missing.
+    switches in app_switched (see `gated`); without either column there is one epoch.
     """
+    if not {"stream_restarted", "app_switched"} & set(windows.columns):
+        return windows.withColumn("epoch", F.lit(0))
     resets = F.lit(False)
     if "stream_restarted" in windows.columns:
         resets = resets | (F.coalesce(F.col("stream_restarted"), F.lit(False)) & (F.col("window_index") > 0))
