@@ -4,6 +4,7 @@ import pytest
 
 from tidemark.config import Config, Control, Detection, Gate
 from tidemark.operators import fold
+from tidemark.operators.rules import RULES
 from tidemark.streaming.causal import Memory
 
 CONTENT = dict(
@@ -30,7 +31,7 @@ class Session:
         return getattr(self.memory if name in ("armed", "app") else self.folded, name)
 
     def step(self, w, t, c):
-        return fold.step(self.folded, self.memory.seen(w, t, c), t, c)
+        return fold.step(self.folded, self.memory.seen(w, t, c), t, c, RULES)
 
 
 def run(windows, c=None, session=None, start=0):

@@ -8,6 +8,7 @@ import pytest
 from tidemark.config import Audio, Config, Control, Detection, Gate
 from tidemark.functions import kernels
 from tidemark.operators import fold, recordings
+from tidemark.operators.rules import RULES
 from tidemark.sources import files
 from tidemark.streaming.causal import Memory
 
@@ -60,7 +61,7 @@ def plain(folder):
         for i in range(0, len(x), rate):
             w = kernels.features(x[None, i : i + rate], rate, config.detection.silence_dbfs, 0.05).iloc[0].to_dict()
             was = state.believed_muted
-            fold.step(state, memory.seen(w | {"window_index": len(rows), "stream_restarted": not rows}, t, config), t, config)
+            fold.step(state, memory.seen(w | {"window_index": len(rows), "stream_restarted": not rows}, t, config), t, config, RULES)
             if state.believed_muted and not was:
                 mutes.append([t, None])
             if was and not state.believed_muted:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.config import Config, Log
-from tidemark.operators import fold, sequence
+from tidemark.operators import fold, rules, sequence
 
 FEATURES = (
     "rms_dbfs", "peak", "peak_dbfs", "crest_factor", "crest_db", "spectral_centroid_hz", "zero_crossing_rate", "is_silence", "silence_ratio",
@@ -88,7 +88,7 @@ def restart_parts(windows: DataFrame, keys: tuple[str, ...] = ("session_id",)) -
 
 
 def decisions(
-    windows: DataFrame, config: Config | list[Config], detector: fold.Detector = fold.RULES, columns: tuple[str, ...] = tuple(_TYPES)
+    windows: DataFrame, config: Config | list[Config], detector: fold.Detector = rules.RULES, columns: tuple[str, ...] = tuple(_TYPES)
 ) -> DataFrame:
     """session_id, window_index, timestamp and `columns` (of decision and state) of every window.
 

@@ -6,7 +6,7 @@ Only what depends on earlier decisions is here. What depends on features alone
 window: from window functions over whole tables (`detect.seen`), or from a
 stream's memory (`streaming.causal`). Detector and controller are one fold
 because the controller clears the detector: when a confirmation fails and when
-the mute failsafe trips. Any `Detector` can take the place of the rules.
+the mute failsafe trips. Any `Detector` can take the place of the rules (`rules`).
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from tidemark.config import Config
 
 CONTENT, SUSPECTED, MUTED = "CONTENT", "AD_SUSPECTED", "MUTED"
 STARTED, ENDED, NONE = "AD_STARTED", "AD_ENDED", "NO_CHANGE"
-#: Level above the bar, in dB, that counts as full confidence in absolute mode.
-ABSOLUTE_SPAN_DB = 12.0
 
 
 @dataclass(slots=True)
@@ -114,85 +112,6 @@ class Detector(Protocol):
         """Forgets the ad that it has reported."""
 
 
-def _unit(x: float) -> float:
-    return min(1.0, max(0.0, x))
-
-
-class Rules:
-    """The rule-based detector: a transition cue, then windows louder or flatter than the baseline."""
-
-    def reset(self, s: State) -> None:
-        s.forget_all()
-
-    def reject(self, s: State) -> None:
-        s.forget_ad()
-
-    def update(self, s: State, w: Mapping, t: float, config: Config) -> Decision:
-        cfg = config.detection
-        d = Decision(event=NONE, gap_seconds=w["gap_seconds"], cue_gap_seconds=w["gap_seconds"] if w["is_cue"] else 0.0, smoothed_rms_dbfs=w["smoothed_rms_dbfs"])
-        if w["is_cue"]:
-            s.cue_at = t
-        absolute = cfg.ad_absolute_dbfs is not None
-        if absolute:
-            bar = cfg.stay_absolute if s.in_ad else cfg.ad_absolute_dbfs
-        else:
-            bar = cfg.stay_delta if s.in_ad else cfg.ad_loudness_delta_db
-        d.loudness_threshold_db = bar
-        base, silent = s.baseline, bool(w["is_silence"])
-        ready = base.count >= cfg.baseline_min_windows
-        judged = not silent and (absolute or ready)
-        d.loudness_delta_db = w["rms_dbfs"] - base.rms if judged and ready else 0.0
-        d.crest_delta_db = base.crest - w["crest_db"] if judged and ready else 0.0
-        # With a cold baseline the crest's difference is 0, so a positive bar is not met even in absolute mode.
-        level = d.smoothed_rms_dbfs if absolute else d.loudness_delta_db
-        d.ad_profile = judged and level >= bar and d.crest_delta_db >= cfg.ad_crest_delta_db
-
-        if s.cue_at is not None and t - s.cue_at > cfg.cue_grace_seconds:
-            s.cue_at = None
-        d.cue_active = s.cue_at is not None
-        d.baseline_rms_dbfs, d.baseline_crest_db, d.baseline_centroid_hz, d.baseline_count = base.rms, base.crest, base.centroid, base.count
-        loud = (level - bar) / ABSOLUTE_SPAN_DB if absolute else d.loudness_delta_db / max(bar, 1e-6)
-        crest = d.crest_delta_db / max(cfg.ad_crest_delta_db, 1e-6)
-        d.confidence = round(0.5 * _unit(loud) + 0.5 * _unit(crest), 3)
-        (self._inside if s.in_ad else self._outside)(s, w, t, d, cfg, absolute)
-        return d
-
-    def _outside(self, s: State, w: Mapping, t: float, d: Decision, cfg, absolute: bool) -> None:
-        if d.ad_profile and d.cue_active:
-            s.in_ad, s.ad_started_at, s.cue_at, s.streak = True, t, None, 0
-            heard = f"level {d.smoothed_rms_dbfs:.1f} dBFS" if absolute else f"level +{d.loudness_delta_db:.1f} dB"
-            d.event, d.reason = STARTED, f"gap of {d.cue_gap_seconds:.2f} s, then {heard}, crest -{d.crest_delta_db:.1f} dB"
-            return
-        if not w["is_silence"]:
-            s.baseline.take(w, cfg.baseline_alpha)
-        if s.baseline.count < cfg.baseline_min_windows:
-            d.reason = f"baseline has {s.baseline.count} of {cfg.baseline_min_windows} windows"
-        elif d.ad_profile:
-            d.reason = "like an ad, but no transition before it"
-        else:
-            d.reason = "transition heard, no ad yet" if d.cue_active else "content"
-
-    def _inside(self, s: State, w: Mapping, t: float, d: Decision, cfg, absolute: bool) -> None:
-        elapsed = d.ad_elapsed_seconds = t - (t if s.ad_started_at is None else s.ad_started_at)
-        if elapsed >= cfg.max_ad_seconds:
-            s.forget_ad()
-            d.event, d.ad_profile, d.confidence, d.reason = ENDED, False, 0.0, f"failsafe after {elapsed:.0f} s"
-        elif d.ad_profile:
-            s.streak = 0
-            d.reason = f"ad goes on ({elapsed:.0f} s)"
-        else:
-            s.streak += 1
-            if s.streak >= cfg.ad_end_windows and elapsed >= cfg.min_ad_seconds:
-                d.event, d.confidence, d.reason = ENDED, 0.0, f"{s.streak} windows unlike an ad after {elapsed:.0f} s"
-                s.forget_ad()
-                if not w["is_silence"]:
-                    s.baseline.take(w, cfg.baseline_alpha)
-            else:
-                d.reason = f"unlike an ad {s.streak} of {cfg.ad_end_windows} times ({elapsed:.0f} s)"
-
-
-RULES = Rules()
-
 #: Where the controller wants to be after an event, by where it is. Staying put is left out.
 _WISHES = {(CONTENT, STARTED): SUSPECTED, (SUSPECTED, ENDED): CONTENT, (MUTED, ENDED): CONTENT}
 
@@ -243,7 +162,7 @@ def _break_off(s: State, t: float, ok: bool, detector: Detector) -> None:
     _move(s, CONTENT, t, ok)
 
 
-def step(s: State, w: Mapping, t: float, config: Config, detector: Detector = RULES) -> Decision:
+def step(s: State, w: Mapping, t: float, config: Config, detector: Detector) -> Decision:
     """One window through gate, detector and controller; changes `s`.
 
     `w` has the features, gap_seconds, is_cue and smoothed_rms_dbfs, and may

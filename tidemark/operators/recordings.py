@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Config
 from tidemark.functions import kernels
-from tidemark.operators import dataset, detect, fold, intervals, sequence
+from tidemark.operators import dataset, detect, fold, intervals, rules, sequence
 from tidemark.sources import files, tables
 from tidemark.sources.wav import WavSource
 
@@ -74,7 +74,7 @@ def _parts(rows: DataFrame, labels: DataFrame, config: Config, detector: fold.De
 
 
 def scores(
-    spark: SparkSession, sessions: Mapping[str, str], config: Config, detector: fold.Detector = fold.RULES
+    spark: SparkSession, sessions: Mapping[str, str], config: Config, detector: fold.Detector = rules.RULES
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scores of each session, totals over all, and each break with its first mute."""
     labels = spans(spark, sessions)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.config import Config
-from tidemark.operators import detect, fold
+from tidemark.operators import detect, fold, rules
 from tidemark.streaming import causal
 
 OUTPUT = f"session_id {{}}, window_index long, timestamp double, {detect.DECISION}, {detect.STATES}, late boolean, changed boolean, at_end boolean"
@@ -188,7 +188,7 @@ class Fold(StatefulProcessor):
 
 
 def decisions(
-    windows: DataFrame, config: Config, delay_seconds: float = 10.0, idle_seconds: float | None = None, detector: fold.Detector = fold.RULES,
+    windows: DataFrame, config: Config, delay_seconds: float = 10.0, idle_seconds: float | None = None, detector: fold.Detector = rules.RULES,
     event_time: str | None = None, tombstone_seconds: float = 3600.0, state: str = STATE,
 ) -> DataFrame:
     """The stream of decisions of a stream of windows (session_id, window_index, timestamp, features).
