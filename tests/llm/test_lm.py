@@ -151,3 +151,65 @@ def test_segments_of_long_texts(spark):
     whole, small = (sorted(map(tuple, lm.scores(frame, lm.Rules(least_count=2, least_gain=0.5, piece=piece)).collect())) for piece in (1 << 19, 60))
     assert [r[:5] for r in whole] == [r[:5] for r in small]
     assert [r[5:] for r in whole] == [pytest.approx(r[5:]) for r in small]
+
+
+def test_tokens_of_texts():
+    """Words of any length, beside empty texts, are told by their hash; an end is a token of each text that isn't open."""
+    words = [b"a", b"b", b"ab", b"ba", b"aa", b"\x00", b"\x00\x00", *(b"x" * n for n in (62, 63, 64, 65, 300)), b"x" * 299 + b"y", "É漢".encode().lower()]
+    texts = [b"", b" ".join(words), b"", b"b a b", b"x" * 64, b""]
+    opens = [False, True, False, False, True, False]
+    text, hashes = lm._tokens(texts, opens)
+    want = [(i, w) for i, (t, more) in enumerate(zip(texts, opens)) for w in (*t.split(), *([] if more else [b"\n"]))]
+    one = {w: int(lm._tokens([w], [True])[1][0]) for w in words} | {b"\n": int(lm._tokens([b""], [False])[1][0])}
+    assert len(set(one.values())) == len(words) + 1
+    assert sorted(zip(text.tolist(), hashes.tolist())) == sorted((i, one[w]) for i, w in want)
+
+
+def _piece(texts):
+    data = b"".join(texts)
+    piece = {"chunk": 3, "part": 0, "places": [*range(len(texts))], "ids": [str(i) for i in range(len(texts))], "held": [i % 3 == 2 for i in range(len(texts))]}
+    piece |= {"sizes": [len(t) for t in texts], "leads": [b"\n" * 5] * len(texts), "opens": [False] * len(texts), "raw": len(data)}
+    return piece | {"data": pa.compress(data, codec="zstd", asbytes=True)}
+
+
+def test_no_call_a_word(monkeypatch):
+    """Counting and scoring handle words as arrays: only those of 64 bytes and more are hashed one by one."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    texts = [b" ".join(b"w%d" % (i * j % 997) for j in range(2000)) for i in range(1, 12)] + [b"z" * 70, b""]
+    calls, plain = [], lm._hash
+    monkeypatch.setattr(lm, "_hash", lambda word: calls.append(word) or plain(word))
+    got = pd.concat(lm._count(5)(iter([pd.DataFrame([_piece(texts)])])))
+    train = Counter(w for i, t in enumerate(texts) if i % 3 != 2 for w in (*t.split(), b"\n"))
+    assert sorted(got.n[got.kind == lm.WORD]) == sorted(train.values())
+    grams = got[got.kind == lm.GRAM]
+    keys = grams.key.to_numpy()
+    every = Counter(k for t in texts for k in lm._grams([[t]], 5).tolist())
+    learned = Counter(k for i, t in enumerate(texts) if i % 3 != 2 for k in lm._grams([[t]], 5).tolist())
+    assert dict(zip(keys.tolist(), grams.n)) == {k: learned[k] for k in every}
+    handle = SimpleNamespace(value=(np.array([], np.int64), np.array([], np.int64)))
+    score = (keys % 7).astype(float)
+    windows = pa.table({"key": keys[::-1].copy(), "score": score[::-1].copy()})
+    out = lm._score(handle, 5)(pa.Table.from_pylist([_piece(texts)]), windows).to_pandas()
+    own = out[out.n_tokens > 0].sort_values("place")
+    assert own.n_tokens.tolist() == [len(t.split()) + 1 for t in texts]
+    assert own.score.tolist() == [sum(k % 7 for k in lm._grams([[t]], 5).tolist()) for t in texts]
+    assert out.groupby("place").cnt.sum().tolist() == [len(t.split()) + 1 for t in texts]
+    assert set(calls) <= {b"z" * 70, b"\n"}
+    with pytest.raises(ValueError, match="not counted"):
+        lm._score(handle, 5)(pa.Table.from_pylist([_piece(texts)]), windows.slice(1))
+
+
+def test_more_texts_than_bits():
+    """At depth 6 a window leaves room for 128 segments: more of them are looked up in turns."""
+    from types import SimpleNamespace
+
+    texts = [b"t%d" % i for i in range(300)]
+    piece = _piece(texts) | {"leads": [b"\n" * 6] * len(texts)}
+    keys = np.unique(lm._grams([[t] for t in texts], 6))
+    handle = SimpleNamespace(value=(np.array([], np.int64), np.array([], np.int64)))
+    out = lm._score(handle, 6)(pa.Table.from_pylist([piece]), pa.table({"key": keys, "score": (keys % 5).astype(float)})).to_pandas()
+    own = out[out.n_tokens > 0].sort_values("place")
+    assert own.score.tolist() == [sum(k % 5 for k in lm._grams([[t]], 6).tolist()) for t in texts]

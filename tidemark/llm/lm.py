@@ -21,7 +21,6 @@ broadcast; the others' counts are joined by a shuffle.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +41,10 @@ _GAP, _WORD = re.compile(rb"[ \t\n\x0b\x0c\r]"), re.compile(rb"[^ \t\n\x0b\x0c\r
 #: Bytes and rows of texts whose windows are looked up together: a chunk ends with the piece that reaches either.
 DEAL, DEAL_ROWS = 1 << 25, 1 << 20
 WORD, GRAM = 0, 1
+#: Words of fewer bytes are hashed as arrays.
+SHORT = 64
+#: Windows that are sorted together.
+SORTED = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -65,6 +68,28 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
+#: A number for each byte at each place of a word. A word's hash is their sum, so words hash alike by one chance in 2**64, as by `_hash`.
+_TABLE = np.array([_hash(bytes((place, byte))) for place in range(SHORT) for byte in range(256)], np.uint64)
+
+
+def _tokens(texts: list[bytes], opens: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """text and hash of all words of texts that have one space between words, and of an end for each that isn't open."""
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    ends = np.flatnonzero(data == 32)
+    begins = np.concatenate((ends[:1] * 0, ends[:-1] + 1))
+    sizes = ends - begins
+    # The space behind a word counts as its last byte.
+    at = np.arange(len(data)) - np.repeat(begins, sizes + 1)
+    np.minimum(at, SHORT - 1, out=at)
+    hashes = np.add.reduceat(_TABLE[(at << 8) + data], begins)
+    for i in np.flatnonzero(sizes >= SHORT):
+        hashes[i] = _hash(data[begins[i] : ends[i]].tobytes())
+    words, closed = sizes > 0, np.flatnonzero(~np.array(opens, bool))
+    text = np.repeat(np.arange(len(texts)), [t.count(b" ") + 1 for t in texts])
+    every = np.concatenate((hashes[words], np.full(len(closed), _hash(END), np.uint64)))
+    return np.concatenate((text[words], closed)), every.view(np.int64)
+
+
 def _segments(text: str | None, depth: int, size: int) -> Iterator[tuple[list[bytes], bytes, bool]]:
     """words, lead and open of the segments of a text: one, but for long texts.
 
@@ -87,7 +112,7 @@ def _segments(text: str | None, depth: int, size: int) -> Iterator[tuple[list[by
 
 
 def _grams(docs: list[list[bytes]], depth: int, leads: list[bytes] | None = None, opens: list[bool] | None = None) -> np.ndarray:
-    """Every byte of the texts with the `depth` before it, packed; the first byte is highest."""
+    """Every byte of the texts with the `depth` before it, packed; the first byte is highest. Words may be given joined."""
     leads, opens = leads or [END * depth] * len(docs), opens or [False] * len(docs)
     parts = [lead + b" ".join(words) + (b" " if more else END) for words, lead, more in zip(docs, leads, opens)]
     data = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
@@ -101,8 +126,12 @@ def _grams(docs: list[list[bytes]], depth: int, leads: list[bytes] | None = None
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(where, np.concatenate([n for _, n in parts])).astype(np.int64)
+    """The sums of n by key, of parts that are sorted by key: a stable sort merges them as runs."""
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate((keys[:1] == keys[:1], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(n, first)
 
 
 DEALT = (
@@ -148,10 +177,10 @@ def _deal(depth: int, piece: int = PIECE):
     return dealt
 
 
-def _dealt(piece) -> tuple[list[list[bytes]], list[bytes], list[bool]]:
-    """The words, leads and opens of a piece's segments."""
+def _dealt(piece) -> tuple[list[bytes], list[bytes], list[bool]]:
+    """The words (joined by spaces), leads and opens of a piece's segments."""
     data, ends = pa.decompress(piece["data"], decompressed_size=piece["raw"], codec="zstd", asbytes=True), np.cumsum(piece["sizes"])
-    return [data[end - n : end].split() for n, end in zip(piece["sizes"], ends)], list(piece["leads"]), list(piece["opens"])
+    return [data[end - n : end] for n, end in zip(piece["sizes"], ends)], list(piece["leads"]), list(piece["opens"])
 
 
 def _count(depth: int):
@@ -165,43 +194,51 @@ def _count(depth: int):
         for i in range(0, len(keys), 1 << 17):
             yield pd.DataFrame({"kind": kind, "chunk": chunk, "key": keys[i : i + (1 << 17)], "n": n[i : i + (1 << 17)]})
 
-    def words(seen: Counter) -> Iterator[pd.DataFrame]:
-        keys = np.fromiter(map(_hash, seen), np.uint64, len(seen)).view(np.int64)
-        return rows(WORD, -1, keys, np.fromiter(seen.values(), np.int64, len(seen)))
-
-    def windows(segments: list[tuple], weight: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        if not segments:
-            return []
-        docs, leads, opens = (list(x) for x in zip(*segments))
-        keys, n = np.unique(_grams(docs, depth, leads, opens), return_counts=True)
-        return [(keys, n * weight)]
+    def summed(kept: list[np.ndarray], weight: int) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = np.unique(np.concatenate(kept), return_counts=True)
+        return keys, n * weight
 
     def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        words: list[tuple[np.ndarray, np.ndarray]] = []
         grams: list[tuple[np.ndarray, np.ndarray]] = []
-        now, most = None, 1 << 20
+        # Windows of training (weight 1) and of held-out texts that were not summed yet.
+        raw: dict[int, list[np.ndarray]] = {1: [], 0: []}
+        now, most, most_words = None, 1 << 20, 1 << 19
+
+        def chunk() -> Iterator[pd.DataFrame]:
+            own = grams + [summed(kept, weight) for weight, kept in raw.items() if kept]
+            return rows(GRAM, now, *_merged(own)) if own else iter(())
+
         for pdf in parts:
             for piece in pdf.to_dict("records"):
-                if piece["chunk"] != now and grams:
-                    yield from rows(GRAM, now, *_merged(grams))
-                    grams, most = [], 1 << 20
+                if piece["chunk"] != now:
+                    yield from chunk()
+                    grams, raw, most = [], {1: [], 0: []}, 1 << 20
                 now = piece["chunk"]
-                segments = list(zip(*_dealt(piece)))
-                train = [x for x, out in zip(segments, piece["held"]) if not out]
-                for own, _, _ in train:
-                    seen.update(own)
-                if ends := sum(not more for _, _, more in train):
-                    seen[END] += ends
-                grams += windows(train, 1) + windows([x for x, out in zip(segments, piece["held"]) if out], 0)
+                segments = list(zip(*_dealt(piece), piece["held"]))
+                for weight, kept in raw.items():
+                    own = [x for x in segments if bool(x[3]) != bool(weight)]
+                    if not own:
+                        continue
+                    texts, leads, opens, _ = (list(x) for x in zip(*own))
+                    kept.append(_grams([[t] for t in texts], depth, leads, opens))
+                    if sum(map(len, kept)) >= SORTED:
+                        grams.append(summed(kept, weight))
+                        kept.clear()
+                    if weight:
+                        words.append(summed([_tokens(texts, opens)[1]], 1))
                 if sum(len(k) for k, _ in grams) > most:
                     grams = [_merged(grams)]
                     most = max(1 << 20, 2 * len(grams[0][0]))
-                if len(seen) > 1 << 19:
-                    yield from words(seen)
-                    seen = Counter()
-        yield from words(seen)
-        if grams:
-            yield from rows(GRAM, now, *_merged(grams))
+                if sum(len(k) for k, _ in words) > most_words:
+                    words = [_merged(words)]
+                    most_words = max(1 << 19, 2 * len(words[0][0]))
+                    if len(words[0][0]) > 1 << 19:
+                        yield from rows(WORD, -1, *words[0])
+                        words, most_words = [], 1 << 19
+        if words:
+            yield from rows(WORD, -1, *_merged(words))
+        yield from chunk()
 
     return counted
 
@@ -272,35 +309,44 @@ ROWS = "place long, part long, doc_id string, held_out boolean, n_tokens long, h
 def _score(handle, depth: int):
     """For cogrouped chunks of pieces and windows: a row a text, and one for each of its rarer words."""
 
-    def looked_up(docs: list[list[bytes]], leads: list[bytes], opens: list[bool], place: pd.Index, score: np.ndarray) -> np.ndarray:
-        """log10 probability of each segment's bytes and end."""
-        sizes = np.array([sum(map(len, words)) + max(1, len(words)) for words in docs])
-        at = place.get_indexer(_grams(docs, depth, leads, opens))
-        if at.min() < 0:
-            raise ValueError("a chunk has windows that were not counted")
-        return np.bincount(np.repeat(np.arange(len(docs)), sizes), score[at], len(docs))
+    def looked_up(docs: list[bytes], leads: list[bytes], opens: list[bool], keys: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """log10 probability of each segment's bytes and end.
+
+        Windows are sorted together with their segment, in the bits they leave
+        free: each distinct one is looked up once, and in order.
+        """
+        free, out = 63 - 8 * (depth + 1), []
+        for i in range(0, len(docs), 1 << free):
+            own = docs[i : i + (1 << free)]
+            doc = np.repeat(np.arange(len(own)), [len(t) + 1 for t in own])
+            packed = (_grams([[t] for t in own], depth, leads[i : i + len(own)], opens[i : i + len(own)]) << free) | doc
+            packed.sort()
+            windows, doc = packed >> free, packed & ((1 << free) - 1)
+            first = np.flatnonzero(np.concatenate(([True], windows[1:] != windows[:-1])))
+            at = np.minimum(np.searchsorted(keys, windows[first]), max(0, len(keys) - 1))
+            if not len(keys) or (keys[at] != windows[first]).any():
+                raise ValueError("a chunk has windows that were not counted")
+            out.append(np.bincount(doc, np.repeat(score[at], np.diff(first, append=len(windows))), len(own)))
+        return np.concatenate(out)
 
     def scored(texts: pa.Table, windows: pa.Table) -> pa.Table:
         hashes, counts = handle.value
         keys, first = np.unique(windows["key"].to_numpy(), return_index=True)
-        place, score = pd.Index(keys), windows["score"].to_numpy()[first]
-        del windows, keys, first
+        score = windows["score"].to_numpy()[first]
+        del windows, first
         out = []
         for piece in texts.to_pylist():
             (docs, leads, opens), ids, held = _dealt(piece), piece["ids"], piece["held"]
             part, places = piece["part"], np.array(piece["places"], np.int64)
-            sizes = np.array([len(w) + (not more) for w, more in zip(docs, opens)])
-            every = [w for own, more in zip(docs, opens) for w in (own if more else (*own, END))]
-            known_at = {w: i for i, w in enumerate(dict.fromkeys(every))}
-            which = np.fromiter(map(known_at.__getitem__, every), np.int64, len(every))
-            own = np.fromiter(map(_hash, known_at), np.uint64, len(known_at)).view(np.int64)
+            doc, every = _tokens(docs, opens)
+            sizes = np.bincount(doc, minlength=len(docs))
+            own, which = np.unique(every, return_inverse=True)
             at = np.minimum(np.searchsorted(hashes, own), max(0, len(hashes) - 1))
             n = np.where(hashes[at] == own, counts[at], 0) if len(hashes) else np.zeros(len(own), np.int64)
-            doc = np.repeat(np.arange(len(docs)), sizes)
             known = n[which] > 0
             pairs, times = np.unique(doc[~known] * len(own) + which[~known], return_counts=True)
             for cols in (
-                (places, part, ids, held, sizes, own[0] ^ places, 0, np.bincount(doc, known, len(docs)), np.bincount(doc, np.log10(n + 1.0)[which], len(docs)), looked_up(docs, leads, opens, place, score)),
+                (places, part, ids, held, sizes, own[0] ^ places, 0, np.bincount(doc, known, len(docs)), np.bincount(doc, np.log10(n + 1.0)[which], len(docs)), looked_up(docs, leads, opens, keys, score)),
                 (places[pairs // len(own)], part, None, False, 0, own[pairs % len(own)], times, 0, 0.0, 0.0),
             ):
                 full = [c if np.ndim(c) else np.full(len(cols[0]), c) for c in cols]
