@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from statistics import median
 
 from tidemark.config import Config
+from tidemark.operators.rules import less, reaches
 from tidemark.operators.sequence import FULLY_SILENT, LEAST_CENTROID
 
 
@@ -57,11 +58,15 @@ class Memory:
         self.recent = [*self.recent, w["rms_dbfs"]][-cfg.loudness_median_windows :]
         cue = not cfg.require_transition_cue or (cfg.min_gap_seconds <= gap <= cfg.max_gap_seconds and self._abrupt(w, cfg))
         if not w["is_silence"]:
-            self.voiced_rms, self.voiced_centroid = w["rms_dbfs"], w["spectral_centroid_hz"]
-        return {"gap_seconds": gap, "is_cue": cue, "smoothed_rms_dbfs": median(self.recent)}
+            self.voiced_rms = self.voiced_rms if w["rms_dbfs"] is None else w["rms_dbfs"]
+            self.voiced_centroid = self.voiced_centroid if w["spectral_centroid_hz"] is None else w["spectral_centroid_hz"]
+        known = [x for x in self.recent if x is not None]
+        return {"gap_seconds": gap, "is_cue": cue, "smoothed_rms_dbfs": median(known) if known else None}
 
     def _abrupt(self, w: Mapping, cfg) -> bool:
         if self.voiced_rms is None:
             return True
-        moved = abs(w["spectral_centroid_hz"] - self.voiced_centroid) / self.voiced_centroid if self.voiced_centroid > LEAST_CENTROID else 0.0
-        return abs(w["rms_dbfs"] - self.voiced_rms) >= cfg.loudness_jump_db or moved >= cfg.centroid_shift_ratio
+        size = lambda x: None if x is None else abs(x)
+        shift, base = size(less(w["spectral_centroid_hz"], self.voiced_centroid)), self.voiced_centroid
+        moved = 0.0 if base is None or base <= LEAST_CENTROID else None if shift is None else shift / base
+        return reaches(size(less(w["rms_dbfs"], self.voiced_rms)), cfg.loudness_jump_db) or reaches(moved, cfg.centroid_shift_ratio)

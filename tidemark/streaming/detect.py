@@ -94,7 +94,7 @@ class Fold(StatefulProcessor):
         known = {f"base_{n}": getattr(own.state.baseline, n) for n in _BASE} | {n: getattr(own.state, n) for n in _PLAIN}
         known |= {n: getattr(own.memory, n) for n in _REMEMBERED} | {"last": own.last, "newest": float(own.newest)}
         self.fold.update(tuple(known.get(n) for n in self.columns))
-        self.recent.put([(float(x),) for x in own.memory.recent]) if own.memory.recent else self.recent.clear()
+        self.recent.put([(None if x is None else float(x),) for x in own.memory.recent]) if own.memory.recent else self.recent.clear()
         if own.state.own or self.own.exists():
             self.own.clear()
             for name, value in own.state.own.items():
