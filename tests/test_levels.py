@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from tidemark.operators import rules
+from tidemark.operators import rules, trained
 from tidemark.plans import signal_queries
 
 
@@ -24,7 +24,7 @@ def plain(rows):
     return sorted(tuple("" if v is None else repr(v + 0.0) if isinstance(v, float) else str(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["feature_log_rows"])
+@pytest.mark.parametrize("name", ["feature_log_rows", "feature_deltas"])
 def test_query(spark, soundless, name):
     con, folder = soundless
     want = con.execute(signal_queries.ORACLE_SQL[name])
@@ -37,3 +37,12 @@ def test_bars():
     endless = -math.inf
     assert rules.reaches(rules.less(endless, endless), 2.0) and not rules.reaches(rules.less(endless, -20.0), 2.0)
     assert rules.reaches(rules.less(-20.0, endless), 2.0) and not rules.reaches(rules.less(None, -20.0), 2.0)
+
+
+def test_inputs_of_a_model_are_finite(spark):
+    """A window without sound is at the floor; no finite baseline, no difference."""
+    values = dict.fromkeys(trained.INPUTS[1:-1], 1.0) | {"seconds_since_gap": 0.0, "rms_dbfs": -math.inf, "delta_rms_db": -math.inf}
+    rows = [values, values | {"rms_dbfs": math.nan, "delta_rms_db": math.nan}, values | {"rms_dbfs": -20.0, "delta_rms_db": 3.0}]
+    schema = ", ".join(f"{c} double" for c in values)
+    got = trained.inputs(spark.createDataFrame([tuple(r[c] for c in values) for r in rows], schema)).select("rms_dbfs", "delta_rms_db").collect()
+    assert sorted(map(tuple, got)) == [(-120.0, 0.0), (-20.0, 3.0), (0.0, 0.0)]

@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Config, Detection
+from tidemark.functions.signal import FLOOR_DB
 from tidemark.operators import fold, sequence
 
-#: What the model sees of a window; differences from the baseline are 0 while there is none.
+#: What the model sees of a window; differences from the baseline are 0 while there is none, or none that is finite.
 INPUTS = (
     "rms_dbfs", "crest_db", "spectral_centroid_hz", "zero_crossing_rate", "silence_ratio", "max_silence_run_seconds",
     "delta_rms_db", "delta_crest_db", "delta_centroid_ratio", "recent_gap",
@@ -32,8 +33,10 @@ SCORE = "ad_score"
 def inputs(rows: DataFrame) -> DataFrame:
     """Adds the model's inputs to training rows or to windows with deltas and seconds_since_gap."""
     gap = F.exp(-F.coalesce("seconds_since_gap", F.lit(1e9)) / 10.0)
-    known = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in INPUTS if c != "recent_gap"}
-    return rows.withColumns(known | {"recent_gap": gap})
+    finite = lambda c: F.when(F.abs(c) < float("inf"), F.col(c))
+    known = {c: F.coalesce(finite(c), F.lit(0.0)) for c in INPUTS if c != "recent_gap"}
+    level = F.when(F.col("rms_dbfs") == float("-inf"), FLOOR_DB).otherwise(known["rms_dbfs"])
+    return rows.withColumns(known | {"rms_dbfs": level, "recent_gap": gap})
 
 
 def fit(training: DataFrame, regularization: float = 0.01) -> PipelineModel:
