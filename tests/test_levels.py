@@ -26,7 +26,7 @@ def plain(rows):
     return sorted(tuple("" if v is None else repr(v + 0.0) if isinstance(v, float) else str(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["feature_log_rows", "feature_deltas", "ema_baseline", "detector_decisions", "decision_log", "controller_states", "epoch_features", "gated_states", "detector_events", "ad_coverage", "break_latency", "false_mute", "cue_active"])
+@pytest.mark.parametrize("name", ["feature_log_rows", "feature_deltas", "ema_baseline", "detector_decisions", "decision_log", "controller_states", "epoch_features", "gated_states", "detector_events", "ad_coverage", "break_latency", "false_mute", "cue_active", "cue_candidates"])
 def test_query(spark, soundless, name):
     con, folder = soundless
     want = con.execute(signal_queries.ORACLE_SQL[name])
